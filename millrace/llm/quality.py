@@ -94,7 +94,13 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, alpha: float =
 
 
 def hinge_weights(
-    rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 7
+    rows: list[np.ndarray],
+    labels: np.ndarray,
+    ratios: np.ndarray,
+    cost: float = 1.0,
+    epochs: int = 12,
+    tolerance: float = 1e-3,
+    seed: int = 7,
 ) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L2-regularised hinge loss on ratio-scaled indicators, each row scaled by the
     root of its length; the classes' costs balance their counts. The bias is one more weight, on a constant 1."""
@@ -118,7 +124,7 @@ def hinge_weights(
                 bias += step
                 moved = max(moved, abs(new - a[i]))
                 a[i] = new
-        if moved < 1e-3:
+        if moved < tolerance:
             break
     return w, bias
 

@@ -31,7 +31,7 @@ def test_dual_coordinate_descent_reaches_the_hinge_optimum():
     rows = [np.flatnonzero(rng.random(12) < 0.4).astype(np.int32) for _ in range(60)]
     labels = np.array([int(3 in r) ^ int(rng.random() < 0.1) for r in rows])
     ratios = rng.normal(size=12)
-    w, bias = quality.hinge_weights(rows, labels, ratios, epochs=400)
+    w, bias = quality.hinge_weights(rows, labels, ratios, epochs=3000, tolerance=1e-12)
     x = np.zeros((60, 13))
     for k, r in enumerate(rows):
         x[k, r] = ratios[r] / max(1, len(r)) ** 0.5
