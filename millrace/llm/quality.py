@@ -213,3 +213,15 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [shared.value.score(t) for t in batch["text"]]})
 
     return texts(df, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+
+
+def keep(df: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose text scores the threshold or more. Each text is scored where it
+    lies: nothing is joined or shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: shared.value.score(t or "")).astype("float64")
+
+    return df.filter(scored(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)

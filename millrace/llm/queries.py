@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, line_dedup, pieces, quality, sharding, simhash, token_counts, topk
+from millrace.llm import chat, decontaminate, line_dedup, pieces, quality, sharding, simhash, token_counts, topk
 from millrace.llm.common import fold, table
 
 
@@ -37,6 +37,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_chat_formatting,
         op4_sentencepiece,
         op5_sharding,
+        op6_decontamination,
         op7_simhash,
         op8_line_dedup,
         op9_token_counts,
