@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, line_dedup, pieces, quality, sharding, simhash, token_counts, topk
+from millrace.llm import chat, decontaminate, language_model, line_dedup, pieces, quality, sharding, simhash, token_counts, topk
 from millrace.llm.common import fold, table
 
 
@@ -21,6 +21,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score_texts(table(spark, sf_dir, "documents"), learn=fold("doc_id") != 1)
+    return scored.select(
+        "doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations")).select(
         "conv_id", "n_turns", F.length("chat").cast("long").alias("n_chars"), F.md5("chat").alias("chat_md5")
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_language_model,
         op3_chat_formatting,
         op4_sentencepiece,
         op5_sharding,
