@@ -31,7 +31,7 @@ SELECT concat('ref-', regexp_extract(props, '([0-9]+)', 1)) AS subject_ref, coun
 FROM events WHERE event_id % 3 > 0 GROUP BY 1""",
     "v_runlog": """
 SELECT user_id % 10 AS run_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS pos, ts,
-       CASE user_id % 4 WHEN 0 THEN 'research' WHEN 1 THEN 'architect' WHEN 2 THEN 'critic' ELSE 'engineer' END AS role,
+       CASE CAST(floor(user_id / 10) AS BIGINT) % 4 WHEN 0 THEN 'research' WHEN 1 THEN 'architect' WHEN 2 THEN 'critic' ELSE 'engineer' END AS role,
        CASE WHEN event_id % 50 = 0 THEN 'error' WHEN event_id % 20 = 0 THEN 'ok_with_warnings' ELSE 'ok' END AS status,
        value / 100.0 AS cost_usd, event_type, event_id, user_id
 FROM events""",
@@ -99,3 +99,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL in front of which the named views are defined."""
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names) + ",\n" + sql
+
+
+VIEWS["v_proposals"] = f"""
+SELECT run_id, event_id AS proposal_id, role AS filed_by, pos, ts FROM ({VIEWS["v_runlog"]}) l
+WHERE role = 'architect' AND event_type = 'signup' AND status <> 'error'"""
+_LATEST = f"""
+SELECT *, max(CASE WHEN role = 'architect' AND event_type = 'signup' AND status <> 'error' THEN pos END)
+          OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS filed_pos
+FROM ({VIEWS["v_runlog"]}) l"""
+for _name, _which in (("v_objections", "l.event_type = 'error' AND l.event_id % 4 = 0"), ("v_implementations", "l.event_type = 'purchase' AND l.role = 'engineer'")):
+    VIEWS[_name] = f"""
+SELECT l.run_id, p.proposal_id, l.role, l.pos FROM ({_LATEST}) l
+JOIN ({VIEWS["v_proposals"]}) p ON p.run_id = l.run_id AND p.pos = l.filed_pos WHERE {_which} AND l.status <> 'error'"""
+VIEWS["v_leads"] = f"""
+SELECT id, name, CASE id % 4 WHEN 0 THEN 'flat' WHEN 1 THEN 'subscription' WHEN 2 THEN 'usage-based' ELSE 'hybrid' END AS billing_model,
+       CASE id % 6 WHEN 0 THEN 'pre-seed' WHEN 1 THEN 'bootstrapped' WHEN 2 THEN 'seed' WHEN 3 THEN 'series-a' WHEN 4 THEN 'series-b-plus' ELSE 'public' END AS funding_stage,
+       n_orders * 17 % 260 AS headcount, n_orders * 7 % 90 AS funding_total_m, id % 5 = 0 AS multi_currency, id % 7 = 0 AS multi_product,
+       id % 11 = 0 AS enterprise_contracts, id % 2 = 0 AS api_first, id % 3 = 0 AS high_event_volume, industry,
+       n_orders * 9 AS invoices_30d, id % 6 AS plans, id % 5 AS metrics, id % 4 AS seats, id % 9 AS hosting_months, id % 8 = 1 AS payment_failed,
+       id % 10 = 3 AS helm, id % 6 = 2 AS fork_main, id % 9 = 4 AS fork_api, id % 7 = 5 AS pypi, id % 4 = 1 AS docker, id % 5 = 2 AS job,
+       id % 3 = 1 AS pricing, id % 8 = 6 AS inbound, id % 2 = 1 AS star,
+       CASE WHEN (n_orders * 3 + id % 7 + CASE WHEN id % 8 = 6 THEN 9 ELSE 0 END) % 23 > 12 THEN 1 ELSE 0 END AS y, id % 4 AS fold
+FROM ({VIEWS["v_accounts"]}) a"""

@@ -1,8 +1,8 @@
 """Registered queries of the library's operators, and the SQL that each is compared with."""
 
-from millrace.queries import ledger
+from millrace.queries import leads, ledger, runs
 
-MODULES = (ledger,)
+MODULES = (ledger, runs, leads)
 
 
 def collect(name: str) -> dict:
