@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.storage import materialise
+
 BITS = 3  # of each dimension
 DIMENSIONS = ("lang", "source", "size", "doc_id")
 RUN = 20_000  # rows of a cell that are ranked in one task
@@ -111,6 +113,8 @@ def hilbert_shards(
     )
     # The hash's upper half, split evenly into as many runs as the cell needs.
     run = F.floor((F.shiftrightunsigned("h", 32) * F.col("runs")) / (1 << 32)).cast("int")
+    # Written first: else the optimiser infers a filter on the curve, and computes it for every row.
+    cells = materialise(cells, "cells")
     in_runs = placed.join(F.broadcast(cells), "axes").withColumn("run", run)
     before = Window.partitionBy("curve").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
