@@ -1,8 +1,8 @@
 """Registered queries of the library's operators, and the SQL that each is compared with."""
 
-from millrace.queries import leads, ledger, runs
+from millrace.queries import entity, leads, ledger, runs
 
-MODULES = (ledger, runs, leads)
+MODULES = (ledger, runs, leads, entity)
 
 
 def collect(name: str) -> dict:
