@@ -19,7 +19,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest piece score, for each character without a piece
 #: No piece crosses the place before a space marker that follows another character, nor either side of a line break.
 SEGMENT = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-MEMO = 250_000
+MEMO = 600_000  # segments remembered in a worker
 BATCH = 20_000  # segments solved together
 RESULT = pa.schema(
     [
@@ -70,7 +70,33 @@ class Pieces:
         for value, i in self.bytes.items():
             self.raw[i] = bytes([value])
         self._trie()
-        self.memo: dict[str, tuple[bytes, float, float]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no solved segment. A segment's number leads to its best score, the loss of its second-best path,
+        and its ids, which lie one after the other in a pool."""
+        self.memo: dict[str, int] = {}
+        self.best, self.loss = np.zeros(1024), np.zeros(1024)
+        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool, self.pooled = np.zeros(4096, np.int32), 0
+
+    def _remember(self, segments: list[str], best: np.ndarray, loss: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        a, b = len(self.memo), len(self.memo) + len(segments)
+        for name in ("best", "loss", "first", "size"):
+            if b > len(getattr(self, name)):
+                setattr(self, name, np.resize(getattr(self, name), 2 * b))
+        if self.pooled + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * (self.pooled + len(ids)))
+        self.best[a:b], self.loss[a:b], self.size[a:b] = best, loss, size
+        self.first[a:b] = self.pooled + np.cumsum(size) - size
+        self.pool[self.pooled : self.pooled + len(ids)] = ids
+        self.pooled += len(ids)
+        self.memo.update(zip(segments, range(a, b), strict=True))
+
+    def solved(self, segment: str) -> tuple[list[int], float, float]:
+        """(ids, best score, loss of the second-best path) of a segment that solve has seen."""
+        k = self.memo[segment]
+        return self.pool[self.first[k] : self.first[k] + self.size[k]].tolist(), float(self.best[k]), float(self.loss[k])
 
     def _trie(self) -> None:
         """Transitions of the pieces' trie as sorted keys node * width + character."""
@@ -177,21 +203,19 @@ class Pieces:
         np.maximum.at(second, owner[start], through)
         on = np.flatnonzero(used)
         on = on[np.argsort(start[on])]
-        bounds = np.searchsorted(start[on], begin)
-        best = alpha[last_node]
         path, where = piece[on], start[on]
-        spelled = path.astype(np.int32).tobytes()
-        plain = np.r_[0, np.cumsum(path < 0)]
-        for k, s in enumerate(segments):
-            a, b = bounds[k], bounds[k + 1]
-            if plain[a] == plain[b]:
-                ids = spelled[4 * a : 4 * b]
-            else:
-                full: list[int] = []
-                for p, w in zip(path[a:b].tolist(), where[a:b].tolist(), strict=True):
-                    full += [p] if p >= 0 else self.char_ids(s[w - int(begin[k])])
-                ids = np.array(full, np.int32).tobytes()
-            self.memo[s] = (ids, float(best[k]), float(best[k] - second[k]))
+        # A character without a piece spells its bytes.
+        lost = np.flatnonzero(path < 0)
+        spelled = [self.char_ids(chr(c)) for c in codes[where[lost]].tolist()]
+        many = np.ones(len(path), np.int64)
+        many[lost] = [len(x) for x in spelled]
+        ids = np.repeat(path, many)
+        begins = np.cumsum(many) - many
+        for at, x in zip(begins[lost].tolist(), spelled, strict=True):
+            ids[at : at + len(x)] = x
+        size = np.bincount(owner[where], many, len(segments)).astype(np.int64)
+        best = alpha[last_node]
+        self._remember(segments, best, best - second, size, ids)
 
     def nbest(self, segment: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of one segment, best first: forward Viterbi scores, then A* backwards from the
@@ -237,7 +261,7 @@ class Pieces:
         memo = self.memo
         fresh = sorted({s for parts in cut for s in parts if s not in memo}, key=len)
         if len(memo) + len(fresh) > MEMO:
-            memo.clear()
+            self.forget()
             fresh = sorted({s for parts in cut for s in parts}, key=len)
         at = 0
         while at < len(fresh):
@@ -248,14 +272,16 @@ class Pieces:
         return [self._document(parts, n) for parts in cut]
 
     def _document(self, parts: list[str], n: int):
-        got = list(map(self.memo.__getitem__, parts))
-        ids = b"".join([g[0] for g in got])
-        score = float(sum(g[1] for g in got))
-        if n < 2 or not got:
+        which = np.fromiter(map(self.memo.__getitem__, parts), np.int64, len(parts))
+        sizes = self.size[which]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.first[which] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes()
+        score = float(self.best[which].sum())
+        if n < 2 or not parts:
             return ids, score, []
         # The n best of a text change at most the n-1 segments that lose least: any other change could be exchanged
         # for one of theirs. Ties go to the earlier segment.
-        loss = np.array([g[2] for g in got])
+        loss = self.loss[which]
         near = np.flatnonzero(np.isfinite(loss))
         if len(near) > n - 1:
             limit = np.partition(loss[near], n - 2)[n - 2]
@@ -264,9 +290,7 @@ class Pieces:
         if not len(near):
             return ids, score, []
         lists = [self.nbest(parts[k], n) for k in near]
-        # Piece offsets of the changed segments.
-        sizes = np.array([len(g[0]) // 4 for g in got])
-        places = np.r_[0, np.cumsum(sizes)][near]
+        places = (ends - sizes)[near]
         found: list[tuple[float, tuple[int, ...]]] = []
         root = (0,) * len(lists)
         heap, seen = [(-score, root)], {root}
