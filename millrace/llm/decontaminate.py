@@ -24,7 +24,7 @@ SLICE = 200_000  # words of a text handled at a time
 @dataclass(frozen=True)
 class Settings:
     rank: int = 128  # latent dimensions
-    cosine: float = 0.25  # of a passage and an item in the latent space, to become a candidate
+    cosine: float = 0.3  # of a passage and an item's direction in the latent space, to become a candidate
     coverage: float = 0.7  # share of the item's words in the longest common subsequence
     answer: float = 0.6  # the same of the item's last words
     common: float = 0.1  # terms in a larger share of the passages carry no weight
@@ -272,9 +272,7 @@ def _search(coded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
         these, weights, b, directions = shared.value
         best: dict[int, tuple] = {}
         p = Passages.of(coded_text, weights, PASSAGE // 2)
-        y = p.times(b)
-        norm = np.linalg.norm(y, axis=1, keepdims=True)
-        y = np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-9)
+        y = p.times(b)  # a passage keeps its length: what lies outside the space counts against it
         for at in range(0, len(y), 4096):
             cos = y[at : at + 4096] @ directions.T
             for i, j in zip(*np.nonzero(cos >= s.cosine), strict=True):
