@@ -113,8 +113,8 @@ def labelled(df: DataFrame) -> DataFrame:
     return df.withColumns({name: _labels(F.col(c), labels) for c, (name, labels) in known.items() if c in df.columns})
 
 
-def tone(actions: DataFrame, policy: Policy) -> DataFrame:
-    """(event_id, score, verdict) of the actions that carry text."""
+def with_tone(actions: DataFrame, policy: Policy) -> DataFrame:
+    """The actions that carry text, with score and verdict."""
     text = _joined("\n")
     words = F.regexp_count(text, F.lit(r"\p{L}[\p{L}']*"))
     capitals = F.size(
@@ -135,13 +135,16 @@ def tone(actions: DataFrame, policy: Policy) -> DataFrame:
         - F.when(mean > policy.max_sentence_words, 0.15).otherwise(0.0)
         - F.when(F.lit(not policy.allow_emoji) & text.rlike(EMOJI), 0.15).otherwise(0.0)
     )
-    scored = actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)).select(
-        "event_id", half_up(clamp(raw, 0.0, 1.0), 3).alias("score")
-    )
+    scored = actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)).withColumn("score", half_up(clamp(raw, 0.0, 1.0), 3))
     verdict = F.when(F.col("score") < policy.fail_below, "fail").when(F.col("score") < policy.warn_below, "warn").otherwise("pass")
     return scored.withColumn("verdict", verdict)
 
 
+def tone(actions: DataFrame, policy: Policy) -> DataFrame:
+    """(event_id, score, verdict) of the actions that carry text."""
+    return with_tone(actions, policy).select("event_id", "score", "verdict")
+
+
 def first_sentence_with(text: Column, needle: Column) -> Column:
     """The first sentence that holds the needle, whatever its case: trimmed, 160 characters; '' if none."""
     found = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.contains(F.lower(s), F.lower(needle)))
