@@ -104,7 +104,30 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _W = "'[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9''’-]*'"
+
+
+def _terms(terms) -> str:
+    """A rule's terms for text whose separators are doubled: each match then has separators of its own to consume."""
+    parts = sorted((t.lower().replace(" ", "  ").replace("*", "[\\w-]*") for t in terms), key=len, reverse=True)
+    return "(?i)[^\\w#](" + "|".join(parts).replace("'", "''") + ")[^\\w]"
+
+
+_DOUBLED = "' ' || regexp_replace({0}, '([^\\w])', '\\1\\1', 'g') || ' '"
+_SENT = "se AS (SELECT draft_id, trim(unnest(str_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))) AS sentence FROM v_drafts), st AS (SELECT * FROM se WHERE sentence <> '')"
+_NAMED = f"nm AS (SELECT * FROM st WHERE regexp_matches({_DOUBLED.format('sentence')}, '{_terms(['Thand', 'Einver'])}'))"
 ORACLES = {
+    "c_sentences": with_views(f"{_SENT} SELECT draft_id, count(*) AS sentences FROM st GROUP BY 1", "v_drafts"),
+    "c_competitors": with_views(
+        f"{_SENT}, {_NAMED} SELECT draft_id, 'CMP-MENTION' AS rule, 'warn' AS severity, 15 AS weight, count(*) AS count FROM nm GROUP BY 1 "
+        + " ".join(f"UNION ALL SELECT draft_id, '{r}', 'block', 40, count(*) FROM nm WHERE regexp_matches({_DOUBLED.format('sentence')}, '{_terms(t)}') GROUP BY 1" for r, t in (("CMP-COMPARE", c.COMPARISONS), ("CMP-DISPARAGE", c.DISPARAGING))),
+        "v_drafts",
+    ),
+    "c_phrases": with_views(
+        "pf AS ("
+        + " UNION ALL ".join(f"SELECT draft_id, market, '{r['rule']}' AS rule, '{r['severity']}' AS severity, {r['weight']} AS weight, len(regexp_extract_all({_DOUBLED.format('text')}, '{_terms(r['terms'])}')) AS count FROM v_drafts" for r in RULES)
+        + ") SELECT draft_id, rule, severity, weight, count FROM pf WHERE count > 0 AND (rule <> 'UK-ABSOLUTE' OR market = 'UK')",
+        "v_drafts",
+    ),
     "c_stats": with_views(f"""w AS (SELECT draft_id, text, regexp_extract_all(text, {_W}) AS w FROM v_drafts)
         SELECT draft_id, len(w) AS words, len(regexp_extract_all(text, '!')) AS bangs, len(list_filter(w, lambda x: regexp_full_match(x, '[A-Z]{{3,}}'))) AS caps,
         len(list_filter(w, lambda x: lower(x) IN ('we', 'our', 'us', 'ours'))) AS we, len(list_filter(w, lambda x: lower(x) IN ('you', 'your', 'yours'))) AS you FROM w""", "v_drafts"),

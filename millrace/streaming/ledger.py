@@ -45,3 +45,19 @@ def quiet_periods(log: DataFrame, gap: str = "30 minutes", delay: str = "1 hour"
     """(run_id, first, last, turns): stretches of a run without a pause of the gap."""
     w = log.withWatermark("ts", delay).groupBy("run_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("turns"))
     return w.select("run_id", F.col("w.start").alias("first"), F.col("w.end").alias("last"), "turns")
+
+
+def gate(actions: DataFrame, policy: g.Policy, path: str, checkpoint: str):
+    """A started query that appends each batch's system decisions to Parquet at `path`: tone, phrases and budgets, the
+    checks that need no other action. Overrides are a table of their own; ledger.effective joins them on reading. A
+    batch run again after a failure replaces its own folder."""
+
+    def decide(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("day", F.to_date("ts"))
+        checked = g.tone(rows, policy).select("event_id", F.lit(0).alias("check_order"), F.lit("tov").alias("check_type"), "verdict")
+        phrases = g.phrase_checks(rows, policy).select("event_id", F.lit(1).alias("check_order"), "check_type", "verdict")
+        budgets = g.spend(rows.filter("action_type <> 'email.send'"), policy).select("event_id", F.lit(4).alias("check_order"), F.lit("spend").alias("check_type"), "verdict")
+        found = g.decisions(rows, checked.unionByName(phrases).unionByName(budgets), policy)
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return actions.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

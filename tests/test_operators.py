@@ -127,6 +127,15 @@ def drained(query_df, name, mode="append"):
     return query_df.sparkSession.table(name).collect()
 
 
+def test_stream_gate_appends_decisions(spark, actions, tmp_path):
+    _, stream = actions
+    rows = stream().withColumn("budget_new", F.lit(None).cast("double")).withColumn("agent_label", F.col("agent_id"))
+    policy = ledger.Policy(competitors=("hi there",))
+    live.gate(rows, policy, str(tmp_path / "gate"), str(tmp_path / "state")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "gate"))
+    assert got.count() == 20 and {r.decision for r in got.collect()} == {"block"}
+
+
 def test_streams_agree_with_batches(spark, actions):
     batch, stream = actions
     policy = ledger.Policy(max_emails_per_day=4)
