@@ -18,16 +18,17 @@ from millrace.plans.storage import materialise
 WORD = re.compile(r"\w+")
 PASSAGE = 64  # words
 BLOCK = 256  # terms whose sums travel in one row
+MEMO = 300_000  # tokens remembered in a task
 SLICE = 200_000  # words of a text handled at a time
 
 
 @dataclass(frozen=True)
 class Settings:
-    rank: int = 128  # latent dimensions
+    rank: int = 96  # latent dimensions
     cosine: float = 0.3  # of a passage and an item's direction in the latent space, to become a candidate
     coverage: float = 0.7  # share of the item's words in the longest common subsequence
     answer: float = 0.6  # the same of the item's last words
-    common: float = 0.1  # terms in a larger share of the passages carry no weight
+    common: float = 0.03  # terms in a larger share of the passages carry no weight
     items_per_block: int = 4000
     seed: int = 11
 
@@ -148,16 +149,41 @@ def _pieces(blobs: Iterator[bytes], dtype: np.dtype) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+class Coder:
+    """Texts as vocabulary terms. A token between spaces that holds one word is looked up once and remembered."""
+
+    def __init__(self, vocabulary: dict[str, int], dtype: np.dtype) -> None:
+        self.vocabulary, self.dtype = vocabulary, dtype
+        self.memo: dict[str, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        tokens = text.lower().split()
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        for t in set(tokens).difference(self.memo):
+            found = WORD.findall(t)
+            self.memo[t] = self.vocabulary.get(found[0], 0) if len(found) == 1 else -1
+        terms = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+        odd = np.flatnonzero(terms < 0)
+        if len(odd):
+            spelled = [[self.vocabulary.get(w, 0) for w in WORD.findall(tokens[i])] for i in odd.tolist()]
+            many = np.ones(len(terms), np.int64)
+            many[odd] = [len(x) for x in spelled]
+            begins = np.cumsum(many) - many
+            terms = np.repeat(terms, many)
+            for at, x in zip(begins[odd].tolist(), spelled, strict=True):
+                terms[at : at + len(x)] = x
+        return terms.astype(self.dtype)
+
+
 def _code(df: DataFrame, items: Items, dtype: np.dtype) -> DataFrame:
     """(doc_id, h, coded): every text's words as vocabulary terms."""
     vocabulary = df.sparkSession.sparkContext.broadcast(items.vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = vocabulary.value.get
+        code = Coder(vocabulary.value, dtype)
         for batch in batches:
-            coded = [
-                np.fromiter((get(w, 0) for w in words_of(t)), dtype).tobytes() for t in batch["text"]
-            ]
+            coded = [code(t).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "coded": coded})
 
     return df.mapInPandas(run, "doc_id long, h long, coded binary")
@@ -268,38 +294,59 @@ def _search(coded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
     blind = np.flatnonzero(size[:, 0] <= 1e-9)
     shared = coded.sparkSession.sparkContext.broadcast((items, idf, basis.astype(np.float32), latent.astype(np.float32)))
 
-    def hits(coded_text: np.ndarray) -> Iterator[tuple]:
-        these, weights, b, directions = shared.value
-        best: dict[int, tuple] = {}
-        p = Passages.of(coded_text, weights, PASSAGE // 2)
-        y = p.times(b)  # a passage keeps its length: what lies outside the space counts against it
-        for at in range(0, len(y), 4096):
-            cos = y[at : at + 4096] @ directions.T
-            for i, j in zip(*np.nonzero(cos >= s.cosine), strict=True):
-                found = (*verified(coded_text, int(p.begin[at + i]), these.words[j]), float(cos[i, j]))
-                best[int(j)] = max(best.get(int(j), (0.0,)), found)
-        for j in blind.tolist():
-            for begin in range(0, max(1, len(coded_text)), PASSAGE // 2):
-                found = (*verified(coded_text, begin, these.words[j]), 0.0)
-                best[j] = max(best.get(j, (0.0,)), found)
-        for j, (share, tail, place, cosine) in best.items():
-            if share >= s.coverage and tail >= s.answer:
-                yield these.ids[j], share, tail, place, cosine
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        these, weights, b, directions = shared.value
+        # Slices of a huge text overlap by more than the longest item and its surroundings.
+        lap = 4 * PASSAGE + 4 * max(map(len, these.words), default=0)
+        half = PASSAGE // 2
+
+        def search(texts: list[np.ndarray]) -> Iterator[tuple]:
+            """(text, item, (coverage, answer coverage, place, cosine)) of every candidate, texts side by side."""
+            ends = np.cumsum([len(t) + half + -len(t) % half for t in texts])
+            starts = np.r_[0, ends[:-1]]
+            joined = np.zeros(ends[-1], dtype)
+            for t, at in zip(texts, starts, strict=True):
+                joined[at : at + len(t)] = t
+            p = Passages.of(joined, weights, half)
+            y = p.times(b)  # a passage keeps its length: what lies outside the space counts against it
+            owner = np.searchsorted(starts, p.begin, "right") - 1
+            for at in range(0, len(y), 4096):
+                cos = y[at : at + 4096] @ directions.T
+                for i, j in zip(*np.nonzero(cos >= s.cosine), strict=True):
+                    k = int(owner[at + i])
+                    begin = int(p.begin[at + i] - starts[k])
+                    yield k, int(j), (*verified(texts[k], begin, these.words[j]), float(cos[i, j]))
+            for j in blind.tolist():
+                for k, t in enumerate(texts):
+                    for begin in range(0, max(1, len(t)), half):
+                        yield k, j, (*verified(t, begin, these.words[j]), 0.0)
+
+        held: list[tuple] = []  # (row, place of the slice, words)
+
+        def flush() -> pd.DataFrame:
+            best: dict[tuple, tuple] = {}
+            for k, j, (share, tail, place, cosine) in search([h[2] for h in held]):
+                row, at, _ = held[k]
+                if share >= s.coverage and tail >= s.answer:
+                    key = (row, these.ids[j])
+                    best[key] = max(best.get(key, (0.0,)), (share, tail, at + place, cosine))
+            held.clear()
+            out = [(*row, item, *found) for (row, item), found in best.items()]
+            return pd.DataFrame(out, columns=["doc_id", "h", "item_id", "coverage", "answer_coverage", "place", "cosine"])
+
+        n = 0
         for batch in batches:
-            out = []
-            for doc_id, h, blob in zip(batch["doc_id"], batch["h"], batch["coded"], strict=True):
+            for doc_id, h, blob in zip(batch["doc_id"].astype("Int64"), batch["h"], batch["coded"], strict=True):
                 whole = np.frombuffer(blob, dtype)
-                best: dict = {}
-                # Slices of a huge text overlap by more than the longest item and its surroundings.
-                lap = 4 * PASSAGE + 4 * max(map(len, shared.value[0].words), default=0)
-                lap += -lap % PASSAGE
+                row = (None if doc_id is pd.NA else int(doc_id), h)
                 for at in range(0, max(1, len(whole)), SLICE):
-                    for item, share, tail, place, cosine in hits(whole[at : at + SLICE + lap]):
-                        best[item] = max(best.get(item, (0.0,)), (share, tail, at + place, cosine))
-                out += [(doc_id, h, item, *found) for item, found in best.items()]
-            yield pd.DataFrame(out, columns=["doc_id", "h", "item_id", "coverage", "answer_coverage", "place", "cosine"])
+                    held.append((row, at, whole[at : at + SLICE + lap]))
+                    n += len(held[-1][2])
+                    if n > SLICE:
+                        yield flush()
+                        n = 0
+        if held:
+            yield flush()
 
     return coded.mapInPandas(
         run, "doc_id long, h long, item_id long, coverage double, answer_coverage double, place long, cosine double"
@@ -344,7 +391,9 @@ def find_leaks(
         idf, passages = _inverse_frequencies(coded, block, dtype, s.common)
         basis = latent_basis(coded, block, idf, passages, dtype, s)
         found.append(_search(coded, block, idf, basis, dtype, s))
-    return reduce(DataFrame.unionByName, found).distinct()
+    # A huge text's slices and repeated rows can tell of one leak several times.
+    best = F.max(F.struct("coverage", "answer_coverage", "place", "cosine")).alias("best")
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "h", "item_id").agg(best).select("doc_id", "h", "item_id", "best.*")
 
 
 def decontaminate(
