@@ -26,10 +26,11 @@ SLICE = 200_000  # words of a text handled at a time
 class Settings:
     rank: int = 96  # latent dimensions
     cosine: float = 0.3  # of a passage and an item's direction in the latent space, to become a candidate
+    own: float = 0.4  # or, before scaling, this share of the item's own projection
     coverage: float = 0.7  # share of the item's words in the longest common subsequence
     answer: float = 0.6  # the same of the item's last words
     common: float = 0.03  # terms in a larger share of the passages carry no weight
-    items_per_block: int = 4000
+    items_per_block: int = 500  # the latent space has a fixed rank: more items in it than a few times that blur
     seed: int = 11
 
 
@@ -89,6 +90,7 @@ class Passages:
     term: np.ndarray
     value: np.ndarray
     begin: np.ndarray  # first word of each row
+    length: np.ndarray  # of each row before it was scaled
 
     @classmethod
     def of(cls, coded: np.ndarray, idf: np.ndarray, stride: int, width: int | None = PASSAGE) -> Passages:
@@ -112,7 +114,7 @@ class Passages:
         value = (1 + np.log(n)) * idf[term]
         size = np.sqrt(np.bincount(row, value**2)) if len(row) else np.zeros(0)
         used, row_of = np.unique(row, return_inverse=True)
-        return cls(row_of, term, (value / size[row]).astype(np.float32) if len(row) else value.astype(np.float32), begin[used])
+        return cls(row_of, term, (value / size[row]).astype(np.float32) if len(row) else value.astype(np.float32), begin[used], size[used])
 
     def times(self, basis: np.ndarray) -> np.ndarray:
         """These rows times a term-by-k matrix."""
@@ -285,17 +287,24 @@ def verified(coded: np.ndarray, begin: int, item: list[int]) -> tuple[float, flo
 
 
 def _search(coded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, dtype: np.dtype, s: Settings) -> DataFrame:
-    rows = [Passages.of(np.array(w), idf, PASSAGE, None).times(basis) for w in items.words]
+    whole = [Passages.of(np.array(w), idf, PASSAGE, None) for w in items.words]
+    rows = [p.times(basis) for p in whole]
     width = basis.shape[1]
     latent = np.concatenate([r if len(r) else np.zeros((1, width)) for r in rows]) if rows else np.zeros((0, width))
     size = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, size, out=np.zeros_like(latent), where=size > 1e-9)
+    # What a passage with the item reaches before scaling is the item's own projection, whatever else it holds; of an
+    # item longer than three quarters of a passage it holds a part.
+    raw = np.array([r.length[0] if len(r.length) else 0.0 for r in whole])
+    part = np.array([min(1.0, 0.75 * PASSAGE / len(w)) for w in items.words])
+    least = (s.own * raw * size[:, 0] * part).astype(np.float32)
     # An item without a weighted term has no direction: a candidate for every passage, checked by its words.
     blind = np.flatnonzero(size[:, 0] <= 1e-9)
-    shared = coded.sparkSession.sparkContext.broadcast((items, idf, basis.astype(np.float32), latent.astype(np.float32)))
+    least[blind] = np.inf
+    shared = coded.sparkSession.sparkContext.broadcast((items, idf, basis.astype(np.float32), latent.astype(np.float32), least))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        these, weights, b, directions = shared.value
+        these, weights, b, directions, enough = shared.value
         # Slices of a huge text overlap by more than the longest item and its surroundings.
         lap = 4 * PASSAGE + 4 * max(map(len, these.words), default=0)
         half = PASSAGE // 2
@@ -312,7 +321,7 @@ def _search(coded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
             owner = np.searchsorted(starts, p.begin, "right") - 1
             for at in range(0, len(y), 4096):
                 cos = y[at : at + 4096] @ directions.T
-                for i, j in zip(*np.nonzero(cos >= s.cosine), strict=True):
+                for i, j in zip(*np.nonzero((cos >= s.cosine) | (cos * p.length[at : at + 4096, None].astype(np.float32) >= enough)), strict=True):
                     k = int(owner[at + i])
                     begin = int(p.begin[at + i] - starts[k])
                     yield k, int(j), (*verified(texts[k], begin, these.words[j]), float(cos[i, j]))
@@ -365,7 +374,8 @@ def find_leaks(
 
     The items' words are the vocabulary; idf counts all passages (64 words) of the corpus. A randomised SVD over these
     TF-IDF passages gives a latent space, in which each overlapping passage is compared with each item; at a cosine
-    of `cosine` or more the pair is a candidate, and all candidates are verified: the longest common subsequence with
+    of `cosine` or more, or where the passage reaches the share `own` of the item's own projection (which falls as
+    items grow in number), the pair is a candidate, and all candidates are verified: the longest common subsequence with
     a stretch one and a half times as long must cover `coverage` of the item's words and `answer` of its last fifth
     (its answer; three words at least).
 

@@ -119,3 +119,19 @@ def test_odd_rows(spark):
     small = Settings(items_per_block=1)
     assert sorted((str(r.doc_id), r.item_id) for r in find_leaks(df, bench, small).collect()) == got
     assert df.filter(F.col("text").isNull()).count() == 1
+
+
+def test_recall_does_not_fall_with_the_number_of_items(spark):
+    """Passages of 8 to 59 words, each verbatim between 130 other words: all of 1,000 are found in one block."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    odds = [1 / (20 + i) for i in range(3000)]
+    items = [" ".join(rng.choices(vocabulary, odds, k=rng.randrange(8, 60))) for _ in range(1000)]
+    rows = []
+    for k, text in enumerate(items):
+        host = rng.choices(vocabulary, odds, k=130)
+        rows.append((k, " ".join([*host[:65], text, *host[65:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(df, bench, Settings(items_per_block=1000)).collect()}
+    assert [len(items[k].split()) for k in range(1000) if (k, k) not in found] == []
