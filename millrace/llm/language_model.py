@@ -317,12 +317,13 @@ def _batches(batches: Iterator[pd.DataFrame], v: Vocabulary) -> Iterator[np.ndar
         yield coded(held, v)[0]
 
 
-def fit(documents: DataFrame, v: Vocabulary, rounds: int = 2, share: int = 8, rate: float = 0.25) -> Weights:
+def fit(documents: DataFrame, v: Vocabulary, rounds: int = 2, share: int = 1, rate: float = 0.25) -> Weights:
     """Weights by rounds of distributed gradient updates.
 
     In a round every task starts from the shared weights, takes Adagrad steps over its own texts, and returns its
-    change; changes are averaged by tokens, in blocks, and applied. A round learns from one in `share` of the texts (a
-    fixed share, by the text's hash, so what is learned from grows with the input), each round from another.
+    change; changes are averaged by tokens, in blocks, and applied. Every round learns from all texts, and the classes
+    from what stands around the words in all of them. With a `share` above 1 a round learns from one in so many texts
+    alone (by the text's hash, each round from another).
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(v)
@@ -394,7 +395,7 @@ def score_texts(
     head: int = 100_000,
     explicit: int = 1280,
     rounds: int = 2,
-    share: int = 8,
+    share: int = 1,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of df, learning from the rows for
     which `learn` (an expression over doc_id) holds.

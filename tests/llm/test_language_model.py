@@ -84,3 +84,17 @@ def test_odd_rows(spark, head, monkeypatch):
     assert lm.score_texts(df.limit(0), learn=F.lit(True)).collect() == []
     none = lm.score_texts(df.limit(3), learn=F.lit(False)).collect()
     assert [r.n_known for r in none] == [0, 0, 0] and all(abs(r.score - r.base_score) < 1e-9 for r in none)
+
+
+def test_every_learning_text_reaches_the_weights(spark):
+    """A hot text trains the model whatever its hash: each of 16 texts alone, copied, changes the weights."""
+    spread = set()
+    for i in range(16):
+        df = spark.range(40).select(F.lit(f"alpha beta{i} alpha gamma alpha beta{i}").alias("text"))
+        spread.add(df.select(F.pmod(F.xxhash64("text"), F.lit(8))).first()[0])
+        v = lm.vocabulary(lm.count_tokens(df), 100, 4)
+        w = lm.fit(df, v)
+        assert np.abs(w.rows).max() > 0
+        if len(spread) > 3:
+            break
+    assert len(spread) > 3
