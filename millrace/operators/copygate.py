@@ -254,13 +254,21 @@ def verdicts(drafts: DataFrame, findings: DataFrame, threshold: int = 20) -> Dat
     )
     rows = drafts.select("draft_id", F.coalesce("text", F.lit("")).alias("text")).join(sums, "draft_id", "left").withColumn("score", F.coalesce("score", F.lit(0)))
     verdict = F.when(F.trim("text") == "", "empty").when(F.coalesce("blocks", F.lit(0)) > 0, "block").when(F.col("score") >= threshold, "review").otherwise("approve")
-    return rows.select("draft_id", "score", verdict.alias("verdict"), F.col("first.rule").alias("reason"), fnv1a(F.substring("text", 1, 256)).alias("hash"))
+    return rows.select("draft_id", "score", verdict.alias("verdict"), F.col("first.rule").alias("reason"), fnv1a(F.col("text")).alias("hash"))
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over code points, as eight hexadecimal digits."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
-    h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda acc, c: (acc.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(4294967295)))
+    """32-bit FNV-1a over UTF-16 units, as eight hexadecimal digits."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long"))
+
+    def step(acc: Column, unit: Column) -> Column:
+        return (acc.bitwiseXOR(unit) * 16777619).bitwiseAND(F.lit(4294967295))
+
+    def add(acc: Column, c: Column) -> Column:
+        pair = step(step(acc, F.shiftright(c, 16)), c.bitwiseAND(F.lit(65535)))
+        return F.when(c > 65535, pair).otherwise(step(acc, c))
+
+    h = F.aggregate(codes, F.lit(2166136261).cast("long"), add)
     return F.lower(F.lpad(F.hex(h), 8, "0"))
 
 

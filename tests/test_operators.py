@@ -147,3 +147,18 @@ def test_streams_agree_with_batches(spark, actions):
     assert days and all(want[k] == v for k, v in days.items())
     pairs = {(r.event_id, r.other_id) for r in drained(live.conflicts(stream(), stream()), "t_conflicts")}
     assert (0, 3) in pairs and all(abs(a - b) == 3 for a, b in pairs)
+
+
+def test_verdict_hashes_the_whole_draft(spark):
+    """Drafts that differ after character 256 alone, and one beyond the basic plane, against a plain FNV-1a."""
+    def plain(text):
+        data, h = text.encode("utf-16-be"), 2166136261
+        for k in range(0, len(data), 2):
+            h = (h ^ int.from_bytes(data[k : k + 2], "big")) * 16777619 % 2**32
+        return f"{h:08x}"
+
+    texts = ["é word " * 200 + "a", "é word " * 200 + "b", "smile 😀 end"]
+    drafts = spark.createDataFrame(list(enumerate(texts)), "draft_id long, text string")
+    none = spark.createDataFrame([], "draft_id long, rule string, severity string, weight int, count long")
+    got = {r.draft_id: r.hash for r in copygate.verdicts(drafts, none).collect()}
+    assert got == {k: plain(t) for k, t in enumerate(texts)}
