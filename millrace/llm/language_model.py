@@ -3,240 +3,237 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import map_texts, summed, texts
 from millrace.plans.storage import materialise
 
 END = b"\n"  # the end token; no word holds a line break
-SPLIT = 5  # the words of an explicit class are found by this many halvings of the explicit words
-RARE = 40  # classes of the other words, by spelling
-LAGS = (1, 2, 3, 5)  # single words back
+BRANCH = 16  # classes in all, classes in a class, symbols in one of these: a softmax over 16 each
+SYMBOLS = BRANCH**3
+RARE = 1024  # symbols that stand for words alike in spelling; all other symbols are words
+EXPLICIT = SYMBOLS - RARE
+KINDS = 64  # of spelling: RARE // KINDS symbols each
+INNER = 16  # parts of a rare symbol, told apart by the context too
+LAGS = (1, 2, 3, 4, 5)  # single words back
 PAIRS = ((1, 2), (1, 3))  # pairs of words back
-FEATURES = len(LAGS) + len(PAIRS)
 PAD = max(LAGS)
-ROWS_BITS = 15  # hashed rows of class weights
-WORDS_BITS = 18  # hashed weights of words within classes
-STEP = 4096  # tokens of a numpy batch
+#: Features in the order of their use; a softmax takes the first so many of them.
+FEATURES = ((1,), (2,), (3,), (1, 2), (4,), (1, 3), (5,))
+USED = (7, 4, 3, 2)  # by classes, classes in a class, symbols, parts
+ROWS_BITS = 15  # hashed rows of 16 weights for each of the four
+STEP = 8192  # tokens of a numpy batch
+FLUSH = 1 << 18  # tokens whose texts are held together
 ROW_SHARE = 0.05  # of a row's squared gradient in its step size
-SLICE = 1 << 19  # tokens of a text taken at a time
+OWN = 128  # most frequent words that count as neighbours of their own when words are ordered
+READ = 1 << 22  # bytes of a text split into words at a time
 NON_ASCII = re.compile(rb"[\xc2-\xf4][\x80-\xbf]+")
+MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+
+
+def word_slices(text: str) -> Iterator[list[bytes]]:
+    """Words in lower case (A-Z) between the six ASCII spaces, then the end token; of a huge text some at a time."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    if len(data) <= READ:
+        words = data.split()
+        words.append(END)
+        yield words
+        return
+    at, carry = 0, b""
+    while at < len(data):
+        part = carry + data[at : at + READ]
+        at += READ
+        words = part.split()
+        # What may go on in the next slice is carried over.
+        carry = words.pop() if at < len(data) and words and not part[-1:].isspace() else b""
+        yield words
+    yield [carry, END] if carry else [END]
 
 
 def tokens_of(text: str) -> list[bytes]:
-    """Words in lower case (A-Z) between the six ASCII spaces, then the end token."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+    return [w for part in word_slices(text) for w in part]
 
 
-def rare_class(token: bytes) -> int:
-    """0 to RARE-1, by the first character beyond ASCII, else by the last character."""
+def kind(token: bytes) -> int:
+    """0 to KINDS-1, by the first character beyond ASCII, else by the last character."""
     if m := NON_ASCII.search(token):
-        return 24 + sum(m.group()) % 16
+        return 32 + sum(m.group()) % 32
     last = token[-1]
-    return (last - 97) % 16 if 97 <= last <= 122 else 16 + last % 8
+    return last - 97 if 97 <= last <= 122 else 26 + last % 6
+
+
+def rare_code(token: bytes) -> int:
+    """Symbol (after the words) and, in the four highest bits of 16, part of a token that is no symbol of its own."""
+    group = kind(token) * (RARE // KINDS) + zlib.crc32(token[-3:]) % (RARE // KINDS)
+    return EXPLICIT + group | (zlib.crc32(token[:2]) % INNER) << 12
 
 
 @dataclass
 class Vocabulary:
-    """Known counts. The first `explicit` head words are outcomes of their own, the others fall in rare classes."""
+    """Known counts. The first `explicit` head words are symbols of their own, all others belong to rare symbols."""
 
     head: dict[bytes, int]  # rank of the most frequent tokens
     counts: np.ndarray  # of the head, by rank
     explicit: int
     tokens: int  # N
     distinct: int  # V
-    rare_mass: np.ndarray  # sum of count + 0.5 over a rare class's seen words, plus 0.5 for all unseen ones
-    symbol: np.ndarray  # of the head, by rank: the word itself if explicit, else its rare class after all of these
-
-    @property
-    def alphabet(self) -> int:
-        """Symbols of a context: explicit words, rare classes, and the place before a text."""
-        return self.explicit + RARE + 1
+    rare_mass: np.ndarray  # (RARE, INNER): sum of count + 0.5 over a part's seen words, plus 0.5 for all unseen ones
+    code: np.ndarray  # of the head, by rank: the word itself if explicit, else its rare code
 
 
 @dataclass
 class Weights:
-    member: np.ndarray  # (classes, width) explicit word of each place, -1 for none
-    class_of: np.ndarray  # explicit word -> class
-    place_of: np.ndarray  # explicit word -> place in its class
-    class_bias: np.ndarray
-    word_bias: np.ndarray  # (classes, width)
-    rows: np.ndarray  # (2^ROWS_BITS, classes + RARE)
-    words: np.ndarray  # (2^WORDS_BITS,)
-
-    @property
-    def classes(self) -> int:
-        return len(self.member)
-
-
-def coded(token_lists: list[list[bytes]], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Flat symbols with PAD places before each text, ranks in the head (-1: not there, -2: padding), and each text's
-    tokens outside the head."""
-    symbols: list[np.ndarray] = []
-    ranks: list[np.ndarray] = []
-    tails: list[list[bytes]] = []
-    for tokens in token_lists:
-        rank = np.fromiter(map(v.head.get, tokens, repeat(-1)), np.int64, len(tokens))
-        symbol = v.symbol[rank]
-        tail = [tokens[i] for i in np.flatnonzero(rank < 0).tolist()]
-        symbol[rank < 0] = [v.explicit + k for k in map(rare_class, tail)]
-        tails.append(tail)
-        symbols += [np.full(PAD, v.alphabet - 1), symbol]
-        ranks += [np.full(PAD, -2), rank]
-    return np.concatenate(symbols), np.concatenate(ranks), tails
-
-
-def context(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(tokens, FEATURES) hashes of the n-gram and skip features in front of each place."""
-    back = {k: symbols[at - k].astype(np.uint64) for k in range(1, PAD + 1)}
-    out = [(back[k] + np.uint64(1)) * np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15) for k in LAGS]
-    for n, (a, b) in enumerate(PAIRS):
-        out.append(((back[a] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (back[b] + np.uint64(7 + n)) * np.uint64(0x165667B19E3779F9)) * np.uint64(0x9E3779B97F4A7C15))
-    h = np.stack(out, axis=1)
-    return h ^ (h >> np.uint64(29))
+    place: np.ndarray  # symbol -> place in the order of symbols, whose base-16 digits are its classes
+    bias: list[np.ndarray]  # by level: (nodes, 16) log masses; 0 classes, 1 in a class, 2 symbols, 3 parts by place
+    rows: list[np.ndarray]  # by level: (2^ROWS_BITS, 16)
+
+
+def context(places: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """A 64-bit hash of each n-gram or skip feature in front of each place."""
+    back = {k: places[at - k].astype(np.uint64) + np.uint64(1) for k in LAGS}
+    out = []
+    for f, mix in zip(FEATURES, MIX, strict=True):
+        x = back[f[0]] if len(f) == 1 else back[f[0]] << np.uint64(13) | back[f[1]]
+        x = x * mix
+        out.append(x ^ (x >> np.uint64(31)))
+    return out
 
 
-def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exp(x - max), log of the sum of exp(x)) by row; x is overwritten."""
-    top = x.max(axis=1)
-    x -= top[:, None]
-    np.exp(x, out=x)
-    return x, np.log(x.sum(axis=1)) + top
+def row_index(h: np.ndarray, node: np.ndarray, level: int) -> np.ndarray:
+    """The weights' row for a feature's hash in a node of a level."""
+    if level:
+        h = (h ^ (node + np.uint64(level << 20))) * MIX[0]
+    return (h >> np.uint64(64 - ROWS_BITS)).astype(np.uint16)
 
 
-def _class_rows(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - ROWS_BITS)).astype(np.int64)
+def _levels(place: np.ndarray, part: np.ndarray) -> Iterator[tuple]:
+    """(level, which tokens, node, branch taken): three for each token, and a fourth for those of rare symbols."""
+    every = slice(None)
+    yield 0, every, np.zeros(len(place), np.uint16), place >> 8
+    yield 1, every, place >> 8, (place >> 4) & 15
+    yield 2, every, place >> 4, place & 15
+    rare = np.flatnonzero(part >= 0)
+    if len(rare):
+        yield 3, rare, place[rare], part[rare]
 
 
-def _summed(table: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Sum of the table's rows at each line of index, a column at a time: the sums stay in the processor's cache."""
-    out = table[index[:, 0]]
-    for k in range(1, index.shape[1]):
-        out += table[index[:, k]]
-    return out
+def _logits(w: Weights, level: int, node: np.ndarray, hashes: list[np.ndarray], which) -> tuple[np.ndarray, list]:
+    x = w.bias[level].take(node, axis=0)
+    wide = node.astype(np.uint64)
+    rows = [row_index(h[which], wide, level) for h in hashes[: USED[level]]]
+    for r in rows:
+        x += w.rows[level].take(r, axis=0)
+    return x, rows
 
 
-def _word_slots(h: np.ndarray, mix: np.ndarray) -> list[np.ndarray]:
-    """For the first three single words back: (tokens, width) slots of (feature, word) weights; mix: (tokens, width)
-    a number for each word."""
-    high = (h[:, :3] >> np.uint64(32)).astype(np.uint32)
-    return [((high[:, k, None] ^ mix) * np.uint32(0x9E3779B1)) >> np.uint32(32 - WORDS_BITS) for k in range(3)]
-
-
-def _mixes(w: Weights) -> np.ndarray:
-    return (w.member + 2).astype(np.uint32) * np.uint32(0x85EBCA77)
-
-
-def _targets(target: np.ndarray, w: Weights, explicit: int) -> tuple[np.ndarray, np.ndarray]:
-    known = target < explicit
-    return known, np.where(known, w.class_of[np.where(known, target, 0)], w.classes + target - explicit)
-
-
-def log_probabilities(symbols: np.ndarray, at: np.ndarray, w: Weights, explicit: int) -> np.ndarray:
-    """Natural log of p(class | context) p(word | class, context) at each place; for words of a rare class the first
-    factor alone."""
-    h = context(symbols, at)
-    target = symbols[at]
-    known, klass = _targets(target, w, explicit)
-    logits = _summed(w.rows, _class_rows(h))
-    logits += w.class_bias
-    chosen = logits[np.arange(len(at)), klass].astype(np.float64)
-    out = chosen - _shares(logits)[1]
-    own = np.flatnonzero(known)
-    if len(own):
-        c = klass[own]
-        inner = w.word_bias[c]
-        for slots in _word_slots(h[own], _mixes(w)[c]):
-            inner += w.words[slots]
-        chosen = inner[np.arange(len(own)), w.place_of[target[own]]].astype(np.float64)
-        out[own] += chosen - _shares(inner)[1]
+def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16, tokens) exp(x - max), and the maxima."""
+    t = np.ascontiguousarray(x.T)
+    top = t.max(axis=0)
+    t -= top
+    np.exp(t, out=t)
+    return t, top
+
+
+def log_probabilities(places: np.ndarray, parts: np.ndarray, at: np.ndarray, w: Weights) -> np.ndarray:
+    """Natural log of p(class | context) p(class in it | context) p(symbol | context), for rare symbols times
+    p(part | context), at each of the places `at`."""
+    hashes = context(places, at)
+    out = np.zeros(len(at))
+    for level, which, node, branch in _levels(places[at], parts[at]):
+        x, _ = _logits(w, level, node, hashes, which)
+        chosen = x[np.arange(len(x)), branch].astype(np.float64)
+        share, top = _shares(x)
+        out[which] += chosen - top - np.log(share.sum(axis=0))
     return out
 
 
-def train_batch(symbols: np.ndarray, at: np.ndarray, w: Weights, explicit: int, state: dict, rate: float) -> None:
-    """One step of Adagrad on a batch, in place; the rows of class weights share one step size each."""
-    h = context(symbols, at)
-    target = symbols[at]
-    known, klass = _targets(target, w, explicit)
-    index = _class_rows(h)
-    p = _summed(w.rows, index)
-    p += w.class_bias
-    p, _ = _shares(p)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(at)), klass] -= 1
-    flat = index.ravel()
-    order = np.argsort(flat, kind="stable")
-    heads = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-    grad = np.add.reduceat(p[order // FEATURES], heads, axis=0)
-    rows = flat[order][heads]
-    state["rows"][rows] += np.einsum("ij,ij->i", grad, grad) * ROW_SHARE
-    grad *= (rate / np.sqrt(state["rows"][rows]))[:, None]
-    w.rows[rows] -= grad
-    own = np.flatnonzero(known)
-    if len(own):
-        c = klass[own]
-        slots = _word_slots(h[own], _mixes(w)[c])
-        q = w.word_bias[c]
-        for x in slots:
-            q += w.words[x]
-        q, _ = _shares(q)
-        q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(len(own)), w.place_of[target[own]]] -= 1
-        flat_q = q.ravel()
-        grad = np.zeros(len(w.words))
-        for x in slots:
-            grad += np.bincount(x.ravel(), flat_q, len(w.words))
-        state["words"] += grad**2
-        w.words -= rate * grad / np.sqrt(state["words"])
-
-
-def _halved(vectors: np.ndarray, index: np.ndarray, times: int) -> list[np.ndarray]:
-    """Split the rows at the median of their leading principal direction, again and again."""
-    if times == 0 or len(index) < 2:
-        return [index]
-    x = vectors[index] - vectors[index].mean(axis=0)
-    lead = np.linalg.svd(x, full_matrices=False)[2][0]
-    lead = lead * (1 if lead[np.argmax(np.abs(lead))] > 0 else -1)
-    order = index[np.argsort(x @ lead, kind="stable")]
-    half = (len(order) + 1) // 2
-    return _halved(vectors, order[:half], times - 1) + _halved(vectors, order[half:], times - 1)
+def _row_sums(p: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sum of p's lines for each. p is (tokens, 8) complex: pairs of floats, added at once."""
+    order = np.argsort(rows, kind="stable")
+    s = rows.take(order)
+    first = np.empty(len(s) + 1, bool)
+    first[0] = first[-1] = True
+    np.not_equal(s[1:], s[:-1], out=first[1:-1])
+    alone = first[:-1] & first[1:]
+    single, several = np.flatnonzero(alone), np.flatnonzero(~alone)
+    sums, index = [p.take(order.take(single), axis=0)], [s.take(single)]
+    if len(several):
+        begins = np.flatnonzero(first[:-1].take(several))
+        sums.append(np.add.reduceat(p.take(order.take(several), axis=0), begins, axis=0))
+        index.append(s.take(several.take(begins)))
+    return np.concatenate(index).astype(np.int64), np.concatenate(sums).view(np.float32)
+
+
+def train_batch(places: np.ndarray, parts: np.ndarray, at: np.ndarray, w: Weights, state: list[np.ndarray], rate: float) -> None:
+    """One step of Adagrad on a batch, in place; the 16 weights of a row share one step size."""
+    hashes = context(places, at)
+    share = np.full(BRANCH, ROW_SHARE, np.float32)
+    for level, which, node, branch in _levels(places[at], parts[at]):
+        x, rows = _logits(w, level, node, hashes, which)
+        p, _ = _shares(x)
+        p /= p.sum(axis=0)
+        p[branch, np.arange(len(x))] -= 1
+        p = np.ascontiguousarray(p.T).view(np.complex64)
+        table, squares = w.rows[level], state[level]
+        lines = table.view(f"V{4 * BRANCH}").reshape(-1)  # a row as one item: quicker to write back
+        for r in rows:
+            row, grad = _row_sums(p, r)
+            total = squares.take(row) + (grad * grad) @ share
+            squares[row] = total
+            grad *= (-rate / np.sqrt(total))[:, None]
+            grad += table.take(row, axis=0)
+            lines[row] = grad.view(lines.dtype).reshape(-1)
+
+
+def _in_order(near: np.ndarray) -> np.ndarray:
+    """Symbols in an order that keeps alike neighbourhoods together: halved at the median of the leading principal
+    direction, again and again, down to 16."""
+    back = near.sum(axis=0) + 1e-9
+    x = near + 4 * back / back.sum()
+    x = np.sqrt(x / x.sum(axis=1, keepdims=True))
+
+    def lead(v: np.ndarray) -> np.ndarray:
+        c = v - v.mean(axis=0)
+        few = len(c) < c.shape[1]
+        vector = np.linalg.eigh(c @ c.T if few else c.T @ c)[1][:, -1]
+        y = vector if few else c @ vector
+        return y if y[np.argmax(np.abs(y))] > 0 else -y
+
+    def halved(index: np.ndarray) -> list[np.ndarray]:
+        order = index[np.argsort(lead(x[index]), kind="stable")]
+        if len(order) <= BRANCH:
+            return [order]
+        return halved(order[: len(order) // 2]) + halved(order[len(order) // 2 :])
+
+    return np.concatenate(halved(np.arange(len(near))))
 
 
 def initial_weights(v: Vocabulary, near: np.ndarray) -> Weights:
-    """Classes of explicit words by the spelling classes around them (near: explicit words by RARE counts); biases
-    that make the model the unigram model."""
-    share = (near + 0.1) / (near + 0.1).sum(axis=1, keepdims=True)
-    groups = _halved(np.sqrt(share), np.arange(v.explicit), SPLIT)
-    width = max(map(len, groups))
-    member = np.full((len(groups), width), -1)
-    class_of, place_of = np.zeros(v.explicit, np.int64), np.zeros(v.explicit, np.int64)
-    word_bias = np.full((len(groups), width), -1e9, np.float32)
-    mass = np.zeros(len(groups))
-    for k, g in enumerate(groups):
-        member[k, : len(g)] = g
-        class_of[g], place_of[g] = k, np.arange(len(g))
-        own = v.counts[g] + 0.5
-        word_bias[k, : len(g)] = np.log(own)
-        mass[k] = own.sum()
-    return Weights(
-        member,
-        class_of,
-        place_of,
-        np.log(np.r_[mass, v.rare_mass]).astype(np.float32),
-        word_bias,
-        np.zeros((1 << ROWS_BITS, len(groups) + RARE), np.float32),
-        np.zeros(1 << WORDS_BITS, np.float32),
-    )
+    """Classes of symbols by the words around them; biases that make the model the unigram model."""
+    order = _in_order(near)
+    place = np.empty(SYMBOLS + 1, np.uint16)
+    place[order] = np.arange(SYMBOLS)
+    place[SYMBOLS] = SYMBOLS  # before a text
+    mass = np.full((SYMBOLS, INNER), 1e-30)
+    mass[: v.explicit, 0] = v.counts[: v.explicit] + 0.5
+    mass[EXPLICIT:] = v.rare_mass
+    mass = mass[order]
+    whole = mass.sum(axis=1)
+    bias = [whole.reshape(BRANCH, -1).sum(axis=1)[None], whole.reshape(BRANCH, BRANCH, -1).sum(axis=2), whole.reshape(-1, BRANCH), mass]
+    rows = [np.zeros((1 << ROWS_BITS, BRANCH), np.float32) for _ in bias]
+    return Weights(place, [np.log(b).astype(np.float32) for b in bias], rows)
 
 
 def count_tokens(documents: DataFrame) -> DataFrame:
@@ -252,7 +249,8 @@ def count_tokens(documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t in batch["text"]:
-                held.update(tokens_of(t))
+                for words in word_slices(t):
+                    held.update(words)
                 if len(held) > 400_000:
                     yield flush()
         yield flush()
@@ -260,253 +258,268 @@ def count_tokens(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInPandas(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, head: int, explicit: int) -> Vocabulary:
-    """The most frequent tokens, `head` at most, come to the driver, with sums over all the others. A histogram of the
-    counts tells from which count on they are that few, so nothing is sorted and no task returns more than its own."""
-    octave = F.floor(F.log2("n") * 16).cast("int")  # a few hundred steps, whatever the counts
+def vocabulary(counts: DataFrame, head: int, explicit: int = EXPLICIT) -> Vocabulary:
+    """The most frequent tokens, about `head` at most, come to the driver, with sums over all the others.
+
+    A histogram of the counts (a few hundred steps) tells from which count on they are that few; of the step that
+    goes beyond, a share by the token's hash. So nothing is sorted and no task returns more than its own.
+    """
+    octave = F.floor(F.log2("n") * 16).cast("int")
     steps = counts.groupBy(octave.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).orderBy(F.desc("k")).collect()
     total, distinct = sum(r["n"] for r in steps), sum(r["v"] for r in steps)
-    least, held = None, 0
+    chosen, held = F.lit(False), 0
     for r in steps:
-        held += r["v"]
-        if held > head:
+        if held + r["v"] > head:
+            spread = 1 << 20
+            chosen = chosen | ((octave == r["k"]) & (F.pmod(F.xxhash64("token"), F.lit(spread)) < int(0.95 * spread * (head - held) / r["v"])))
             break
-        least = r["k"]
-    top = counts.filter(octave >= least).collect() if least is not None else []
+        chosen, held = octave >= r["k"], held + r["v"]
+    top = counts.filter(chosen).collect()
     ranked = sorted(((bytes(r["token"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
+    explicit = min(explicit, EXPLICIT, len(ranked))
     known = {t for t, _ in ranked[:explicit]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mass = np.zeros(RARE)
+        mass = np.zeros(RARE * INNER)
         for batch in batches:
             for t, n in zip(batch["token"], batch["n"], strict=True):
                 if t not in known:
-                    mass[rare_class(t)] += n + 0.5
+                    code = rare_code(t)
+                    mass[((code & 4095) - EXPLICIT) * INNER + (code >> 12)] += n + 0.5
         at = np.flatnonzero(mass)
         yield pd.DataFrame({"k": at, "m": mass[at]})
 
-    rare = np.full(RARE, 0.5)
+    rare = np.full(RARE * INNER, 0.5)
+    # At most RARE * INNER rows, whatever the input.
     for r in counts.mapInPandas(run, "k int, m double").groupBy("k").agg(F.sum("m").alias("m")).collect():
         rare[r["k"]] += r["m"]
-    explicit = min(explicit, len(ranked))
     return Vocabulary(
         {t: k for k, (t, _) in enumerate(ranked)},
         np.array([n for _, n in ranked], np.float64),
         explicit,
         int(total),
         int(distinct),
-        rare,
-        np.array([k if k < explicit else explicit + rare_class(t) for k, (t, _) in enumerate(ranked)] + [0], np.int64),
+        rare.reshape(RARE, INNER),
+        np.array([k if k < explicit else rare_code(t) for k, (t, _) in enumerate(ranked)] + [0], np.uint16),
     )
 
 
-def _batches(batches: Iterator[pd.DataFrame], v: Vocabulary) -> Iterator[np.ndarray]:
-    """Symbols of many texts at a time."""
-    held: list[list[bytes]] = []
-    n = 0
-    for batch in batches:
-        for t in batch["text"]:
-            tokens = tokens_of(t)
-            for a in range(0, len(tokens), SLICE):
-                held.append(tokens[a : a + SLICE])
-                n += len(held[-1])
-                if n > 1 << 16:
-                    yield coded(held, v)[0]
-                    held, n = [], 0
+class Coder:
+    """Texts as codes of symbols and parts, with what their tokens' own counts add up to."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        self.log = np.log10(np.r_[v.counts, 1.0] + 0.5)
+        self.log[-1] = 0.0  # tokens outside the head get theirs from the join
+        self.next_row = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
+
+    def one(self, text: str) -> tuple:
+        n, known, own, rare, codes, tail = 0, 0, 0.0, 0.0, [], []
+        for words in word_slices(text):
+            rank = np.fromiter(map(self.v.head.get, words, repeat(-1)), np.int64, len(words))
+            code = self.v.code.take(rank)
+            outside = np.flatnonzero(rank < 0).tolist()
+            if outside:
+                rest = [words[i] for i in outside]
+                code[outside] = list(map(rare_code, rest))
+                tail += rest
+            logs = self.log.take(rank)
+            n += len(words)
+            known += len(words) - len(outside)
+            own += float(logs.sum())
+            rare += float(logs[(code & 4095) >= EXPLICIT].sum())
+            codes.append(code.tobytes())
+        return n, known, own, rare, b"".join(codes), tail
+
+    def __call__(self, part: list[str]) -> list[pa.Array]:
+        first, self.next_row = self.next_row, self.next_row + len(part)
+        columns = list(zip(*map(self.one, part), strict=True)) if part else [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+        return [pa.array(range(first, first + len(part)), pa.int64()), *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]]
+
+
+def code_texts(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """docs' columns but the text, and: row (unique), n_tokens, head_known, head_log and rare_log (sums of
+    log10(count + 0.5) over the head's tokens, and over those of rare symbols), codes, tail (tokens outside the head)."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+    schema = "row long, n_tokens long, head_known long, head_log double, rare_log double, codes binary, tail array<binary>"
+    return map_texts(docs, lambda: Coder(shared.value), schema)
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts side by side with PAD places before each: symbols, parts (-1: none), where tokens stand, where texts end."""
+    lengths = np.array([len(b) // 2 for b in blobs])
+    symbols = np.full(int(lengths.sum()) + PAD * len(blobs), SYMBOLS, np.uint16)
+    parts = np.full(len(symbols), -1, np.int8)
+    ends = np.cumsum(lengths + PAD)
+    for b, n, end in zip(blobs, lengths.tolist(), ends.tolist(), strict=True):
+        code = np.frombuffer(b, np.uint16)
+        symbols[end - n : end] = code & 4095
+        parts[end - n : end] = np.where((code & 4095) >= EXPLICIT, code >> 12, -1)
+    return symbols, parts, np.flatnonzero(symbols != SYMBOLS), ends
+
+
+def _groups(blobs: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Texts until there is enough for numpy."""
+    held, n = [], 0
+    for b in blobs:
+        held.append(b)
+        n += len(b) // 2
+        if n > FLUSH:
+            yield held
+            held, n = [], 0
     if held:
-        yield coded(held, v)[0]
+        yield held
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    return (x.as_py() for batch in batches for x in batch.column("codes"))
+
 
+def neighbours(coded: DataFrame, v: Vocabulary, tasks: int) -> np.ndarray:
+    """(SYMBOLS, 2 * (OWN + KINDS)): how often which most frequent words, or kinds of other words, stand before and
+    after a symbol, in all texts."""
+    width = OWN + KINDS
+    column = np.full(SYMBOLS + 1, width)
+    for t, k in v.head.items():
+        if k < v.explicit:
+            column[k] = k if k < OWN else OWN + kind(t)
+    column[EXPLICIT:SYMBOLS] = OWN + np.arange(RARE) // (RARE // KINDS)
+    shared = coded.sparkSession.sparkContext.broadcast(column)
 
-def fit(documents: DataFrame, v: Vocabulary, rounds: int = 2, share: int = 1, rate: float = 0.25) -> Weights:
-    """Weights by rounds of distributed gradient updates.
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        column = shared.value
+        near = np.zeros((2, SYMBOLS * width))
+        for held in _groups(_blobs(batches)):
+            symbols = _joined(held)[0].astype(np.int64)
+            for k, (a, b) in enumerate(((symbols[:-1], symbols[1:]), (symbols[1:], symbols[:-1]))):
+                other = column[b]
+                hit = (a < SYMBOLS) & (other < width)
+                near[k] += np.bincount(a[hit] * width + other[hit], minlength=SYMBOLS * width)
+        return near.ravel()
+
+    got = summed(coded.select("codes"), run, tasks)
+    got = np.zeros((2, SYMBOLS, width)) if got is None else got.reshape(2, SYMBOLS, width)
+    return np.concatenate([got[0], got[1]], axis=1)
+
+
+def fit(coded: DataFrame, v: Vocabulary, rounds: int = 4, rate: float = 0.25) -> Weights:
+    """Weights from one pass over all coded learning texts, in rounds of distributed gradient updates.
 
     In a round every task starts from the shared weights, takes Adagrad steps over its own texts, and returns its
-    change; changes are averaged by tokens, in blocks, and applied. Every round learns from all texts, and the classes
-    from what stands around the words in all of them. With a `share` above 1 a round learns from one in so many texts
-    alone (by the text's hash, each round from another).
+    change; changes are averaged by tokens, in blocks, and applied. Each round learns from another share of the rows
+    (by the row's number, so that copies of one text are spread over all rounds) and together they learn from every
+    row; the classes are made from what stands around the words in all of them.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(v)
-
-    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = shared.value
-        near = np.zeros(v.explicit * RARE)
-        for symbols in _batches(batches, v):
-            for a, b in ((symbols[:-1], symbols[1:]), (symbols[1:], symbols[:-1])):
-                hit = (a < v.explicit) & (b >= v.explicit) & (b < v.explicit + RARE)
-                near += np.bincount(a[hit] * RARE + b[hit] - v.explicit, minlength=len(near))
-        at = np.flatnonzero(near)
-        yield pd.DataFrame({"at": at, "n": near[at]})
-
-    def part(k: int) -> DataFrame:
-        return documents.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == k % share).select("text")
-
-    near = np.zeros(v.explicit * RARE)
-    # At most explicit words times RARE rows.
-    for r in part(0).mapInPandas(around, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        near[r["at"]] = r["n"]
-    w = initial_weights(v, near.reshape(v.explicit, RARE))
-    block = 1024
-
+    spark = coded.sparkSession
+    partitions = coded.rdd.getNumPartitions()
+    w = initial_weights(v, neighbours(coded, v, partitions))
+    # Fewer, longer tasks: each returns a change of the model's size.
+    tasks = max(1, min(partitions, max(spark.sparkContext.defaultParallelism, partitions // 4)))
     for k in range(rounds):
-        start = spark.sparkContext.broadcast(w)
+        shared = spark.sparkContext.broadcast(w)
 
-        def learn(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            v, base = shared.value, start.value
-            own = Weights(*[np.array(x) for x in (base.member, base.class_of, base.place_of, base.class_bias, base.word_bias, base.rows, base.words)])
-            state = {"rows": np.full(len(own.rows), 1.0, np.float32), "words": np.full(own.words.shape, 1.0, np.float32)}
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray | None:
+            base = shared.value
+            own = Weights(base.place, base.bias, [x.copy() for x in base.rows])
+            state = [np.ones(len(x), np.float32) for x in own.rows]
             n = 0
-            for symbols in _batches(batches, v):
-                at = np.flatnonzero(symbols != v.alphabet - 1)
+            for held in _groups(_blobs(batches)):
+                symbols, parts, at, _ = _joined(held)
+                places = own.place.take(symbols)
                 n += len(at)
                 for a in range(0, len(at), STEP):
-                    train_batch(symbols, at[a : a + STEP], own, v.explicit, state, rate)
-            if n:
-                change = np.concatenate([(own.rows - base.rows).ravel(), own.words - base.words]).astype(np.float32)
-                size = block * own.rows.shape[1]
-                cuts = range(0, len(change), size)
-                yield pd.DataFrame({"block": [c // size for c in cuts], "n": float(n), "part": [change[c : c + size].tobytes() for c in cuts]})
-
-        def average(batch: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(p, np.float32) * n for p, n in zip(batch["part"], batch["n"], strict=True))
-            mean = (total / batch["n"].sum()).astype(np.float32)
-            return pd.DataFrame({"block": [batch["block"].iloc[0]], "part": [mean.tobytes()]})
-
-        changes = (
-            part(k + 1)
-            .mapInPandas(learn, "block int, n double, part binary")
-            .groupBy("block")
-            .applyInPandas(average, "block int, part binary")
-        )
-        flat = np.zeros(w.rows.size + w.words.size, np.float32)
-        size = block * w.rows.shape[1]
-        for r in changes.toLocalIterator():  # the model's own size
-            got = np.frombuffer(r["part"], np.float32)
-            flat[r["block"] * size : r["block"] * size + len(got)] = got
-        w = Weights(w.member, w.class_of, w.place_of, w.class_bias, w.word_bias, w.rows + flat[: w.rows.size].reshape(w.rows.shape), w.words + flat[w.rows.size :])
+                    train_batch(places, parts, at[a : a + STEP], own, state, rate)
+            return np.r_[np.concatenate([(x - y).ravel() for x, y in zip(own.rows, base.rows, strict=True)]) * n, n] if n else None
+
+        part = coded.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k).select("codes").coalesce(tasks)
+        change = summed(part, learn, tasks)
+        if change is not None:
+            mean = (change[:-1] / change[-1]).astype(np.float32).reshape(len(w.rows), *w.rows[0].shape)
+            w = Weights(w.place, w.bias, [x + y for x, y in zip(w.rows, mean, strict=True)])
     return w
 
 
+def path_scores(v: Vocabulary, w: Weights | None) -> Callable[[list[bytes]], np.ndarray]:
+    """A function from coded texts to each one's sum of log10 p(symbol, part | context) less, for rare symbols, the
+    log10 mass of the part: with log10(count + 0.5) of its rare tokens it makes the text's score."""
+    unit = np.log10(v.tokens + 0.5 * (v.distinct + 1))
+    rare_log = np.log10(v.rare_mass)
+
+    def run(blobs: list[bytes]) -> np.ndarray:
+        symbols, parts, at, ends = _joined(blobs)
+        lp = np.zeros(len(symbols))
+        rare = np.flatnonzero(parts >= 0)
+        if w is None:
+            lp[rare] = -unit
+        else:
+            places = w.place.take(symbols)
+            for a in range(0, len(at), STEP):
+                here = at[a : a + STEP]
+                lp[here] = log_probabilities(places, parts, here, w)
+            lp /= np.log(10)
+            lp[rare] -= rare_log[symbols[rare].astype(np.int64) - EXPLICIT, parts[rare]]
+        return np.add.reduceat(lp, np.r_[0, ends[:-1]]) if len(ends) else np.zeros(0)
+
+    return run
+
+
 def score_texts(
     df: DataFrame,
     learn: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    head: int = 100_000,
-    explicit: int = 1280,
-    rounds: int = 2,
-    share: int = 1,
+    head: int = 200_000,
+    explicit: int = EXPLICIT,
+    rounds: int = 4,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of df, learning from the rows for
     which `learn` (an expression over doc_id) holds.
 
     Counts c, their sum N and the number of distinct tokens V cover all learning texts. base_score is the sum of
-    log10((c+0.5)/(N+0.5(V+1))). score is the model's log10 probability: p(class | context) p(word | class, context),
-    where the `explicit` most frequent tokens lie in classes of their own kind with a softmax over each, and all
-    others in classes by spelling, with their smoothed share of the class. Features are hashes of single words 1, 2,
-    3 and 5 back and of pairs, so n-grams with skips.
+    log10((c+0.5)/(N+0.5(V+1))). score is the model's log10 probability: a softmax over 16 classes, one over the 16
+    classes in that class, and one over the 16 symbols in it, each given the context: hashes of single words one to
+    five back and of pairs of words. The `explicit` most frequent tokens (3,072 at most) are symbols; each of the
+    other 1,024 stands for words alike in spelling, in 16 parts with a softmax given the context too. Within a part
+    words have their smoothed share of its counts.
 
     The `head` most frequent tokens are broadcast; the others' counts meet the texts in a join on the token, one row
     for each such token of a text, so no part of the vocabulary needs to fit in a task. Null texts count as empty: one
-    end token. Rows alike in id and text get one and the same result each; a null id stays. With no learning text all
-    counts are 0. An empty table gives an empty table.
+    end token. Repeated rows and null ids stay as they are. With no learning text all counts are 0. An empty table
+    gives an empty table. A huge text is one context from its first token to its last.
     """
-    docs = texts(df, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
-    known = docs.filter(learn)
-    counts = materialise(count_tokens(known), "counts")
+    docs = texts(df, id_col, text_col)
+    counts = materialise(count_tokens(docs.filter(learn)), "counts")
     v = vocabulary(counts, head, explicit)
-    w = fit(known, v, rounds, share) if v.explicit else None
+    coded = materialise(code_texts(docs.select("doc_id", learn.alias("learn"), "text"), v), "coded")
+    w = fit(coded.filter("learn"), v, rounds) if v.explicit else None
     shared = df.sparkSession.sparkContext.broadcast((v, w))
-    unit = np.log10(v.tokens + 0.5 * (v.distinct + 1))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, w = shared.value
-        rare_log = np.log10(v.rare_mass)
-        head_log = np.log10(v.counts + 0.5) if len(v.counts) else np.zeros(1)
-
-        def scored(part: list[list[bytes]]) -> Iterator[tuple]:
-            symbols, ranks, tails = coded(part, v)
-            at = np.flatnonzero(ranks != -2)
-            lp = np.zeros(len(symbols))
-            for a in range(0, len(at), STEP):
-                here = at[a : a + STEP]
-                if w is not None:
-                    lp[here] = log_probabilities(symbols, here, w, v.explicit) / np.log(10)
-            rare = at[symbols[at] >= v.explicit]
-            if w is not None:
-                lp[rare] -= rare_log[symbols[rare] - v.explicit]
-            else:
-                lp[rare] -= unit
-            inside = ranks >= 0
-            own = np.where(inside, head_log[np.where(inside, ranks, 0)], 0.0)
-            # Rare words of the head have their counts here; the tail's come with the join.
-            lp[rare] += own[rare]
-            ends = np.cumsum([len(t) + PAD for t in part])
-            begins = np.r_[0, ends[:-1]]
-            sums = np.stack([np.add.reduceat(x, begins) for x in (lp, own, inside.astype(float))], axis=1)
-            for k, t in enumerate(part):
-                yield len(t), int(sums[k, 2]), float(sums[k, 1]), float(sums[k, 0]), tails[k]
+    unit = float(np.log10(v.tokens + 0.5 * (v.distinct + 1)))
+    kept = ["row", "doc_id", "n_tokens", "head_known", "head_log", "rare_log"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = path_scores(*shared.value)
         for batch in batches:
-            rows: list[tuple] = []
-            held: list[list[bytes]] = []
-            n = 0
+            lp = [score(held) for held in _groups(x.as_py() for x in batch.column("codes"))]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], pa.array(np.concatenate(lp) if lp else [], pa.float64())], [*kept, "lp"]
+            )
 
-            def flush() -> None:
-                nonlocal held, n
-                rows.extend(scored(held))
-                held, n = [], 0
-
-            for t in batch["text"]:
-                tokens = tokens_of(t)
-                if len(tokens) <= SLICE:
-                    held.append(tokens)
-                    n += len(tokens)
-                    if n > 1 << 16:
-                        flush()
-                else:
-                    # A huge text in slices: context starts anew at each, everything else adds up.
-                    if held:
-                        flush()
-                    parts = [x for a in range(0, len(tokens), SLICE) for x in scored([tokens[a : a + SLICE]])]
-                    rows.append((*[sum(p[k] for p in parts) for k in range(4)], [x for p in parts for x in p[4]]))
-            if held:
-                flush()
-            out = pd.DataFrame(rows, columns=["n_tokens", "head_known", "head_log", "lp", "tail"])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy(), h=batch["h"].to_numpy())
-
-    schema = "n_tokens long, head_known long, head_log double, lp double, tail array<binary>, doc_id long, h long"
-    # An id that is null must not turn into a float on its way: it travels as text.
-    partial = materialise(
-        docs.select(F.col("doc_id").cast("string"), "text", F.xxhash64("text").alias("h")).mapInPandas(
-            run, schema.replace("doc_id long", "doc_id string")
-        ),
-        "scored",
-    )
-    key = [F.coalesce("doc_id", F.lit("")).alias("k"), "h"]
+    schema = "row long, doc_id long, n_tokens long, head_known long, head_log double, rare_log double, lp double"
+    scored = coded.select(*kept, "codes").mapInArrow(run, schema)
     tail = (
-        partial.filter(F.size("tail") > 0)
-        .select(*key, F.explode("tail").alias("token"))
+        coded.filter(F.size("tail") > 0)
+        .select("row", F.explode("tail").alias("token"))
         .join(counts, "token", "left")
-        .groupBy("k", "h")
-        .agg(
-            F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_log"),
-            F.count("n").alias("tail_known"),
-            F.count("*").alias("tail_tokens"),
-        )
-    )
-    # Rows alike in id and text put their tails in one group: its sums are shared out evenly.
-    joined = partial.withColumn("k", F.coalesce("doc_id", F.lit(""))).withColumn("own", F.size("tail")).drop("tail").join(
-        tail, ["k", "h"], "left"
+        .groupBy("row")
+        .agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_log"), F.count("n").alias("tail_known"))
     )
-    part = F.when(F.col("tail_tokens") > 0, F.col("own") / F.col("tail_tokens")).otherwise(0.0)
-    tail_log = F.coalesce(F.col("tail_log") * part, F.lit(0.0))
-    tail_known = F.coalesce(F.round(F.col("tail_known") * part), F.lit(0.0)).cast("long")
-    return joined.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    tail_log = F.coalesce("tail_log", F.lit(0.0))
+    return scored.join(tail, "row", "left").select(
+        "doc_id",
         "n_tokens",
-        (F.col("head_known") + tail_known).alias("n_known"),
+        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_log") + tail_log - F.col("n_tokens") * F.lit(float(unit))).alias("base_score"),
-        (F.col("lp") + tail_log).alias("score"),
+        (F.col("head_log") + tail_log - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
+        (F.col("lp") + F.col("rare_log") + tail_log).alias("score"),
     )
