@@ -3,33 +3,37 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import free_name, map_texts, summed, texts
 from millrace.plans.storage import materialise
 
 WORD = re.compile(r"\w+")
 PASSAGE = 64  # words
-BLOCK = 256  # terms whose sums travel in one row
-MEMO = 300_000  # tokens remembered in a task
+CHUNK = 1 << 11  # weighted words whose latent vectors are gathered at a time: as many as the processor's cache holds
 SLICE = 200_000  # words of a text handled at a time
+FOUND = {
+    "doc_id": pa.int64(), "h": pa.int64(), "item_id": pa.int64(),
+    "coverage": pa.float64(), "answer_coverage": pa.float64(), "place": pa.int64(), "cosine": pa.float64(),
+}
 
 
 @dataclass(frozen=True)
 class Settings:
-    rank: int = 96  # latent dimensions
+    rank: int = 128  # latent dimensions
     cosine: float = 0.3  # of a passage and an item's direction in the latent space, to become a candidate
     own: float = 0.4  # or, before scaling, this share of the item's own projection
     coverage: float = 0.7  # share of the item's words in the longest common subsequence
     answer: float = 0.6  # the same of the item's last words
-    common: float = 0.03  # terms in a larger share of the passages carry no weight
+    common: float = 0.1  # terms in a larger share of the passages carry no weight
     items_per_block: int = 500  # the latent space has a fixed rank: more items in it than a few times that blur
     seed: int = 11
 
@@ -38,19 +42,23 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def common_subsequence(a: np.ndarray, b: list[int]) -> int:
-    """Length of the longest common subsequence of a and b, a bit for each place of b; 0 in a matches nothing."""
+def word_places(item: list[int]) -> dict[int, int]:
+    """The places of each word in an item, a bit for each."""
     places: dict[int, int] = {}
-    for k, w in enumerate(b):
+    for k, w in enumerate(item):
         places[w] = places.get(w, 0) | 1 << k
-    full = (1 << len(b)) - 1
+    return places
+
+
+def common_subsequence(a: list[int], places: dict[int, int], n: int) -> int:
+    """Length of the longest common subsequence of a and an item of n words; what the item lacks matches nothing."""
+    full = (1 << n) - 1
     rows = full
-    for w in a.tolist():
-        m = places.get(w, 0) if w else 0
-        if m:
+    for w in a:
+        if m := places.get(w, 0):
             u = rows & m
             rows = ((rows + u) | (rows - u)) & full
-    return len(b) - rows.bit_count()
+    return n - rows.bit_count()
 
 
 def answer_words(n: int) -> int:
@@ -82,64 +90,71 @@ class Items:
         return len(self.vocabulary) + 1
 
 
-@dataclass
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows sorted each in itself, and where a term starts in one."""
+    rows = np.sort(rows, axis=1)
+    first = np.ones(rows.shape, bool)
+    np.not_equal(rows[:, 1:], rows[:, :-1], out=first[:, 1:])
+    return rows, first
+
+
 class Passages:
-    """TF-IDF rows of passages: value k is `value[k]` in row `row[k]`, column `term[k]`, ordered by row."""
+    """TF-IDF rows of the passages of PASSAGE words that start every `stride` words of coded texts.
 
-    row: np.ndarray
-    term: np.ndarray
-    value: np.ndarray
-    begin: np.ndarray  # first word of each row
-    length: np.ndarray  # of each row before it was scaled
+    A row's value at a term is the term's count times its idf. Terms of weight 0 are left out; `length` is each row's
+    Euclidean length. Texts lie side by side, each filled up with term 0.
+    """
 
-    @classmethod
-    def of(cls, coded: np.ndarray, idf: np.ndarray, stride: int, width: int | None = PASSAGE) -> Passages:
-        """Passages of `width` words (None: the whole) every `stride` words, each scaled to length 1; rows without a
-        weighted term are left out."""
-        at = np.flatnonzero(idf[coded])
-        term = coded[at]
-        if width is None:
-            rows, begin = np.zeros(len(at), np.int64), np.zeros(1, np.int64)
-        else:
-            # A word lies in the passages that start in its last `width` words.
-            reps = width // stride
-            first = at // stride
-            rows = (first[:, None] - np.arange(reps)[None, :]).ravel()
-            term = np.repeat(term, reps)
-            inside = rows >= 0
-            rows, term = rows[inside], term[inside]
-            begin = np.arange(len(coded) // stride + 1) * stride
-        key, n = np.unique(rows * len(idf) + term, return_counts=True)
-        row, term = key // len(idf), key % len(idf)
-        value = (1 + np.log(n)) * idf[term]
-        size = np.sqrt(np.bincount(row, value**2)) if len(row) else np.zeros(0)
-        used, row_of = np.unique(row, return_inverse=True)
-        return cls(row_of, term, (value / size[row]).astype(np.float32) if len(row) else value.astype(np.float32), begin[used], size[used])
+    def __init__(self, coded: np.ndarray, idf: np.ndarray, stride: int = PASSAGE) -> None:
+        self.stride, self.idf = stride, idf
+        coded = np.where(idf[coded] > 0, coded, 0).astype(coded.dtype)
+        coded = np.concatenate([coded, np.zeros(-len(coded) % PASSAGE + PASSAGE - stride, coded.dtype)])
+        self.coded = coded
+        rows, first = _runs(np.lib.stride_tricks.sliding_window_view(coded, PASSAGE)[::stride])
+        # A term that occurs n times adds n^2 idf^2: its first place 1, the others each what n^2 grows by.
+        place = np.arange(rows.size)
+        begin = np.maximum.accumulate(np.where(first.ravel(), place, 0))
+        grown = (2 * (place - begin) + 1).reshape(rows.shape)
+        self.length = np.sqrt((grown * (idf**2)[rows]).sum(axis=1))
 
     def times(self, basis: np.ndarray) -> np.ndarray:
-        """These rows times a term-by-k matrix."""
-        heads = np.flatnonzero(np.r_[True, np.diff(self.row) != 0]) if len(self.row) else np.zeros(0, np.int64)
-        if not len(heads):
-            return np.zeros((0, basis.shape[1]), basis.dtype)
-        return np.add.reduceat(basis[self.term] * self.value[:, None], heads, axis=0)
+        """These rows times a term-by-k matrix (float32). Passages that overlap share the sums of their parts."""
+        scaled = (basis * self.idf[:, None]).astype(np.float32)
+        parts = np.zeros((len(self.coded) // self.stride, basis.shape[1]), np.float32)
+        at = np.flatnonzero(self.coded)
+        for k in range(0, len(at), CHUNK):
+            here = at[k : k + CHUNK]
+            part = here // self.stride
+            heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            parts[part[heads]] += np.add.reduceat(scaled.take(self.coded[here], axis=0), heads, axis=0)
+        each = PASSAGE // self.stride
+        rows = len(self.length)
+        return sum(parts[k : k + rows] for k in range(each))
 
     def add_gram(self, basis: np.ndarray, total: np.ndarray) -> None:
-        """total += (rows transposed) times (rows times basis)."""
-        y = self.times(basis)
-        order = np.argsort(self.term, kind="stable")
-        term = self.term[order]
-        heads = np.flatnonzero(np.r_[True, np.diff(term) != 0]) if len(term) else np.zeros(0, np.int64)
-        if len(heads):
-            total[term[heads]] += np.add.reduceat(y[self.row[order]] * self.value[order][:, None], heads, axis=0)
-
-
-def _pieces(blobs: Iterator[bytes], dtype: np.dtype) -> Iterator[np.ndarray]:
+        """total += (unit rows transposed) times (unit rows times basis). Only where passages do not overlap."""
+        squared = np.where(self.length > 0, self.length**2, 1.0)[:, None]
+        y = (self.times(basis) / squared).astype(np.float32)
+        # Pairs of floats as complex numbers: added at once.
+        pairs = np.pad(y, ((0, 0), (0, y.shape[1] % 2))).view(np.complex64)
+        at = np.flatnonzero(self.coded)
+        for k in range(0, len(at), 4 * CHUNK):
+            here = at[k : k + 4 * CHUNK]
+            term = self.coded[here]
+            order = np.argsort(term, kind="stable")
+            term = term[order]
+            heads = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+            sums = np.add.reduceat(pairs.take(here[order] // self.stride, axis=0), heads, axis=0).view(np.float32)
+            total[term[heads]] += sums[:, : total.shape[1]] * self.idf[term[heads]][:, None]
+
+
+def _pieces(blobs: Iterator, dtype: np.dtype) -> Iterator[np.ndarray]:
     """Coded texts in slices that end on a passage, neighbours joined with a gap until there is enough for numpy."""
     gap = np.zeros(PASSAGE, dtype)
     held: list[np.ndarray] = []
     n = 0
     for b in blobs:
-        coded = np.frombuffer(b, dtype)
+        coded = np.frombuffer(b, dtype)  # bytes or a buffer
         for at in range(0, len(coded), SLICE - SLICE % PASSAGE):
             part = coded[at : at + SLICE - SLICE % PASSAGE]
             held += [part, gap[: -len(part) % PASSAGE]]
@@ -151,63 +166,44 @@ def _pieces(blobs: Iterator[bytes], dtype: np.dtype) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-class Coder:
-    """Texts as vocabulary terms. A token between spaces that holds one word is looked up once and remembered."""
-
-    def __init__(self, vocabulary: dict[str, int], dtype: np.dtype) -> None:
-        self.vocabulary, self.dtype = vocabulary, dtype
-        self.memo: dict[str, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        tokens = text.lower().split()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        for t in set(tokens).difference(self.memo):
-            found = WORD.findall(t)
-            self.memo[t] = self.vocabulary.get(found[0], 0) if len(found) == 1 else -1
-        terms = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
-        odd = np.flatnonzero(terms < 0)
-        if len(odd):
-            spelled = [[self.vocabulary.get(w, 0) for w in WORD.findall(tokens[i])] for i in odd.tolist()]
-            many = np.ones(len(terms), np.int64)
-            many[odd] = [len(x) for x in spelled]
-            begins = np.cumsum(many) - many
-            terms = np.repeat(terms, many)
-            for at, x in zip(begins[odd].tolist(), spelled, strict=True):
-                terms[at : at + len(x)] = x
-        return terms.astype(self.dtype)
-
-
 def _code(df: DataFrame, items: Items, dtype: np.dtype) -> DataFrame:
     """(doc_id, h, coded): every text's words as vocabulary terms."""
     vocabulary = df.sparkSession.sparkContext.broadcast(items.vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = Coder(vocabulary.value, dtype)
-        for batch in batches:
-            coded = [code(t).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "coded": coded})
+    def make() -> Callable[[list[str]], list[pa.Array]]:
+        find = vocabulary.value.get
+
+        def coded(text: str) -> bytes:
+            words = words_of(text)
+            return np.fromiter(map(find, words, repeat(0)), dtype, len(words)).tobytes()
+
+        return lambda part: [pa.array(list(map(coded, part)), pa.binary())]
+
+    return map_texts(df, make, "coded binary")
 
-    return df.mapInPandas(run, "doc_id long, h long, coded binary")
 
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Buffer]:
+    return (x.as_buffer() for batch in batches for x in batch.column("coded"))
 
-def _inverse_frequencies(coded: DataFrame, items: Items, dtype: np.dtype, common: float) -> tuple[np.ndarray, int]:
+
+def _counted(coded: DataFrame, dtype: np.dtype, terms: int, tasks: int) -> np.ndarray:
+    """For each term the passages that hold it; term 0, which none lacks, counts all passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        counts = np.zeros(terms)
+        for part in _pieces(_blobs(batches), dtype):
+            rows, first = _runs(np.concatenate([part, np.zeros(-len(part) % PASSAGE, dtype)]).reshape(-1, PASSAGE))
+            counts += np.bincount(rows[first], minlength=terms)
+            counts[0] += (rows[:, 0] != 0).sum()
+        return counts
+
+    found = summed(coded.select("coded"), run, tasks)
+    return np.zeros(terms) if found is None else found
+
+
+def _inverse_frequencies(coded: DataFrame, items: Items, dtype: np.dtype, common: float, tasks: int) -> tuple[np.ndarray, int]:
     """idf by term over all passages of the corpus and the items; 0 for other words and for common terms."""
-    terms = items.terms
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(terms, np.int64)
-        for part in _pieces((b for batch in batches for b in batch["coded"]), dtype):
-            rows = np.arange(len(part)) // PASSAGE
-            counts += np.bincount(np.unique(rows * terms + part) % terms, minlength=terms)
-            counts[0] += rows[-1] + 1 - len(np.unique(rows[part == 0]))  # term 0 counts all passages
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"term": at, "n": counts[at]})
-
-    summed = coded.select("coded").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = np.zeros(terms)
-    for r in summed.collect():  # at most one row a term of the block's vocabulary
-        counts[r["term"]] = r["n"]
+    counts = _counted(coded, dtype, items.terms, tasks)
     for w in items.words:
         counts[list(set(w))] += 1
         counts[0] += 1
@@ -218,44 +214,38 @@ def _inverse_frequencies(coded: DataFrame, items: Items, dtype: np.dtype, common
     return idf, int(passages)
 
 
-def _gram_times(coded: DataFrame, idf: np.ndarray, basis: np.ndarray, dtype: np.dtype) -> np.ndarray:
-    """(A^T A) basis for the corpus's passage matrix A: a partial sum in each task, summed by blocks of terms."""
-    shared = coded.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))
-    shape = basis.shape
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, b = shared.value
-        total = np.zeros(shape)
-        for part in _pieces((x for batch in batches for x in batch["coded"]), dtype):
-            Passages.of(part, weights, PASSAGE).add_gram(b, total)
-        blocks = range(0, shape[0], BLOCK)
-        yield pd.DataFrame({"block": list(blocks), "part": [total[k : k + BLOCK].tobytes() for k in blocks]})
-
-    def add(batch: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p) for p in batch["part"])
-        return pd.DataFrame({"block": [batch["block"].iloc[0]], "part": [total.tobytes()]})
+def item_rows(items: Items, idf: np.ndarray) -> np.ndarray:
+    """(items, terms): each item's whole text as one TF-IDF row, not scaled. The block bounds its size."""
+    out = np.zeros((len(items.words), items.terms), np.float32)
+    for row, words in zip(out, items.words, strict=True):
+        np.add.at(row, words, 1.0)
+    return out * idf.astype(np.float32)
 
-    out = np.zeros(shape)
-    sums = coded.select("coded").mapInPandas(run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
-    for r in sums.collect():  # the size of basis, which the block of items bounds
-        part = np.frombuffer(r["part"]).reshape(-1, shape[1])
-        out[r["block"] : r["block"] + len(part)] = part
-    return out
 
-
-def latent_basis(coded: DataFrame, items: Items, idf: np.ndarray, passages: int, dtype: np.dtype, s: Settings) -> np.ndarray:
+def latent_basis(
+    coded: DataFrame, items: Items, idf: np.ndarray, passages: int, dtype: np.dtype, s: Settings, tasks: int
+) -> np.ndarray:
     """The leading right singular vectors of the TF-IDF passages, by randomised subspace iteration on A^T A: a random
     start, one pass, an orthonormal basis, a second pass, and the small eigenproblem. The items are rows too, weighted
     to count as much as the corpus, so that the space holds what tells them apart."""
     rank = min(s.rank, len(items.words), items.terms)
     weight = max(1.0, passages / len(items.words))
-    rows = [Passages.of(np.array(w), idf, PASSAGE, None) for w in items.words]
+    own = item_rows(items, idf).astype(np.float64)
+    size = np.linalg.norm(own, axis=1, keepdims=True)
+    own = np.divide(own, size, out=np.zeros_like(own), where=size > 0)
 
     def gram(basis: np.ndarray) -> np.ndarray:
-        own = np.zeros(basis.shape)
-        for r in rows:
-            r.add_gram(basis, own)
-        return _gram_times(coded, idf, basis, dtype) + weight * own
+        shared = coded.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            weights, b = shared.value
+            total = np.zeros(b.shape)
+            for part in _pieces(_blobs(batches), dtype):
+                Passages(part, weights).add_gram(b, total)
+            return total.ravel()
+
+        found = summed(coded.select("coded"), run, tasks)
+        return (0 if found is None else found.reshape(basis.shape)) + weight * (own.T @ (own @ basis))
 
     start = np.random.default_rng(s.seed).normal(size=(items.terms, rank))
     q, _ = np.linalg.qr(gram(start))
@@ -264,47 +254,78 @@ def latent_basis(coded: DataFrame, items: Items, idf: np.ndarray, passages: int,
     return q @ vectors[:, np.argsort(-values)]
 
 
-def verified(coded: np.ndarray, begin: int, item: list[int]) -> tuple[float, float, int]:
-    """Best (coverage, answer coverage, place) of an item near a passage: longest common subsequences with stretches
-    half as long again as the item, at steps of an eighth of it."""
-    n = len(item)
-    width, step = n + n // 2 + 4, max(1, n // 8)
-    tail = answer_words(n)
-    best = (0.0, 0.0, begin)
-    low, high = max(0, begin - n), min(len(coded), begin + PASSAGE + n)
-    known = np.isin(coded[low:high], item)
-    if known.sum() < 0.5 * n:
-        return best
-    # Words of each stretch that the item has bound its common subsequence from above.
-    sums = np.r_[0, np.cumsum(known)]
-    for at in range(low, max(low + 1, high - n // 2), step):
-        end = min(at + width, high)
-        if sums[end - low] - sums[at - low] > best[0] * n:
-            share = common_subsequence(coded[at:end], item) / n
+class Verifier:
+    """Longest common subsequences of one block's items with stretches of coded texts."""
+
+    def __init__(self, items: Items, s: Settings) -> None:
+        self.items, self.s = items, s
+        self.known: dict[int, tuple] = {}
+
+    def _item(self, j: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """An item in numbers of its own words, from 1: the number of each term (0: none), how often the item has each,
+        and the item in these numbers."""
+        if j not in self.known:
+            words = np.array(self.items.words[j])
+            distinct, own, counts = np.unique(words, return_inverse=True, return_counts=True)
+            number = np.zeros(self.items.terms, np.int64)
+            number[distinct] = np.arange(1, len(distinct) + 1)
+            self.known[j] = (number, counts, (own + 1).tolist())
+        return self.known[j]
+
+    def __call__(self, coded: np.ndarray, begin: int, j: int) -> tuple[float, float, int]:
+        """Best (coverage, answer coverage, place) of an item near a passage: longest common subsequences with
+        stretches half as long again as the item, at steps of an eighth of it; coverage 0 where none reaches `coverage`."""
+        number, counts, item = self._item(j)
+        n, kinds = len(item), len(counts) + 1
+        width, step = n + n // 2 + 4, max(1, n // 8)
+        best = (0.0, 0.0, begin)
+        low, high = max(0, begin - n), min(len(coded), begin + PASSAGE + n)
+        near = number[coded[low:high]]
+        # Words of a stretch that the item has bound its common subsequence from above.
+        sums = np.r_[0, np.cumsum(near > 0)]
+        least = self.s.coverage * n
+        if sums[-1] < least:
+            return best
+        starts = np.arange(0, max(1, high - low - n // 2), step)
+        starts = starts[sums[np.minimum(starts + width, high - low)] - sums[starts] >= least]
+        if not len(starts):
+            return best
+        # So do, more closely, as many of each word as the item has.
+        padded = np.concatenate([near, np.zeros(width, np.int64)])
+        stretches = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
+        rows = np.arange(len(starts))[:, None] * kinds
+        found = np.bincount((stretches + rows).ravel(), minlength=len(starts) * kinds).reshape(-1, kinds)[:, 1:]
+        bound = np.minimum(found, counts).sum(axis=1)
+        places = None
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < least or bound[k] <= best[0] * n:
+                break
+            places = places or word_places(item)
+            stretch = stretches[k][stretches[k] > 0].tolist()
+            share = common_subsequence(stretch, places, n) / n
             if share > best[0]:
-                best = (share, common_subsequence(coded[at:end], item[-tail:]) / tail, at)
-    return best
+                tail = answer_words(n)
+                best = (share, common_subsequence(stretch, word_places(item[-tail:]), tail) / tail, low + int(starts[k]))
+        return best
 
 
 def _search(coded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, dtype: np.dtype, s: Settings) -> DataFrame:
-    whole = [Passages.of(np.array(w), idf, PASSAGE, None) for w in items.words]
-    rows = [p.times(basis) for p in whole]
-    width = basis.shape[1]
-    latent = np.concatenate([r if len(r) else np.zeros((1, width)) for r in rows]) if rows else np.zeros((0, width))
+    whole = item_rows(items, idf)
+    latent = whole @ basis
     size = np.linalg.norm(latent, axis=1, keepdims=True)
-    latent = np.divide(latent, size, out=np.zeros_like(latent), where=size > 1e-9)
+    directions = np.divide(latent, size, out=np.zeros_like(latent), where=size > 1e-6)
     # What a passage with the item reaches before scaling is the item's own projection, whatever else it holds; of an
     # item longer than three quarters of a passage it holds a part.
-    raw = np.array([r.length[0] if len(r.length) else 0.0 for r in whole])
     part = np.array([min(1.0, 0.75 * PASSAGE / len(w)) for w in items.words])
-    least = (s.own * raw * size[:, 0] * part).astype(np.float32)
+    least = (s.own * size[:, 0] * part).astype(np.float32)
     # An item without a weighted term has no direction: a candidate for every passage, checked by its words.
-    blind = np.flatnonzero(size[:, 0] <= 1e-9)
+    blind = np.flatnonzero(size[:, 0] <= 1e-6)
     least[blind] = np.inf
-    shared = coded.sparkSession.sparkContext.broadcast((items, idf, basis.astype(np.float32), latent.astype(np.float32), least))
+    shared = coded.sparkSession.sparkContext.broadcast((items, idf, basis.astype(np.float32), directions.T.astype(np.float32), least))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        these, weights, b, directions, enough = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        these, weights, b, toward, enough = shared.value
+        verified = Verifier(these, s)
         # Slices of a huge text overlap by more than the longest item and its surroundings.
         lap = 4 * PASSAGE + 4 * max(map(len, these.words), default=0)
         half = PASSAGE // 2
@@ -316,23 +337,27 @@ def _search(coded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
             joined = np.zeros(ends[-1], dtype)
             for t, at in zip(texts, starts, strict=True):
                 joined[at : at + len(t)] = t
-            p = Passages.of(joined, weights, half)
+            p = Passages(joined, weights, half)
             y = p.times(b)  # a passage keeps its length: what lies outside the space counts against it
-            owner = np.searchsorted(starts, p.begin, "right") - 1
+            size = p.length.astype(np.float32)
             for at in range(0, len(y), 4096):
-                cos = y[at : at + 4096] @ directions.T
-                for i, j in zip(*np.nonzero((cos >= s.cosine) | (cos * p.length[at : at + 4096, None].astype(np.float32) >= enough)), strict=True):
-                    k = int(owner[at + i])
-                    begin = int(p.begin[at + i] - starts[k])
-                    yield k, int(j), (*verified(texts[k], begin, these.words[j]), float(cos[i, j]))
+                near = y[at : at + 4096] @ toward
+                own = size[at : at + 4096, None]
+                near[own[:, 0] == 0] = -1.0
+                for i, j in zip(*np.nonzero((near >= s.cosine * own) | (near >= enough)), strict=True):
+                    place = (at + int(i)) * half
+                    k = int(np.searchsorted(starts, place, "right")) - 1
+                    if place - starts[k] >= len(texts[k]):
+                        continue  # in the gap behind a text
+                    yield k, int(j), (*verified(texts[k], int(place - starts[k]), int(j)), float(near[i, j] / max(own[i, 0], 1e-9)))
             for j in blind.tolist():
                 for k, t in enumerate(texts):
                     for begin in range(0, max(1, len(t)), half):
-                        yield k, j, (*verified(t, begin, these.words[j]), 0.0)
+                        yield k, j, (*verified(t, begin, j), 0.0)
 
         held: list[tuple] = []  # (row, place of the slice, words)
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             best: dict[tuple, tuple] = {}
             for k, j, (share, tail, place, cosine) in search([h[2] for h in held]):
                 row, at, _ = held[k]
@@ -340,14 +365,14 @@ def _search(coded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
                     key = (row, these.ids[j])
                     best[key] = max(best.get(key, (0.0,)), (share, tail, at + place, cosine))
             held.clear()
-            out = [(*row, item, *found) for (row, item), found in best.items()]
-            return pd.DataFrame(out, columns=["doc_id", "h", "item_id", "coverage", "answer_coverage", "place", "cosine"])
+            columns = list(zip(*[(*row, item, *found) for (row, item), found in best.items()], strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND.values(), strict=True)], list(FOUND))
 
         n = 0
         for batch in batches:
-            for doc_id, h, blob in zip(batch["doc_id"].astype("Int64"), batch["h"], batch["coded"], strict=True):
-                whole = np.frombuffer(blob, dtype)
-                row = (None if doc_id is pd.NA else int(doc_id), h)
+            for doc_id, h, blob in zip(*(batch.column(c) for c in ("doc_id", "h", "coded")), strict=True):
+                whole = np.frombuffer(blob.as_buffer(), dtype)
+                row = (doc_id.as_py(), h.as_py())
                 for at in range(0, max(1, len(whole)), SLICE):
                     held.append((row, at, whole[at : at + SLICE + lap]))
                     n += len(held[-1][2])
@@ -357,9 +382,8 @@ def _search(coded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
         if held:
             yield flush()
 
-    return coded.mapInPandas(
-        run, "doc_id long, h long, item_id long, coverage double, answer_coverage double, place long, cosine double"
-    )
+    kinds = {pa.int64(): "long", pa.float64(): "double"}
+    return coded.mapInArrow(run, ", ".join(f"{c} {kinds[t]}" for c, t in FOUND.items()))
 
 
 def find_leaks(
@@ -372,7 +396,7 @@ def find_leaks(
     """(doc_id, h, item_id, coverage, answer_coverage, place, cosine): the benchmark items that a document contains,
     word for word or reworded; h is xxhash64 of the text, place the word near which the best match starts.
 
-    The items' words are the vocabulary; idf counts all passages (64 words) of the corpus. A randomised SVD over these
+    The items' words are the vocabulary; idf counts all passages (64 words) of the corpus; words in over a share `common` of them carry no weight. A randomised SVD over these
     TF-IDF passages gives a latent space, in which each overlapping passage is compared with each item; at a cosine
     of `cosine` or more, or where the passage reaches the share `own` of the item's own projection (which falls as
     items grow in number), the pair is a candidate, and all candidates are verified: the longest common subsequence with
@@ -385,7 +409,7 @@ def find_leaks(
     texts are searched in overlapping slices.
     """
     s = settings or Settings()
-    docs = texts(df, id_col, text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    docs = texts(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
     blocks = max(1, -(-items.count() // s.items_per_block))
     found: list[DataFrame] = []
@@ -398,8 +422,9 @@ def find_leaks(
             found.append(_search(coded.limit(0), block, np.zeros(1), np.zeros((1, 1)), dtype, s))
             continue
         coded = materialise(coded, "coded")
-        idf, passages = _inverse_frequencies(coded, block, dtype, s.common)
-        basis = latent_basis(coded, block, idf, passages, dtype, s)
+        tasks = coded.rdd.getNumPartitions()
+        idf, passages = _inverse_frequencies(coded, block, dtype, s.common, tasks)
+        basis = latent_basis(coded, block, idf, passages, dtype, s, tasks)
         found.append(_search(coded, block, idf, basis, dtype, s))
     # A huge text's slices and repeated rows can tell of one leak several times.
     best = F.max(F.struct("coverage", "answer_coverage", "place", "cosine")).alias("best")
@@ -416,8 +441,9 @@ def decontaminate(
     """The rows of df, with all their columns, in which find_leaks finds nothing. Rows with a null id are judged by
     their text like all others."""
     leaks = find_leaks(df, benchmark, settings, id_col, text_col)
-    gone = leaks.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    same: Column = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__h")
+    leak_id, leak_h = free_name(df, "leak_id"), free_name(df, "leak_h")
+    gone = leaks.select(F.col("doc_id").alias(leak_id), F.col("h").alias(leak_h)).distinct()
+    same: Column = F.col(id_col).cast("long").eqNullSafe(F.col(leak_id)) & (
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(leak_h)
     )
     return df.join(gone.hint("shuffle_hash"), same, "left_anti")
