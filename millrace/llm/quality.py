@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import map_texts, texts
 
 BITS = 18  # of a feature's hash
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+BREAK = re.compile(r"\s")
 SLICE = 1 << 20  # characters tokenised at a time
 MEMO = 200_000
 _WORDS: dict[str, int] = {}
@@ -45,10 +47,12 @@ def features(text: str, bits: int = BITS) -> np.ndarray:
         _WORDS.clear()
     at = 0
     while at < len(text):
-        # A slice ends at white space where there is some within its second half, else anywhere.
+        # A slice ends where a token does.
         end = min(len(text), at + SLICE)
-        if end < len(text) and (cut := text.rfind(" ", at + SLICE // 2, end)) > 0:
-            end = cut
+        if end < len(text) and (cut := BREAK.search(text, end)):
+            end = cut.start()
+        elif end < len(text):
+            end = len(text)
         tokens = carry + TOKEN.findall(text, at, end)
         at = end
         for t in set(tokens).difference(_WORDS):
@@ -163,8 +167,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, rows_per_class:
     """Fit on a bounded sample of the labelled rows for which `learn` (an expression over labels.doc_id) holds.
 
     rows_per_class bounds the sample: of each class the rows with the smallest hash of the id. It is broadcast to the
-    documents (8,000 ids at most), features are extracted where the texts lie, and one task, bounded by the sample,
-    runs the descent. A fifth of the sample calibrates the score to the classes' shares in all labelled rows. With
+    documents (8,000 ids at most), features are extracted where the texts lie (2^18 distinct ones a row at most), and
+    one task, bounded by the sample, runs the descent. Of rows that repeat a sampled id the first by the text's hash
+    teaches. A fifth of the sample calibrates the score to the classes' shares in all labelled rows. With
     fewer than two classes the model scores the one there is as 1 or 0, and 0.5 where there is none.
     """
     known = (
@@ -181,11 +186,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, rows_per_class:
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
         picked = part if picked is None else picked.union(part)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "y": batch["y"], "found": [features(t).tobytes() for t in batch["text"]]}
-            )
+    def make() -> Callable[[list[str]], list[pa.Array]]:
+        return lambda part: [pa.array([features(t).tobytes() for t in part], pa.binary())]
 
     def learned(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["doc_id", "y", "found"])
@@ -196,7 +198,12 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, rows_per_class:
         m = fit_rows(found, y, share, hold)
         return pd.DataFrame({"weights": [m.weights.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
-    sample = texts(documents).join(F.broadcast(picked), "doc_id").mapInPandas(extract, "doc_id long, y int, found binary")
+    taught = texts(documents).join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("text"))
+    sample = (
+        map_texts(taught, make, "found binary")
+        .groupBy("doc_id", "y")
+        .agg(F.min(F.struct("h", "found")).getField("found").alias("found"))
+    )
     row = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learned, "weights binary, bias double, slope double, shift double").first()
     if row is None:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, 0.0)
@@ -208,11 +215,10 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     without a token gets the score of the bias alone. Repeated rows and null ids stay; empty tables stay empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # fixed size: 2^18 weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [shared.value.score(t) for t in batch["text"]]})
+    def make() -> Callable[[list[str]], list[pa.Array]]:
+        return lambda part: [pa.array(list(map(shared.value.score, part)), pa.float64())]
 
-    return texts(df, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    return map_texts(texts(df, id_col, text_col), make, "score double")
 
 
 def keep(df: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
