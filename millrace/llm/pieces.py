@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import map_texts, texts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest piece score, for each character without a piece
@@ -63,7 +63,8 @@ class Pieces:
         self.unknown_id = model.unk_id()
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score))
-        assert not any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.score)
+        if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.score):
+            raise ValueError(f"{path}: pieces that hold a space marker or a line break inside cannot be cut into segments")
         self.raw: list[bytes] = [b""] * size
         for p, i in self.ids.items():
             self.raw[i] = p.encode()
@@ -366,7 +367,7 @@ def encode_nbest(df: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_
                     schema=RESULT,
                 )
 
-    return texts(df, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT_DDL)
+    return texts(df, id_col, text_col).mapInArrow(run, RESULT_DDL)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -388,28 +389,22 @@ def encode_and_check(df: DataFrame, model_path: str, n: int = 4, id_col: str = "
     round_trip says that decoding the ids gives the text back.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], list[pa.Array]]:
         model = pieces(model_path)
-        for batch in batches:
-            part = batch["text"].to_list()
-            rows = []
-            for at in range(0, len(part), 64):
-                rows += [
-                    (
-                        len(ids) // 4,
-                        zlib.crc32(ids),
-                        [score, *[s for s, _ in others]],
-                        model.decode(np.frombuffer(ids, np.int32)) == text,
-                    )
-                    for text, (ids, score, others) in zip(part[at : at + 64], model.encode(part[at : at + 64], n), strict=True)
-                ]
-            yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "scores", "round_trip"]).assign(
-                doc_id=batch["doc_id"]
-            )
-
-    return (
-        texts(df, id_col, text_col)
-        .select(F.col("doc_id").cast("long"), "text")
-        .mapInPandas(run, "n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean, doc_id long")
-        .select("doc_id", "n_pieces", "ids_crc32", "scores", "round_trip")
-    )
+
+        def checked(part: list[str]) -> list[pa.Array]:
+            solved = model.encode(part, n)
+            return [
+                pa.array([len(ids) // 4 for ids, _, _ in solved], pa.int64()),
+                pa.array([zlib.crc32(ids) for ids, _, _ in solved], pa.int64()),
+                pa.array([[score, *[s for s, _ in others]] for _, score, others in solved], pa.list_(pa.float64())),
+                pa.array(
+                    [model.decode(np.frombuffer(ids, np.int32)) == text for text, (ids, _, _) in zip(part, solved, strict=True)],
+                    pa.bool_(),
+                ),
+            ]
+
+        return checked
+
+    schema = "n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean"
+    return map_texts(texts(df, id_col, text_col), make, schema, rows=64)
