@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import free_name, map_texts, texts
 from millrace.operators.graph import components
 from millrace.plans.storage import materialise
 
@@ -41,16 +42,13 @@ def fingerprint(text: str, shingle_words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. One row for each row of df."""
+    """(doc_id, h, fp): h is xxhash64 of the text, fp the fingerprint's 64 bits as a signed long. One row for each row
+    of df."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, shingle_words) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+    def make() -> Callable[[list[str]], list[pa.Array]]:
+        return lambda part: [pa.array(np.array([fingerprint(t, shingle_words) for t in part], np.uint64).view(np.int64))]
 
-    return texts(df, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        run, "doc_id long, fp long"
-    )
+    return map_texts(texts(df, id_col, text_col).withColumn("h", F.xxhash64("text")), make, "fp long")
 
 
 def _profile(fp: str) -> list[Column]:
@@ -109,20 +107,28 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 2048) -> DataFr
     """
     profiled = distinct.select("fp", F.array(*_profile("fp")).alias("tile"))
     # At most 17^4 profiles, whatever the input: a bounded table.
-    blocks = profiled.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).alias("blocks"))
+    blocks = materialise(profiled.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).alias("blocks")), "simhash-blocks")
     tiles = (
-        profiled.join(blocks, "tile")
+        profiled.join(F.broadcast(blocks), "tile")
         .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
         .groupBy("tile", "block")
         .agg(F.collect_list("fp").alias("fps"))
     )
     tiles = materialise(tiles, "simhash-tiles")
     steps = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _steps(radius)])
-    left = tiles.select(
-        F.col("tile").alias("ltile"), F.col("block").alias("lblock"), F.col("fps").alias("lfps"), F.explode(steps).alias("step")
-    ).select("lblock", "lfps", "ltile", F.zip_with("ltile", "step", lambda x, d: x + d).alias("tile"))
-    pairs = left.join(tiles, "tile").filter("tile <> ltile or lblock <= block").select(
-        "lfps", "fps", (F.expr("tile = ltile and lblock = block")).alias("same")
+    # Which blocks meet which: named by tile and block, so that the pairs of a common profile are spread as well.
+    meets = (
+        tiles.select(F.col("tile").alias("ltile"), F.col("block").alias("lblock"), F.explode(steps).alias("step"))
+        .select("ltile", "lblock", F.zip_with("ltile", "step", lambda x, d: x + d).alias("tile"))
+        .join(F.broadcast(blocks), "tile")
+        .select("ltile", "lblock", "tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        .filter("tile <> ltile or lblock <= block")
+    )
+    left = tiles.select(F.col("tile").alias("ltile"), F.col("block").alias("lblock"), F.col("fps").alias("lfps"))
+    pairs = (
+        meets.join(left, ["ltile", "lblock"])
+        .join(tiles, ["tile", "block"])
+        .select("lfps", "fps", F.expr("tile = ltile and lblock = block").alias("same"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +142,8 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 2048) -> DataFr
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of df: component_id is the smallest doc_id that links reach.
+    """(doc_id, h, fp, component_id) for every row of df: component_id is the smallest doc_id that links reach, h is
+    xxhash64 of the text.
 
     Fingerprints are compared once each, however many documents share one, so copies cost one row. Null texts count
     as empty, and texts without a word share fingerprint zero, which links like any other. Rows that repeat an id
@@ -150,14 +157,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(member, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(member, "fp").select("doc_id", "h", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """The rows of df whose id is the smallest of its component; columns as in df.
 
-    Rows that repeat the kept id all stay. Rows with a null id stay too: nothing tells which of them to keep.
+    Rows that repeat the kept id all stay. Rows with a null id stay too: nothing tells which of them to keep. An id with
+    several texts is judged text by text.
     """
     found = near_duplicates(df, id_col, text_col, radius)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone_id, gone_h = free_name(df, "gone_id"), free_name(df, "gone_h")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
+    same = (F.col(id_col).cast("long") == F.col(gone_id)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(gone_h))
+    return df.join(gone, same, "left_anti")

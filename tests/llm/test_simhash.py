@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import simhash
 from millrace.llm.queries import op7_simhash
@@ -65,13 +66,15 @@ def test_odd_rows(spark):
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     got = simhash.near_duplicates(df)
-    assert got.columns == ["doc_id", "fp", "component_id"]
+    assert got.columns == ["doc_id", "h", "fp", "component_id"]
     found = [(r.doc_id, r.component_id) for r in got.collect()]
     assert sorted(found, key=str) == sorted(
         [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (None, 4), (6, 6)], key=str
     )
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
+    clash = df.withColumn("gone_id", F.lit(1)).withColumn("GONE_H", F.lit(2))
+    assert simhash.keep_one(clash).columns == clash.columns and simhash.keep_one(clash).count() == kept.count()
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "None"]
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
@@ -80,3 +83,14 @@ def test_zero_links_to_near_zero(spark):
     df = spark.createDataFrame([(0,), (7,), (8,), (-1,)], "fp long")
     got = {(r.a, r.b) for r in simhash.links(df).collect()}
     assert {x for p in got for x in p} == {0, 7, 8} and len(got) == 2
+
+
+def test_ids_beside_null_and_ids_with_two_texts(spark):
+    big = 2**53 + 1
+    a, b = "alpha beta gamma delta", "nu xi omicron pi rho"
+    rows = [(None, a), (big, a), (1, b), (3, a), (3, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == {(None, 3), (big, 3), (1, 1), (3, 3), (3, 1)}
+    # Of each group one row stays, though the id 3 heads one and follows in the other.
+    assert sorted(map(str, (tuple(r) for r in simhash.keep_one(df).collect()))) == sorted(map(str, [(None, a), (1, b), (3, a)]))
