@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of docs.
+
+In every stage a null text counts as empty, and stays null where it is kept; rows that repeat an id and a text get one
+and the same decision; rows with a null id are judged by their text, and none goes as a near copy; other columns, whatever
+their names, pass through; very long texts are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
