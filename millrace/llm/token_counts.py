@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import map_texts, texts
 
-CHUNK = 1 << 15  # characters of a chunk
+CHUNK = 1 << 14  # characters of a chunk; longer texts are huge
 OVERLAP = 256  # characters that neighbouring chunks share at first
 MEMO = 300_000  # segments remembered in a worker
 #: A single space between two characters that are not white space starts a token of every byte-level model.
@@ -70,8 +70,10 @@ class Counter:
         parts = [SEGMENT.split(t) for t in batch]
         fresh = list({s for p in parts for s in p if s not in memo})
         if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = list({s for p in parts for s in p})
+            # The first ones seen are the frequent ones: they stay, the later half goes.
+            for s in list(memo)[MEMO // 2 :]:
+                del memo[s]
+            fresh = list({s for p in parts for s in p if s not in memo})
         memo.update(zip(fresh, self.whole(fresh), strict=True))
         return [sum(map(memo.__getitem__, p)) for p in parts]
 
@@ -117,15 +119,15 @@ class Counter:
                     break
                 wide *= 2
 
-    def count(self, batch: list[str]) -> list[int]:
+    def count(self, batch: list[str], chunk: int = CHUNK) -> list[int]:
         if not self.byte_level:
             return self.whole(batch)
         out = [0] * len(batch)
-        short = [i for i, t in enumerate(batch) if len(t) <= CHUNK]
+        short = [i for i, t in enumerate(batch) if len(t) <= chunk]
         for i, n in zip(short, self.segmented([batch[i] for i in short]), strict=True):
             out[i] = n
         for i in set(range(len(batch))) - set(short):
-            out[i] = self.spliced(batch[i])
+            out[i] = self.spliced(batch[i], chunk)
         return out
 
 
@@ -137,28 +139,19 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(
-    df: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row: UTF-8 bytes, tokens of the whole text without added
     special tokens, and whether these are over the limit.
 
     Null texts count as empty: no bytes, no tokens. Special strings inside a text are handled as the library does by
-    default. Repeated rows and null ids stay as they are; an empty table gives an empty table. Long texts go in chunks
-    of bounded size; models other than byte-level ones, for which no splice is proven, encode each text whole.
+    default. Repeated rows and null ids stay as they are; an empty table gives an empty table. Texts of over `chunk`
+    characters go in overlapping chunks of that size, spliced where both encodings agree; models other than byte-level ones, for which no splice is proven, encode each text whole.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Callable[[list[str]], list[int]] = counter(tokenizer_path).count
-        for batch in batches:
-            part = batch["text"].to_list()
-            n: list[int] = []
-            for at in range(0, len(part), 64):
-                n += count(part[at : at + 64])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": n})
-
-    return (
-        texts(df, id_col, text_col)
-        .select(F.col("doc_id").cast("long"), "text", F.octet_length("text").cast("long").alias("n_bytes"))
-        .mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    def make() -> Callable[[list[str]], list[pa.Array]]:
+        one = counter(tokenizer_path)
+        return lambda part: [pa.array(one.count(part, chunk), pa.int64())]
+
+    docs = texts(df, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return map_texts(docs, make, "n_tokens long", rows=64).withColumn("over_limit", F.col("n_tokens") > limit)
