@@ -118,7 +118,7 @@ def test_hilbert_curve_is_one_walk(spark):
     from pyspark.sql import functions as F
 
     cells = [(a, b, c) for a in range(8) for b in range(8) for c in range(8)]
-    df = spark.createDataFrame(cells, "a int, b int, c int").select("*", sharding.hilbert_index(F.array("a", "b", "c"), 3).alias("h"))
+    df = spark.createDataFrame(cells, "a int, b int, c int").select("*", sharding.hilbert_index(F.array("a", "b", "c"), 3, bits=3).alias("h"))
     rows = df.collect()
     assert all(r.h == hilbert((r.a, r.b, r.c), 3) for r in rows)
     walk = [(r.a, r.b, r.c) for r in sorted(rows, key=lambda r: r.h)]
@@ -137,6 +137,10 @@ def check_shards(rows, docs):
         assert r.law == "rows" and r.grown_shard is None
     counts = [len(by.get(s, [])) for s in range(16)]
     assert sum(counts) == n and max(counts) - min(counts) <= 1
+    shards_of = {}
+    for r in rows:
+        shards_of.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert sum(len(x) - 1 for x in shards_of.values()) <= 15  # a text's copies are parted by cuts alone
     last = -1
     for s in sorted(by):
         part = sorted(by[s], key=lambda r: r.slot)
@@ -153,6 +157,7 @@ def test_shards(spark, sf_dir):
 def test_shards_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RUN", 7)
     rows = [(i % 9 or None, "t" * (i % 4) if i % 5 else None, "en" if i % 3 else None, "hot", i) for i in range(200)]
+    rows += [(2**53 + 1, "q", "de", "cold", 1), (None, "one", "de", None, 1), (5, "one", None, "cold", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, curve int")
     check_shards(sharding.hilbert_shards(df).collect(), [r[:2] for r in rows])
     assert sharding.hilbert_shards(df.limit(0)).collect() == []
