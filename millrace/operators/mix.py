@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 DECAYS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
-HALF_SATURATIONS = (0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)  # times the mean active level
-SHAPES = (1.0, 1.5, 2.0)
+HALF_SATURATIONS = (0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0)  # times the channel's mean weekly spend
+SHAPES = (1.0, 1.5, 2.2)
 HOLDOUT = 13  # weeks
+YEAR = 52.18  # weeks
+PENALTY = 0.05  # of the ridge; the intercept is free
+START = (0.3, 1.0, 1.5)  # decay, multiple and shape the search starts from, and the priors' centres
+WIDTHS = (0.3, 0.8, 0.7)  # of the priors on decay, log multiple and shape
+TERMS = ["trend", *[f"{f}{k}" for k in (1, 2, 3) for f in ("sin", "cos")]]
 
 
 def validated(wide: DataFrame, channels: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -63,11 +68,11 @@ def hill(x: Column, half: Column, shape: Column) -> Column:
     return F.when(x > 0, 1 / (1 + F.pow(half / x, shape))).otherwise(0.0)
 
 
-def curve_candidates(stocked: DataFrame) -> DataFrame:
-    """(panel_id, channel, decay, half, shape): the grid, half-saturations as multiples of the mean active level."""
-    level = stocked.groupBy("panel_id", "channel", "decay").agg(F.avg(F.when(F.col("x") > 0, F.col("x"))).alias("level"))
-    grid = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(s).alias("shape")) for h, s in product(HALF_SATURATIONS, SHAPES)])
-    return level.select("panel_id", "channel", "decay", "level", F.inline(grid)).select("panel_id", "channel", "decay", (F.col("level") * F.col("h")).alias("half"), "shape")
+def curve_candidates(spend: DataFrame, decays=DECAYS) -> DataFrame:
+    """(panel_id, channel, decay, half, shape): the grid, half-saturations as multiples of the mean weekly spend."""
+    level = spend.groupBy("panel_id", "channel").agg(F.avg("spend").alias("level"))
+    grid = F.array(*[F.struct(F.lit(float(d)).alias("decay"), F.lit(h).alias("h"), F.lit(s).alias("shape")) for d, h, s in product(decays, HALF_SATURATIONS, SHAPES)])
+    return level.select("panel_id", "channel", "level", F.inline(grid)).select("panel_id", "channel", "decay", (F.col("level") * F.col("h")).alias("half"), "shape")
 
 
 def saturated(stocked: DataFrame, curves: DataFrame) -> DataFrame:
@@ -82,24 +87,43 @@ def baseline(target: DataFrame) -> DataFrame:
     rows = target.withColumn("t", F.row_number().over(w.orderBy("week")) - 1).withColumn("n", F.count("*").over(w))
     waves = {}
     for k in (1, 2, 3):
-        waves[f"sin{k}"] = F.sin(2 * math.pi * k * F.col("t") / 52.0)
-        waves[f"cos{k}"] = F.cos(2 * math.pi * k * F.col("t") / 52.0)
+        waves[f"sin{k}"] = F.sin(2 * math.pi * k * F.col("t") / YEAR)
+        waves[f"cos{k}"] = F.cos(2 * math.pi * k * F.col("t") / YEAR)
     return rows.withColumn("trend", F.col("t") / F.greatest(F.col("n") - 1, F.lit(1))).withColumns(waves)
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, media: int, lam: float = 1e-3) -> np.ndarray:
-    """Ridge weights; the last `media` are non-negative: the most negative leaves, and the rest is refitted."""
-    live = list(range(x.shape[1]))
+def _ridge(x: np.ndarray, y: np.ndarray, media: int) -> tuple[np.ndarray, float]:
+    """Ridge weights and the sum of squared errors. The first column is the intercept, which is not penalised; the last
+    `media` weights are non-negative: while some are negative, the most negative one leaves and the rest is refitted."""
+    first = x.shape[1] - media
+    g, h = x.T @ x + PENALTY * np.diag([0.0, *[1.0] * (x.shape[1] - 1)]), x.T @ y
+    live = np.arange(x.shape[1])
     while True:
-        a = x[:, live]
-        g = a.T @ a
-        beta = np.linalg.solve(g + lam * np.trace(g) / len(live) * np.eye(len(live)), a.T @ y)
-        worst = min((k for k in range(len(live)) if live[k] >= x.shape[1] - media), key=lambda k: beta[k], default=None)
-        if worst is None or beta[worst] >= 0:
+        beta = np.linalg.solve(g[np.ix_(live, live)], h[live])
+        drop = first + int(np.argmin(beta[first:])) if len(live) > first else -1
+        if drop < 0 or beta[drop] >= 0:
             out = np.zeros(x.shape[1])
             out[live] = beta
-            return out
-        live.pop(worst)
+            error = y - x @ out
+            return out, float(error @ error)
+        live = np.delete(live, drop)
+
+
+def _responses(spend: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All curves of one channel: (curves, 3) decay, multiple and shape, (curves, weeks) responses, (curves,) priors."""
+    grid = np.array(list(product(DECAYS, HALF_SATURATIONS, SHAPES)))
+    stocks = {}
+    for d in DECAYS:
+        run, out = 0.0, np.zeros(len(spend))
+        for k, v in enumerate(spend):
+            run = run * d + v
+            out[k] = run * (1 - d)
+        stocks[d] = out
+    x = np.stack([stocks[d] for d in grid[:, 0]])
+    half = grid[:, 1] * max(float(spend.mean()), 1e-12)
+    ratio = np.divide(half[:, None], x, out=np.full(x.shape, np.inf), where=x > 0)
+    away = (grid[:, 0] - START[0]) / WIDTHS[0], np.log(grid[:, 1] / START[1]) / WIDTHS[1], (grid[:, 2] - START[2]) / WIDTHS[2]
+    return grid, 1 / (1 + ratio ** grid[:, 2:]), sum(a * a for a in away)
 
 
 FIT_SCHEMA = "panel_id long, channel string, decay double, half double, shape double, beta double"
@@ -108,66 +132,50 @@ FIT_SCHEMA = "panel_id long, channel string, decay double, half double, shape do
 def fit_panels(spend: DataFrame, target: DataFrame, sweeps: int = 4, holdout: int = HOLDOUT) -> DataFrame:
     """(panel_id, channel, decay, half, shape, beta), and a panel's baseline terms with null curves.
 
-    A group is one panel: its weeks and channels, a few thousand numbers, whatever the number of panels. Curves are
-    searched a channel at a time, at most `sweeps` times round, scored by squared error on the training weeks plus mild
-    priors on decay and shape; the chosen curves are then refitted on all weeks.
+    A group is one panel: its weeks and channels, a few thousand numbers, whatever the number of panels. Each channel's
+    curve (216 of them) is searched in turn, at most `sweeps` times round, from decay 0.3, one mean spend and shape 1.5:
+    the least squared error on the training weeks, over the variance the first curves leave, plus weak priors on decay,
+    half-saturation and shape. The chosen curves are then refitted on all weeks. Revenue is in units of its mean over
+    the training weeks while fitting; coefficients are returned in its own.
     """
-    base = baseline(target)
-    terms = ["trend", *[f"{f}{k}" for k in (1, 2, 3) for f in ("sin", "cos")]]
-    rows = spend.join(base, ["panel_id", "week"])
+    rows = spend.join(baseline(target), ["panel_id", "week"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         weeks = pdf.drop_duplicates("week").sort_values("week")
-        channels = sorted(pdf["channel"].unique())
-        x0 = np.column_stack([np.ones(len(weeks)), weeks[terms].to_numpy()])
-        y = weeks["revenue"].to_numpy()
-        scale = max(float(np.abs(y).mean()), 1e-9)
-        y = y / scale
         raw = pdf.pivot_table(index="week", columns="channel", values="spend", aggfunc="sum").reindex(weeks["week"]).fillna(0.0)
-        stocks, options = {}, {}
-        for c in channels:
-            s = raw[c].to_numpy()
-            for d in DECAYS:
-                out, run = np.zeros(len(s)), 0.0
-                for k, v in enumerate(s):
-                    run = run * d + v
-                    out[k] = run * (1 - d)
-                stocks[c, d] = out
-            options[c] = []
-            for d in DECAYS:
-                x = stocks[c, d]
-                level = float(x[x > 0].mean()) if (x > 0).any() else 1.0
-                for h, p in product(HALF_SATURATIONS, SHAPES):
-                    half = level * h
-                    v = np.zeros(len(x))
-                    v[x > 0] = 1 / (1 + (half / x[x > 0]) ** p)
-                    options[c].append((d, half, p, v))
-        train = slice(0, max(len(y) - holdout, len(y) // 2))
-        var = max(float(y[train].var()), 1e-12) * 0.1
-
-        def cost(picks: list[int]) -> float:
-            x = np.column_stack([x0, *[options[c][k][3] for c, k in zip(channels, picks, strict=True)]])[train]
-            e = y[train] - x @ _ridge(x, y[train], len(channels))
-            prior = sum(((options[c][k][0] - 0.4) / 0.3) ** 2 + (options[c][k][2] - 1.0) ** 2 for c, k in zip(channels, picks, strict=True))
-            return float(e @ e) / var + 0.5 * prior
-
-        picks = [len(options[c]) // 2 for c in channels]
-        best = cost(picks)
+        flat = np.column_stack([np.ones(len(weeks)), weeks[TERMS].to_numpy(float)])
+        train = slice(0, max(len(weeks) - holdout, (len(weeks) + 1) // 2))
+        scale = max(float(np.abs(weeks["revenue"].to_numpy(float)[train]).mean()), 1e-9)
+        y = weeks["revenue"].to_numpy(float) / scale
+        curves = [_responses(raw[c].to_numpy(float)) for c in raw.columns]
+        start = list(product(DECAYS, HALF_SATURATIONS, SHAPES)).index(START)
+        design = np.column_stack([flat, *[v[start] for _, v, _ in curves]])
+        picks = [start] * len(curves)
+        free = max(len(y[train]) - design.shape[1], 1)
+        noise = max(_ridge(design[train], y[train], len(curves))[1] / free, 1e-12)
+
+        def cost(x: np.ndarray, chosen: list[int]) -> float:
+            return _ridge(x[train], y[train], len(curves))[1] / noise + sum(p[k] for (_, _, p), k in zip(curves, chosen, strict=True))
+
+        best = cost(design, picks)
         for _ in range(sweeps):
-            moved = False
-            for i, c in enumerate(channels):
-                for k in range(len(options[c])):
-                    trial = [*picks[:i], k, *picks[i + 1 :]]
-                    now = cost(trial)
+            before = list(picks)
+            for i, (_, values, _) in enumerate(curves):
+                trial = design.copy()
+                for k, value in enumerate(values):
+                    trial[:, flat.shape[1] + i] = value
+                    now = cost(trial, [*picks[:i], k, *picks[i + 1 :]])
                     if now < best - 1e-9:
-                        picks, best, moved = trial, now, True
-            if not moved:
+                        best, picks[i] = now, k
+                        design[:, flat.shape[1] + i] = value
+            if picks == before:
                 break
-        x = np.column_stack([x0, *[options[c][k][3] for c, k in zip(channels, picks, strict=True)]])
-        beta = _ridge(x, y, len(channels)) * scale
+        beta = _ridge(design, y, len(curves))[0] * scale
         panel = int(pdf["panel_id"].iloc[0])
-        out = [(panel, name, None, None, None, b) for name, b in zip(["1", *terms], beta, strict=False)]
-        out += [(panel, c, *options[c][k][:3], b) for c, k, b in zip(channels, picks, beta[len(terms) + 1 :], strict=True)]
+        out = [(panel, name, None, None, None, b) for name, b in zip(["1", *TERMS], beta, strict=False)]
+        for c, k, b, (grid, _, _) in zip(raw.columns, picks, beta[flat.shape[1] :], curves, strict=True):
+            decay, multiple, shape = grid[k]
+            out.append((panel, c, decay, multiple * float(raw[c].mean()), shape, b))
         return pd.DataFrame(out, columns=["panel_id", "channel", "decay", "half", "shape", "beta"])
 
     return rows.groupBy("panel_id").applyInPandas(solve, FIT_SCHEMA)
@@ -179,9 +187,8 @@ def fitted(target: DataFrame, stocked: DataFrame, model: DataFrame) -> DataFrame
     media = saturated(stocked, curves.drop("beta")).join(curves.select("panel_id", "channel", "beta"), ["panel_id", "channel"])
     media = media.groupBy("panel_id", "week").agg(F.sum(F.col("v") * F.col("beta")).alias("media"))
     base = baseline(target)
-    terms = ["trend", *[f"{f}{k}" for k in (1, 2, 3) for f in ("sin", "cos")]]
-    values = base.select("panel_id", "week", "revenue", "t", "n", F.lit(1.0).alias("1"), *terms)
-    long = values.unpivot(["panel_id", "week", "revenue", "t", "n"], ["1", *terms], "channel", "v")
+    values = base.select("panel_id", "week", "revenue", "t", "n", F.lit(1.0).alias("1"), *TERMS)
+    long = values.unpivot(["panel_id", "week", "revenue", "t", "n"], ["1", *TERMS], "channel", "v")
     flat = long.join(model.filter("decay is null").select("panel_id", "channel", "beta"), ["panel_id", "channel"])
     flat = flat.groupBy("panel_id", "week", "revenue", "t", "n").agg(F.sum(F.col("v") * F.col("beta")).alias("base"))
     return flat.join(media, ["panel_id", "week"]).select("panel_id", "week", "revenue", (F.col("base") + F.col("media")).alias("fit"), "base", (F.col("t") >= F.col("n") - HOLDOUT).alias("holdout"))
@@ -264,17 +271,69 @@ def channel_correlation(spend: DataFrame) -> DataFrame:
     return rows.groupBy("panel_id", "a", "b").agg(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)).alias("r"))
 
 
-def recovery_diagnosis(spend: DataFrame, correlation: DataFrame) -> DataFrame:
-    """(panel_id, channel, collinear, flat, flights, small): why a channel's curve may be hard to recover."""
-    w = Window.partitionBy("panel_id", "channel").orderBy("week")
-    rows = spend.withColumn("on", F.col("spend") > 0).withColumn("rise", F.col("on") & ~F.coalesce(F.lag("on").over(w), F.lit(False)))
+def recovery_diagnosis(spend: DataFrame, correlation: DataFrame, contribution: DataFrame, target: DataFrame) -> DataFrame:
+    """(panel_id, channel, collinear, flat, flights, few_flights, small): why a channel's curve may be hard to recover.
+
+    flat: spend varies by under 0.3 of its mean. A flight is a run of weeks above 40 % of the channel's peak; few_flights:
+    four at most, with a lower quartile below a tenth of the peak. small: none of these, and its contribution
+    (panel_id, channel, contribution) is under 4 % of the panel's revenue.
+    """
+    w = Window.partitionBy("panel_id", "channel")
+    high = F.col("spend") > 0.4 * F.max("spend").over(w)
+    rows = spend.withColumn("high", high)
+    rows = rows.withColumn("rise", F.col("high") & ~F.coalesce(F.lag("high").over(w.orderBy("week")), F.lit(False)))
     stats = rows.groupBy("panel_id", "channel").agg(
-        (F.coalesce(F.stddev_samp("spend"), F.lit(0.0)) / F.avg("spend") < 0.3).alias("flat"), F.count_if(F.col("rise")).alias("flights"), F.sum("spend").alias("s")
+        (F.coalesce(F.stddev_samp("spend"), F.lit(0.0)) / F.avg("spend") < 0.3).alias("flat"),
+        F.count_if(F.col("rise")).alias("flights"),
+        (F.percentile("spend", F.lit(0.25)) < 0.1 * F.max("spend")).alias("gaps"),
     )
-    stats = stats.withColumn("small", F.col("s") / F.sum("s").over(Window.partitionBy("panel_id")) < 0.04).drop("s")
     ends = correlation.filter(F.abs("r") > 0.6)
     hit = ends.select("panel_id", F.explode(F.array("a", "b")).alias("channel")).distinct().withColumn("collinear", F.lit(True))
-    return stats.join(hit, ["panel_id", "channel"], "left").withColumn("collinear", F.coalesce("collinear", F.lit(False)))
+    revenue = target.groupBy("panel_id").agg(F.sum("revenue").alias("revenue"))
+    share = contribution.join(revenue, "panel_id").select("panel_id", "channel", (F.col("contribution") / F.col("revenue")).alias("share"))
+    marked = stats.join(hit, ["panel_id", "channel"], "left").join(share, ["panel_id", "channel"], "left")
+    marked = marked.withColumn("collinear", F.coalesce("collinear", F.lit(False))).withColumn("few_flights", (F.col("flights") <= 4) & F.col("gaps"))
+    none = ~F.col("collinear") & ~F.col("flat") & ~F.col("few_flights")
+    return marked.select("panel_id", "channel", "collinear", "flat", "flights", "few_flights", (none & F.coalesce(F.col("share") < 0.04, F.lit(False))).alias("small"))
+
+
+def headline(plan: DataFrame) -> DataFrame:
+    """(panel_id, headline) of a plan (panel_id, channel, weekly, planned, half, shape, beta): what moves where, and what
+    it earns a week. A channel moves if it changes by over 0.5 % of all spend."""
+    panel = Window.partitionBy("panel_id")
+    rows = plan.withColumn("change", F.col("planned") - F.col("weekly")).withColumn("least", 0.005 * F.sum("weekly").over(panel))
+    best = lambda order: F.row_number().over(panel.orderBy(order, "channel"))
+    rows = rows.withColumn("up", best(F.desc("change"))).withColumn("down", best(F.asc("change")))
+    grown, cut = F.col("change") > F.col("least"), F.col("change") < -F.col("least")
+    sums = rows.groupBy("panel_id").agg(
+        F.count_if(grown).alias("ups"), F.count_if(cut).alias("downs"), F.sum(F.when(cut, -F.col("change")).otherwise(0.0)).alias("moved"),
+        F.max(F.when(F.col("up") == 1, F.col("channel"))).alias("top"), F.max(F.when(F.col("down") == 1, F.col("channel"))).alias("bottom"),
+        F.sum(response(F.col("planned")) - response(F.col("weekly"))).alias("gain"),
+    )
+    money = lambda c: F.format_string("%.0f", F.round(c))
+    gain = F.concat(F.when(F.col("gain") >= 0, "+").otherwise("-"), money(F.abs("gain")), F.lit(" revenue/wk"))
+    shift = F.concat(F.lit("Shift "), money(F.col("moved")), F.lit("/wk "))
+    text = (
+        F.when((F.col("ups") == 0) & (F.col("downs") == 0), "Today's split is already close to the best plan")
+        .when((F.col("ups") == 1) & (F.col("downs") == 1), F.concat(shift, F.lit("from "), "bottom", F.lit(" to "), "top", F.lit(": "), gain))
+        .when((F.col("ups") > 0) & (F.col("downs") > 0), F.concat(shift, F.lit("toward "), "top", F.lit(": "), gain))
+        .when(F.col("ups") > 0, F.concat(F.lit("Extra budget goes mostly to "), "top", F.lit(": "), gain))
+        .otherwise(F.concat(F.lit("Cuts land first on "), "bottom", F.lit(": "), gain))
+    )
+    return sums.select("panel_id", text.alias("headline"))
+
+
+def panel_errors(spend: DataFrame, weeks: int = 52, active: int = 4, channels: int = 8) -> DataFrame:
+    """(panel_id, error) of panels that cannot be fitted: fewer weeks than 52, more channels than 8, or a channel with
+    spend in fewer than 4 weeks."""
+    each = spend.groupBy("panel_id", "channel").agg(F.count_if(F.col("spend") > 0).alias("on"))
+    short = spend.groupBy("panel_id").agg(F.countDistinct("week").alias("n"), F.countDistinct("channel").alias("c"))
+    message = lambda text, n: F.format_string(text, n)
+    return (
+        short.filter(F.col("n") < weeks).select("panel_id", message(f"%d weeks, at least {weeks} are needed", F.col("n")).alias("error"))
+        .union(short.filter(F.col("c") > channels).select("panel_id", message(f"%d channels, at most {channels} are fitted", F.col("c"))))
+        .union(each.filter(F.col("on") < active).select("panel_id", F.format_string(f"%s has spend in %d weeks, at least {active} are needed", "channel", "on")))
+    )
 
 
 def truth_recovery(estimate: DataFrame, truth: DataFrame) -> DataFrame:
