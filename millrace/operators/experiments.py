@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def dense(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(panel, counters): duplicates summed, missing geo-days zero; counters: test_id, bad (no number), missing."""
     rows = panel.select("test_id", "geo", F.col("day").try_cast("date").alias("day"), F.col("kpi").try_cast("double").alias("kpi"))
@@ -25,7 +24,7 @@ def dense(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_pre(panel: DataFrame, tests: DataFrame) -> DataFrame:
-    return panel.join(F.broadcast(tests.select("test_id", "start")), "test_id").withColumn("pre", F.col("day") < F.col("start"))
+    return panel.join(tests.select("test_id", "start"), "test_id").withColumn("pre", F.col("day") < F.col("start"))
 
 
 def normalised(panel: DataFrame, tests: DataFrame) -> DataFrame:
@@ -153,7 +152,7 @@ def placebo_cells(panel: DataFrame, tests: DataFrame, test_cell: DataFrame, draw
 def injected(panel: DataFrame, tests: DataFrame, cells: DataFrame, lift: float) -> DataFrame:
     """panel with a known lift on the test geos from the start on."""
     hit = cells.filter("cell = 'test'").select("test_id", "geo", F.lit(1 + lift).alias("f"))
-    rows = panel.join(hit, ["test_id", "geo"], "left").join(F.broadcast(tests.select("test_id", "start")), "test_id")
+    rows = panel.join(hit, ["test_id", "geo"], "left").join(tests.select("test_id", "start"), "test_id")
     return rows.select("test_id", "geo", "day", F.when(F.col("f").isNotNull() & (F.col("day") >= F.col("start")), F.col("kpi") * F.col("f")).otherwise(F.col("kpi")).alias("kpi"))
 
 
@@ -184,12 +183,19 @@ def null_bands(fitted: DataFrame) -> DataFrame:
     )
 
 
-def power_curve(backtests: DataFrame, max_lift: float = 0.4, points: int = 41) -> DataFrame:
+def power_curve(backtests: DataFrame, max_lift: float = 0.2, points: int = 41) -> DataFrame:
     """(test_id, lift, power) from null back-tests (test_id, null_lift, threshold): the share of them in which a lift on
     top of the null one would pass the threshold."""
-    grid = backtests.sparkSession.range(points).select((F.col("id") * (max_lift / (points - 1))).alias("lift"))
+    grid = F.explode(F.array(*[F.lit(k * max_lift / (points - 1)) for k in range(points)])).alias("lift")
     hit = F.avg((F.col("lift") + F.col("null_lift") * (1 + F.col("lift")) > F.col("threshold")).cast("double"))
-    return backtests.join(F.broadcast(grid)).groupBy("test_id", "lift").agg(hit.alias("power"))
+    return backtests.select("*", grid).groupBy("test_id", "lift").agg(hit.alias("power"))
+
+
+def null_lifts(backtests: DataFrame, level: float = 0.95) -> DataFrame:
+    """(test_id, null_lift, threshold) from back-tests (test_id, window_id, cell, lift): the test cell's lifts where there
+    was none, next to the placebo cells' 95 % point."""
+    edge = backtests.filter("cell <> 'test'").groupBy("test_id").agg(F.percentile("lift", F.lit(level)).alias("threshold"))
+    return backtests.filter("cell = 'test'").select("test_id", F.col("lift").alias("null_lift")).join(edge, "test_id")
 
 
 def minimum_effect(curve: DataFrame, power: float = 0.8) -> DataFrame:
@@ -201,37 +207,53 @@ def minimum_effect(curve: DataFrame, power: float = 0.8) -> DataFrame:
     return rows.withColumn("hit", hit).groupBy("test_id").agg(F.min("hit")["x"].alias("mde"))
 
 
-def windows(panel: DataFrame, tests: DataFrame, count: int = 24, length: int = 4) -> DataFrame:
-    """(test_id, window_id, start, stop): up to `count` starts in the second half of the pre-period, for back-tests."""
-    days = with_pre(panel, tests).filter("pre").select("test_id", "day").distinct()
-    n = F.count("*").over(Window.partitionBy("test_id"))
-    rows = days.withColumn("n", n).withColumn("r", F.row_number().over(Window.partitionBy("test_id").orderBy("day")) - 1)
-    stop = F.lead("day", length).over(Window.partitionBy("test_id").orderBy("day"))
-    first = F.floor(F.col("n") / 2)
-    pace = F.greatest(F.lit(1), F.floor((F.col("n") - length - first) / count))
-    return rows.withColumn("stop", stop).filter((F.col("r") >= first) & F.col("stop").isNotNull() & ((F.col("r") - first) % pace == 0) & (F.col("r") - first < pace * count)).select("test_id", F.col("r").alias("window_id"), F.col("day").alias("start"), "stop")
-
-
-def backtest(panel: DataFrame, wins: DataFrame, cells: DataFrame) -> DataFrame:
-    """(test_id, window_id, cell, lift): every cell in every window, fitted on the days before it alone. A window is a
-    test of its own: its id joins the key, so all of them run as one job."""
+def windows(panel: DataFrame, tests: DataFrame, count: int = 24, history: int = 28) -> DataFrame:
+    """(test_id, window_id, start, stop): up to `count` windows before the start for back-tests, as long as the test
+    itself, evenly from the first with `history` days before it to the last that fits. None where none fits."""
+    days = with_pre(panel, tests).select("test_id", "day", "pre").distinct()
+    lengths = days.groupBy("test_id").agg(F.count_if(F.col("pre")).alias("n"), F.count_if(~F.col("pre")).alias("post"))
+    room = F.col("n") - F.col("post") - history
+    lengths = lengths.withColumn("room", room).filter("room >= 0").withColumn("k", F.least(F.lit(count), F.col("room") + 1))
+    at = F.floor(history + F.when(F.col("k") > 1, F.col("i") * F.col("room") / (F.col("k") - 1)).otherwise(0) + 0.5).cast("int")
+    starts = lengths.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int")))).select("test_id", at.alias("r"), "post")
+    place = days.withColumn("r", F.row_number().over(Window.partitionBy("test_id").orderBy("day")) - 1).select("test_id", "r", "day")
+    first = place.withColumnRenamed("day", "start")
+    last = place.select("test_id", F.col("r").alias("end"), F.col("day").alias("stop"))
+    rows = starts.join(first, ["test_id", "r"]).withColumn("end", F.col("r") + F.col("post"))
+    return rows.join(last, ["test_id", "end"]).select("test_id", F.col("r").alias("window_id"), "start", "stop")
+
+
+def backtest(panel: DataFrame, wins: DataFrame, cells: DataFrame, solve: bool = True) -> DataFrame:
+    """(test_id, window_id, cell, lift): every cell in every window, fitted on the days before it alone, with solved or
+    uniform weights. A window is a test of its own: its id joins the key, so all of them run as one job."""
     both = wins.select("test_id", "window_id", F.xxhash64("test_id", "window_id").alias("key"), "start", "stop")
-    rows = panel.join(F.broadcast(both), "test_id").filter("day < stop").select(F.col("key").alias("test_id"), "geo", "day", "kpi")
-    keyed = cells.join(F.broadcast(both), "test_id").select(F.col("key").alias("test_id"), "cell", "geo")
+    rows = panel.join(both, "test_id").filter("day < stop").select(F.col("key").alias("test_id"), "geo", "day", "kpi")
+    keyed = cells.join(both, "test_id").select(F.col("key").alias("test_id"), "cell", "geo")
     tests = both.select(F.col("key").alias("test_id"), "start")
     norm, series = normalised(rows, tests), cell_series(rows, tests, keyed)
     pool = donors(norm, keyed)
-    w = donor_weights(gram(norm), cross_products(norm, series, pool))
+    w = donor_weights(gram(norm), cross_products(norm, series, pool)) if solve else uniform_weights(pool)
     found = fit_metrics(counterfactual(norm, series, w)).select(F.col("test_id").alias("key"), "cell", "lift")
     return found.join(both.select("key", "test_id", "window_id"), "key").drop("key")
 
 
-def suggest_cell(ranked: DataFrame, low: float = 0.12, high: float = 0.20, worst: float = 0.06) -> DataFrame:
-    """(test_id, geos, share) from (test_id, geo, mape, share): geos of the best fit first, each taken while the cell's
-    share stays within `high`, those of a worse fit than `worst` skipped, until the share reaches `low`."""
-    rows = ranked.filter(F.col("mape") <= worst).groupBy("test_id").agg(F.array_sort(F.collect_list(F.struct("mape", "geo", "share"))).alias("all"))
+def rank_geos(panel: DataFrame, tests: DataFrame, solve: bool = True) -> DataFrame:
+    """(test_id, geo, mape, share): how well all other geos reproduce each geo before the start, and its share of the
+    volume."""
+    alone = panel.select("test_id", F.col("geo").alias("cell"), "geo").distinct()
+    norm, series = normalised(panel, tests), cell_series(panel, tests, alone)
+    pool = donors(norm, alone)
+    w = donor_weights(gram(norm), cross_products(norm, series, pool)) if solve else uniform_weights(pool)
+    fits = fit_metrics(counterfactual(norm, series, w)).select("test_id", "cell", "mape")
+    return fits.join(volume_share(panel, tests, alone), ["test_id", "cell"]).select("test_id", F.col("cell").alias("geo"), "mape", "share")
+
+
+def suggest_cell(ranked: DataFrame, low: float = 0.12, high: float = 0.20, largest: float = 0.06) -> DataFrame:
+    """(test_id, geos, share) from (test_id, geo, mape, share): geos of the best fit first, until the cell's share
+    reaches `low`; a geo with a share over `largest`, or one that would take the cell over `high`, is passed over."""
+    rows = ranked.groupBy("test_id").agg(F.array_sort(F.collect_list(F.struct("mape", "geo", "share"))).alias("all"))
     start = F.struct(F.array().cast("array<string>").alias("geos"), F.lit(0.0).alias("share"))
-    take = lambda acc, g: (acc["share"] < low) & (acc["share"] + g["share"] <= high)
+    take = lambda acc, g: (acc["share"] < low) & (g["share"] <= largest) & (acc["share"] + g["share"] <= high)
     folded = F.aggregate(
         "all", start,
         lambda acc, g: F.struct(F.when(take(acc, g), F.concat(acc["geos"], F.array(g["geo"]))).otherwise(acc["geos"]).alias("geos"), F.when(take(acc, g), acc["share"] + g["share"]).otherwise(acc["share"]).alias("share")),
@@ -239,6 +261,25 @@ def suggest_cell(ranked: DataFrame, low: float = 0.12, high: float = 0.20, worst
     return rows.select("test_id", folded.alias("f")).select("test_id", "f.*")
 
 
+def panel_errors(panel: DataFrame, geos: int = 4, days: int = 42) -> DataFrame:
+    """(test_id, error) of panels too small to test: fewer geos than 4, or fewer days than 42."""
+    n = panel.groupBy("test_id").agg(F.countDistinct("geo").alias("g"), F.countDistinct("day").alias("d"))
+    rows = F.array_compact(
+        F.array(
+            F.when(F.col("g") < geos, F.format_string(f"%d geos, at least {geos} are needed", "g")),
+            F.when(F.col("d") < days, F.format_string(f"%d days, at least {days} are needed", "d")),
+        )
+    )
+    return n.select("test_id", F.explode(rows).alias("error"))
+
+
+def default_start(panel: DataFrame, share: float = 0.75) -> DataFrame:
+    """(test_id, start): the day three quarters through each panel."""
+    days = panel.select("test_id", "day").distinct()
+    all_days = F.array_sort(F.collect_list("day"))
+    return days.groupBy("test_id").agg(F.element_at(all_days, (F.floor(F.count("*") * share) + 1).cast("int")).alias("start"))
+
+
 def volume_share(panel: DataFrame, tests: DataFrame, cells: DataFrame) -> DataFrame:
     """(test_id, cell, share) of the pre-period volume."""
     pre = with_pre(panel, tests).filter("pre")
