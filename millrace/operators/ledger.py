@@ -113,29 +113,39 @@ def labelled(df: DataFrame) -> DataFrame:
     return df.withColumns({name: _labels(F.col(c), labels) for c, (name, labels) in known.items() if c in df.columns})
 
 
-def with_tone(actions: DataFrame, policy: Policy) -> DataFrame:
-    """The actions that carry text, with score and verdict."""
+def _counted(actions: DataFrame, policy: Policy) -> DataFrame:
+    """Text actions with one column for each pattern: each is counted once, whatever the score uses it for."""
     text = _joined("\n")
-    words = F.regexp_count(text, F.lit(r"\p{L}[\p{L}']*"))
-    capitals = F.size(
-        F.filter(
-            F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+)"), 1), lambda w: w.rlike("^[A-Z]{2,}$") & ~w.isin("USD", "US")
-        )
+    capitals = F.filter(
+        F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Z]{2,})(?![A-Za-z0-9_])"), 1), lambda w: ~w.isin("USD", "US")
     )
-    share = F.when(words > 0, capitals / words).otherwise(0.0)
-    bangs = F.regexp_count(text, F.lit("!"))
-    sentences = F.regexp_count(text, F.lit(r"[^.!?]*[^.!?\s][^.!?]*"))
-    mean = F.when(sentences > 0, words / sentences).otherwise(0.0)
+    return actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)).withColumns(
+        {
+            "words": F.regexp_count(text, F.lit(r"\p{L}[\p{L}']*")),
+            "capitals": F.size(capitals),
+            "bangs": F.regexp_count(text, F.lit("!")),
+            "sentences": F.regexp_count(text, F.lit(r"[^.!?]*[^.!?\s][^.!?]*")),
+            "banned": F.size(_hits(F.lower(text), policy.banned)),
+            "doubled": F.contains(text, F.lit("!!")),
+            "emoji": F.lit(False) if policy.allow_emoji else text.rlike(EMOJI),
+        }
+    )
+
+
+def with_tone(actions: DataFrame, policy: Policy) -> DataFrame:
+    """The actions that carry text, with what their score counts, the score and the verdict."""
+    share = F.when(F.col("words") > 0, F.col("capitals") / F.col("words")).otherwise(0.0)
+    mean = F.when(F.col("sentences") > 0, F.col("words") / F.col("sentences")).otherwise(0.0)
     raw = (
         F.lit(1.0)
-        - 0.25 * F.size(_hits(F.lower(text), policy.banned))
+        - 0.25 * F.col("banned")
         - F.when(share > 0.6, 0.5).when(share > 0.3, 0.3).otherwise(0.0)
-        - F.when(bangs >= 3, 0.3).otherwise(0.0)
-        - F.when(F.contains(text, F.lit("!!")), 0.2).otherwise(0.0)
+        - F.when(F.col("bangs") >= 3, 0.3).otherwise(0.0)
+        - F.when(F.col("doubled"), 0.2).otherwise(0.0)
         - F.when(mean > policy.max_sentence_words, 0.15).otherwise(0.0)
-        - F.when(F.lit(not policy.allow_emoji) & text.rlike(EMOJI), 0.15).otherwise(0.0)
+        - F.when(F.col("emoji"), 0.15).otherwise(0.0)
     )
-    scored = actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)).withColumn("score", half_up(clamp(raw, 0.0, 1.0), 3))
+    scored = _counted(actions, policy).withColumn("score", half_up(clamp(raw, 0.0, 1.0), 3))
     verdict = F.when(F.col("score") < policy.fail_below, "fail").when(F.col("score") < policy.warn_below, "warn").otherwise("pass")
     return scored.withColumn("verdict", verdict)
 
@@ -160,24 +170,28 @@ def phrase_checks(actions: DataFrame, policy: Policy) -> DataFrame:
     hay = F.lower(F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))
     base = actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)).select("event_id", "text", hay.alias("hay"))
     backed = F.coalesce(F.col("text"), F.lit("")).rlike(SUBSTANTIATED)
-    triggered = F.size(_hits(F.col("hay"), policy.claim_triggers)) > 0
-    kinds = {
-        "claims": (policy.claims, F.when(backed, "pass").when(triggered, "fail").otherwise("warn")),
-        "competitor": (policy.competitors, F.lit("fail")),
-        "regulated": (policy.regulated, F.lit("warn")),
+    found = base.withColumns(
+        {
+            "claims": _hits(F.col("hay"), policy.claims),
+            "competitor": _hits(F.col("hay"), policy.competitors),
+            "regulated": _hits(F.col("hay"), policy.regulated),
+            "triggered": F.size(_hits(F.col("hay"), policy.claim_triggers)) > 0,
+            "backed": backed,
+        }
+    )
+    verdicts = {
+        "claims": F.when(F.col("backed"), "pass").when(F.col("triggered"), "fail").otherwise("warn"),
+        "competitor": F.lit("fail"),
+        "regulated": F.lit("warn"),
     }
     rows = F.array(
         *[
-            F.struct(
-                F.lit(k).alias("check_type"),
-                _hits(F.col("hay"), phrases).alias("hits"),
-                F.when(F.size(_hits(F.col("hay"), phrases)) > 0, verdict).otherwise("pass").alias("verdict"),
-            )
-            for k, (phrases, verdict) in kinds.items()
+            F.struct(F.lit(k).alias("check_type"), F.col(k).alias("hits"), F.when(F.size(k) > 0, v).otherwise("pass").alias("verdict"))
+            for k, v in verdicts.items()
         ]
     )
     return (
-        base.select("event_id", "text", F.inline(rows))
+        found.select("event_id", "text", F.inline(rows))
         .withColumn("evidence", F.when(F.col("verdict") != "pass", first_sentence_with(F.col("text"), F.get("hits", F.lit(0)))))
         .select("event_id", "check_type", "verdict", "hits", "evidence")
     )
@@ -488,7 +502,8 @@ def report_totals(actions: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def digest(actions: DataFrame, checked: DataFrame, effective_rows: DataFrame, policy: Policy) -> DataFrame:
-    """(section, position, line): the weekly digest as a table."""
+    """(section, position, line): the weekly digest as a table. Findings and held events, whose number grows with the
+    ledger, are in the order of their event's number."""
     t = report_totals(actions, checked).join(gate_counts(effective_rows))
     head = t.select(
         F.lit("headline").alias("section"),
@@ -509,7 +524,13 @@ def digest(actions: DataFrame, checked: DataFrame, effective_rows: DataFrame, po
         (F.row_number().over(at) - 1).alias("position"),
         F.format_string("%s / %s off its usual tone on %d days", "agent_id", "channel", "n").alias("line"),
     )
-    return head.unionByName(top).unionByName(off)
+    said = lambda *parts: F.concat(F.lit("["), parts[0], F.lit("] "), F.concat_ws(" · ", *parts[1:])).alias("line")
+    found = labelled(finding_view(actions, checked))
+    found = found.select(F.lit("finding").alias("section"), F.col("event_id").alias("position"), said("severity", "check_label", "agent_label", "action_label"))
+    held = labelled(effective_rows.filter("decision <> 'auto'").select("event_id", "decision").join(actions.select("event_id", "agent_label", "action_type", "subject_ref"), "event_id"))
+    held = held.select(F.lit("pending").alias("section"), F.col("event_id").alias("position"), said("decision", "agent_label", "action_label", F.coalesce("subject_ref", F.lit("-"))))
+    short = head.unionByName(top).unionByName(off).withColumn("position", F.col("position").cast("long"))
+    return short.unionByName(found).unionByName(held)
 
 
 def policy_errors(policies: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ SELECT e.event_id, e.ts, CAST(e.ts AS DATE) AS day, concat('agent-', CAST(e.user
        concat('ref-', regexp_extract(e.props, '([0-9]+)', 1)) AS subject_ref,
        CASE WHEN e.event_type = 'purchase' THEN e.value END AS budget_new,
        CAST(NULL AS STRING) AS subject, d.text
-FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % 200""",
+FROM events e LEFT JOIN documents d ON d.doc_id = CAST(floor(e.event_id / 5) AS BIGINT)""",
     "v_overrides": """
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'auto' WHEN event_id % 3 = 1 THEN 'review' ELSE 'block' END AS decision,
        'lead' AS actor_role, event_id % 2 AS seq FROM events WHERE event_id % 7 = 0
@@ -30,7 +30,8 @@ SELECT concat('ref-', regexp_extract(props, '([0-9]+)', 1)) AS subject_ref, coun
        sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END) AS revenue
 FROM events WHERE event_id % 3 > 0 GROUP BY 1""",
     "v_runlog": """
-SELECT user_id % 10 AS run_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS pos, ts,
+SELECT user_id % 10 + 10 * CAST(floor(user_id / 40) AS BIGINT) AS run_id,
+       row_number() OVER (PARTITION BY user_id % 10 + 10 * CAST(floor(user_id / 40) AS BIGINT) ORDER BY ts, event_id) AS pos, ts,
        CASE CAST(floor(user_id / 10) AS BIGINT) % 4 WHEN 0 THEN 'research' WHEN 1 THEN 'architect' WHEN 2 THEN 'critic' ELSE 'engineer' END AS role,
        CASE WHEN event_id % 50 = 0 THEN 'error' WHEN event_id % 20 = 0 THEN 'ok_with_warnings' ELSE 'ok' END AS status,
        value / 100.0 AS cost_usd, event_type, event_id, user_id
@@ -72,16 +73,19 @@ LEFT JOIN (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 E
                   sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors
            FROM events GROUP BY user_id) e ON e.user_id = c.c_custkey""",
     "v_geo": """
-SELECT CAST(0 AS BIGINT) AS test_id, n.n_name AS geo, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS day,
+SELECT CAST(ascii(c.c_mktsegment) AS BIGINT) AS test_id, n.n_name AS geo, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS day,
        CAST(count(*) AS DOUBLE) AS kpi
-FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY 2, 3""",
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY 1, 2, 3""",
+    # Money is summed as decimals and rounded once, so that no engine's order of adding shows.
     "v_mix_spend": """
-SELECT CAST(0 AS BIGINT) AS panel_id, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, o_orderpriority AS channel,
-       CAST(sum(o_totalprice) AS DOUBLE) AS spend FROM orders GROUP BY 2, 3""",
+SELECT CAST(n.n_regionkey AS BIGINT) AS panel_id, CAST(date_trunc('week', o.o_orderdate) AS DATE) AS week, o.o_orderpriority AS channel,
+       CAST(round(sum(CAST(o.o_totalprice AS DECIMAL(18, 2))), 0) AS DOUBLE) AS spend
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY 1, 2, 3""",
     "v_mix_revenue": """
-SELECT CAST(0 AS BIGINT) AS panel_id, CAST(date_trunc('week', o.o_orderdate) AS DATE) AS week,
-       CAST(sum(l.l_extendedprice * (1 - l.l_discount)) AS DOUBLE) AS revenue
-FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 2""",
+SELECT CAST(n.n_regionkey AS BIGINT) AS panel_id, CAST(date_trunc('week', o.o_orderdate) AS DATE) AS week,
+       CAST(round(sum(CAST(l.l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l.l_discount AS DECIMAL(4, 2)))), 2) AS DOUBLE) AS revenue
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
+JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY 1, 2""",
 }
 
 

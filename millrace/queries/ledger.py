@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import ledger as g
+from millrace.plans.storage import materialise
 from millrace.plans.views import view, with_views
 
 #: Phrases that occur in the invented prose of the tables.
@@ -99,8 +100,9 @@ def _actions(spark, d):
 
 
 def _checked(spark, d):
+    # Written once: what follows reads the checks several times, and never a text again.
     a = _actions(spark, d)
-    return a, g.checks(a, POLICY)
+    return a, materialise(g.checks(a, POLICY), "checks")
 
 
 def _effective(spark, d):
@@ -237,7 +239,8 @@ def g_policy_errors(spark, d):
 
 
 def g_as_of(spark, d):
-    a = g.as_of(_actions(spark, d), 4000)
+    half = view(spark, d, "events").agg((F.max("event_id") / 2).cast("long")).first()[0]
+    a = g.as_of(_actions(spark, d), half)
     return g.gate_counts(g.effective(g.decisions(a, g.checks(a, POLICY), POLICY), view(spark, d, "v_overrides")))
 
 
@@ -301,10 +304,12 @@ ORACLES = {
     "g_digest": _sql("""SELECT 'headline' AS section, 0 AS position, format('{} agent actions across {} agents.', events, agents) AS line FROM tot
         UNION ALL SELECT 'headline', 1, format('{} findings ({} fail, {} warn). Gate: {} blocked, {} for review.', findings, fails, warns, block, review) FROM tot, gc
         UNION ALL SELECT 'top', row_number() OVER (ORDER BY event_id, check_type) - 1, line FROM top
-        UNION ALL SELECT 'drift', row_number() OVER (ORDER BY agent_id, channel) - 1, format('{} / {} off its usual tone on {} days', agent_id, channel, n) FROM (SELECT agent_id, channel, count(*) AS n FROM al GROUP BY 1, 2)""", _DECIDE, _TOTALS, _TOP, _DAILY),
+        UNION ALL SELECT 'drift', row_number() OVER (ORDER BY agent_id, channel) - 1, format('{} / {} off its usual tone on {} days', agent_id, channel, n) FROM (SELECT agent_id, channel, count(*) AS n FROM al GROUP BY 1, 2)
+        UNION ALL SELECT 'finding', event_id, '[' || severity || '] ' || check_label || ' · ' || agent_label || ' · ' || _ACTION FROM fv
+        UNION ALL SELECT 'pending', event_id, '[' || decision || '] ' || agent_label || ' · ' || _ACTION || ' · ' || coalesce(subject_ref, '-') FROM ef JOIN a USING (event_id) WHERE decision <> 'auto'""".replace("_ACTION", "CASE action_type WHEN 'email.send' THEN 'Sent an email' WHEN 'page.publish' THEN 'Published a page' WHEN 'ad.budget_change' THEN 'Changed ad budget' WHEN 'social.post' THEN 'Posted to social' ELSE 'Ran a task' END"), _DECIDE, _TOTALS, _TOP, _DAILY),
     "g_policy_errors": with_views("""p AS (SELECT id AS policy_id, purchases / 10.0 AS fb, signups / 10.0 AS wb, id % 5 > 0 AS has, CASE WHEN id % 4 = 0 THEN 'hold' ELSE 'auto' END AS decision FROM v_accounts)
         SELECT policy_id, 'fail_below must be <= warn_below' AS error FROM p WHERE NOT fb <= wb UNION ALL SELECT policy_id, 'max_emails must be a number' FROM p WHERE NOT has
         UNION ALL SELECT policy_id, 'decision must be auto, review or block' FROM p WHERE decision = 'hold'""", "v_accounts"),
-    "g_as_of": _sql("SELECT block, review, auto FROM gc", _DECIDE, _TOTALS).replace("a AS (SELECT * FROM v_ledger)", "a AS (SELECT * FROM v_ledger WHERE event_id <= 4000)"),
+    "g_as_of": _sql("SELECT block, review, auto FROM gc", _DECIDE, _TOTALS).replace("a AS (SELECT * FROM v_ledger)", "a AS (SELECT * FROM v_ledger WHERE event_id <= (SELECT max(event_id) // 2 FROM events))"),
     "g_previous_budgets": _sql("SELECT event_id, budget_new, last_value(budget_new IGNORE NULLS) OVER (PARTITION BY subject_ref ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM a WHERE action_type = 'ad.budget_change'"),
 }
