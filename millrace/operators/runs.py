@@ -43,8 +43,8 @@ def lifecycle(log: DataFrame, proposals: DataFrame, objections: DataFrame, imple
     """One row a proposal: filed_pos, integrated_pos, reopened_pos, done_pos, objections, dropped, warnings, state.
 
     A proposal integrates when its last reviewer has had an ok turn, unless an objection stands by then; a later
-    objection reopens it for good, unless it is done first. Objections to a done proposal are dropped, implementations
-    of one that is not integrated warn. as_of: positions after it have not happened.
+    objection reopens it for good, unless it is done first. Objections to a proposal that is not filed yet, or done, are
+    dropped and warn, as do implementations of one that is not integrated. as_of: positions after it have not happened.
     """
     if as_of is not None:
         log, proposals = log.filter(F.col("pos") <= as_of), proposals.filter(F.col("pos") <= as_of)
@@ -55,7 +55,9 @@ def lifecycle(log: DataFrame, proposals: DataFrame, objections: DataFrame, imple
         .groupBy(*key)
         .agg(F.when(F.count("ok_pos") == F.count("*"), F.max("ok_pos")).alias("ready_pos"))
     )
-    objected = objections.groupBy(*key).agg(F.min("pos").cast("double").alias("first_objection"))
+    filings = proposals.select(*key, F.col("pos").cast("double").alias("filed_pos"))
+    raised = objections.select(*key, F.col("pos").cast("double").alias("pos")).join(filings, key)
+    objected = raised.filter("pos >= filed_pos").groupBy(*key).agg(F.min("pos").alias("first_objection"))
     base = (
         proposals.select(*key, "filed_by", F.col("ts").alias("filed_ts"), F.col("pos").cast("double").alias("filed_pos"))
         .join(ready, key, "left")
@@ -73,11 +75,11 @@ def lifecycle(log: DataFrame, proposals: DataFrame, objections: DataFrame, imple
         )
     )
     base = base.join(built, key, "left")
+    late = F.coalesce(F.col("pos") > F.col("done_pos"), F.lit(False))
     counted = (
-        objections.select(*key, F.col("pos").cast("double").alias("pos"))
-        .join(base.select(*key, "done_pos"), key)
+        raised.join(base.select(*key, "done_pos"), key)
         .groupBy(*key)
-        .agg(F.count_if(F.col("done_pos").isNotNull() & (F.col("pos") > F.col("done_pos"))).alias("dropped"), F.count("*").alias("filed"))
+        .agg(F.count_if(late | (F.col("pos") < F.col("filed_pos"))).alias("dropped"), F.count("*").alias("filed"))
     )
     reopened = F.when(F.col("done_pos").isNull() & F.col("integrated_pos").isNotNull(), F.col("first_objection"))
     state = F.when(F.col("done_pos").isNotNull(), "done").when(F.col("integrated_pos").isNotNull() & reopened.isNull(), "integrated").otherwise("open")

@@ -30,12 +30,14 @@ def a_lifecycle(spark, d):
 
 
 def a_lifecycle_as_of(spark, d):
-    return _cycle(spark, d, 300).select(*_CYCLE)
+    half = view(spark, d, "v_runlog").agg((F.max("pos") / 2).cast("int")).first()[0]
+    return _cycle(spark, d, half).select(*_CYCLE)
 
 
 def a_what_if(spark, d):
     log, p, o, i = _all(spark, d)
-    injected = p.filter("proposal_id % 3 = 0").selectExpr("run_id", "proposal_id", "'critic' as role", "pos + 6 as pos")
+    # Some lie before the filing, and are dropped.
+    injected = p.filter("proposal_id % 3 < 2").selectExpr("run_id", "proposal_id", "'critic' as role", "pos + 6 - 9 * (proposal_id % 3) as pos")
     return r.lifecycle(log, p, r.with_injected(o, injected), i).select(*_CYCLE)
 
 
@@ -110,12 +112,12 @@ rv AS (SELECT p.*, r.role FROM pr p CROSS JOIN (VALUES ('research'), ('architect
 ok AS (SELECT rv.run_id, rv.proposal_id, rv.role, min(l.pos) AS ok_pos FROM rv LEFT JOIN lg l
        ON l.run_id = rv.run_id AND l.role = rv.role AND l.status = 'ok' AND l.ts > rv.ts GROUP BY ALL),
 rd AS (SELECT run_id, proposal_id, CASE WHEN count(ok_pos) = count(*) THEN max(ok_pos) END AS ready FROM ok GROUP BY ALL),
-fo AS (SELECT run_id, proposal_id, min(pos) AS o1, count(*) AS filed FROM ob GROUP BY ALL),
+fo AS (SELECT ob.run_id, ob.proposal_id, min(ob.pos) FILTER (ob.pos >= pr.pos) AS o1, count(*) AS filed FROM ob JOIN pr USING (run_id, proposal_id) GROUP BY ALL),
 b1 AS (SELECT p.run_id, p.proposal_id, p.filed_by, p.ts AS filed_ts, p.pos AS filed_pos, CASE WHEN o1 IS NULL OR o1 > ready THEN ready END AS ip, o1, filed
        FROM pr p LEFT JOIN rd USING (run_id, proposal_id) LEFT JOIN fo USING (run_id, proposal_id)),
 b2 AS (SELECT b1.*, (SELECT min(i.pos) FROM im i WHERE i.run_id = b1.run_id AND i.proposal_id = b1.proposal_id AND i.pos > ip AND (o1 IS NULL OR i.pos < o1)) AS dp,
        (SELECT count(*) FROM im i WHERE i.run_id = b1.run_id AND i.proposal_id = b1.proposal_id) AS impls FROM b1),
-b3 AS (SELECT b2.*, CASE WHEN dp IS NULL THEN 0 ELSE (SELECT count(*) FROM ob o WHERE o.run_id = b2.run_id AND o.proposal_id = b2.proposal_id AND o.pos > dp) END AS dropped FROM b2),
+b3 AS (SELECT b2.*, (SELECT count(*) FROM ob o WHERE o.run_id = b2.run_id AND o.proposal_id = b2.proposal_id AND (o.pos < b2.filed_pos OR coalesce(o.pos > dp, false))) AS dropped FROM b2),
 cy AS (SELECT run_id, proposal_id, filed_by, filed_ts, CAST(filed_pos AS DOUBLE) AS filed_pos, CAST(ip AS DOUBLE) AS integrated_pos,
        CAST(CASE WHEN dp IS NULL AND ip IS NOT NULL THEN o1 END AS DOUBLE) AS reopened_pos, CAST(dp AS DOUBLE) AS done_pos, coalesce(filed, 0) - dropped AS objections, dropped,
        dropped + impls - CAST(dp IS NOT NULL AS INT) AS warnings, CASE WHEN dp IS NOT NULL THEN 'done' WHEN ip IS NOT NULL AND o1 IS NULL THEN 'integrated' ELSE 'open' END AS state FROM b3),
@@ -134,8 +136,8 @@ _OWED = "SELECT ok.run_id, ok.proposal_id, ok.role FROM ok JOIN cy USING (run_id
 ORACLES = {
     "a_first_ok": _sql("SELECT * FROM ok"),
     "a_lifecycle": _sql(_SELECT),
-    "a_lifecycle_as_of": _sql(_SELECT, _BASE.replace("SELECT * FROM v_runlog", "SELECT * FROM v_runlog WHERE pos <= 300").replace("SELECT * FROM v_proposals", "SELECT * FROM v_proposals WHERE pos <= 300").replace("SELECT * FROM v_objections", "SELECT * FROM v_objections WHERE pos <= 300").replace("SELECT * FROM v_implementations", "SELECT * FROM v_implementations WHERE pos <= 300")),
-    "a_what_if": _sql(_SELECT, _BASE.replace("SELECT * FROM v_objections", "SELECT run_id, proposal_id, role, CAST(pos AS DOUBLE) AS pos FROM v_objections UNION ALL SELECT run_id, proposal_id, 'critic', CAST(pos + 6.5 AS DOUBLE) FROM v_proposals WHERE proposal_id % 3 = 0")),
+    "a_lifecycle_as_of": _sql(_SELECT, _BASE.replace("SELECT * FROM v_runlog", "SELECT * FROM v_runlog WHERE pos <= (SELECT max(pos) // 2 FROM v_runlog)").replace("SELECT * FROM v_proposals", "SELECT * FROM v_proposals WHERE pos <= (SELECT max(pos) // 2 FROM v_runlog)").replace("SELECT * FROM v_objections", "SELECT * FROM v_objections WHERE pos <= (SELECT max(pos) // 2 FROM v_runlog)").replace("SELECT * FROM v_implementations", "SELECT * FROM v_implementations WHERE pos <= (SELECT max(pos) // 2 FROM v_runlog)")),
+    "a_what_if": _sql(_SELECT, _BASE.replace("SELECT * FROM v_objections", "SELECT run_id, proposal_id, role, CAST(pos AS DOUBLE) AS pos FROM v_objections UNION ALL SELECT run_id, proposal_id, 'critic', CAST(pos + 6.5 - 9 * (proposal_id % 3) AS DOUBLE) FROM v_proposals WHERE proposal_id % 3 < 2")),
     "a_transitions": _sql("SELECT run_id, proposal_id, pos, \"to\" FROM (SELECT run_id, proposal_id, filed_pos AS pos, 'open' AS \"to\" FROM cy UNION ALL SELECT run_id, proposal_id, integrated_pos, 'integrated' FROM cy UNION ALL SELECT run_id, proposal_id, reopened_pos, 'reopened' FROM cy UNION ALL SELECT run_id, proposal_id, done_pos, 'done' FROM cy) WHERE pos IS NOT NULL"),
     "a_readable": _sql("""SELECT run_id, proposal_id, CASE WHEN state <> 'open' THEN state WHEN objections > 0 THEN 'blocked' ELSE 'objection window' END AS label,
         CASE WHEN state = 'done' THEN 'implemented at ' || CAST(done_pos AS INT) WHEN state = 'integrated' THEN 'every reviewer passed by ' || CAST(integrated_pos AS INT) WHEN reopened_pos IS NOT NULL THEN 'reopened by an objection at ' || CAST(reopened_pos AS INT)
