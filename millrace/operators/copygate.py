@@ -7,6 +7,7 @@ field. Every check is one expression over all drafts; terms of a rule are one pa
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,9 +30,9 @@ LENGTHS = (
     ("LEN-EMAIL-PRE", "email", "preheader", 110, "warn", 5),
 )
 HYPE = (
-    "revolution* game-chang* seamless* unlock* supercharg* best-in-class cutting-edge world-class next-gen* disrupt* effortless* "
-    "synerg* leverag* empower* robust innovative powerful magic* skyrocket*"
-).split()
+    "revolution*", "game-chang*", "seamless*", "unlock*", "supercharg*", "best-in-class", "cutting-edge", "world-class", "next-gen*",
+    "disrupt*", "effortless*", "synerg*", "leverag*", "empower*", "robust", "innovative", "powerful", "magic*", "skyrocket*",
+)
 PUSHY = ("act now", "buy now", "limited time", "don't miss out", "hurry", "last chance", "you won't believe", "click here")
 ABSOLUTE = {
     "UK": ("risk-free", "risk free", "no risk", "guarantee*", "can't lose", "completely safe"),
@@ -46,15 +47,17 @@ COMPARISONS = (
     "cheaper than", "better than", "faster than", "easier than", "simpler than", "unlike", "outperform*", "vs", "versus",
     "compared to", "compared with", "instead of", "günstiger als", "besser als", "schneller als",
 )
-DISPARAGING = "clunky outdated terrible awful overpriced useless broken rip-off ripoff scam slow".split()
+DISPARAGING = ("clunky", "outdated", "terrible", "awful", "overpriced", "useless", "broken", "rip-off", "ripoff", "scam", "slow")
 CLAIM_NOUN = (
     "(?i)^(hours?|minutes?|seconds?|compan(y|ies)|customers?|businesses|teams?|users?|countries|currencies|reviews?|reviewers|faster"
     "|quicker|cheaper|less|fewer|more|saved?|savings|times|cashback|markup)$"
 )
 STOP_WORDS = (
-    "a an the of on in by to for and or with your you our we us is are up under no across per every it its at as from than more "
-    "that this be get can out all one each just card spend team finance expense"
-).split()
+    "a", "an", "the", "of", "on", "in", "by", "to", "for", "and", "or", "with", "your", "you", "our", "we", "us", "is", "are", "up",
+    "under", "no", "across", "per", "every", "it", "its", "at", "as", "from", "than", "more", "that", "this", "be", "get", "can", "out",
+    "all", "one", "each", "just",
+)
+BRAND_WORDS = ("card", "spend", "team", "finance", "expense")  # of the house's own trade: they carry no claim
 WORD = r"[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9'’-]*"
 NUMBER = r"([€£$]\s?)?(\d{1,3}(?:[.,]\d{3})+|\d+(?:[.,]\d+)?)(\s?%|\s?x(?![a-z])|[km](?![a-z]))?(\+)?"
 PASSIVE = (
@@ -64,6 +67,33 @@ PASSIVE = (
 EMOJI = "[☀-➿\U0001f300-\U0001faff]"
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A phrase rule as data. None in markets or channels: all. `unless` lets a hit off where its pattern stands in the
+    whole text (unless_scope 'text') or in the hit's sentence ('sentence'). Message and fix may hold {terms} and {n}."""
+
+    rule: str
+    severity: str
+    terms: tuple[str, ...]
+    weight: int | None = None
+    markets: tuple[str, ...] | None = None
+    channels: tuple[str, ...] | None = None
+    unless: str | None = None
+    unless_scope: str = "text"
+    message: str = "Found: {terms}."
+    fix: str = "Remove or rephrase."
+
+
+def standard_rules(custom: tuple[str, ...] = ()) -> list[Rule]:
+    """The house's phrase rules; custom: words that a team bans for itself."""
+    rules = [
+        Rule("TOV-HYPE", "warn", HYPE, 8, message="Hype words: {terms}.", fix="Say what the product does."),
+        Rule("TOV-PUSHY", "warn", PUSHY, 8, message="Pressure: {terms}.", fix="Give a reason to act."),
+        *[Rule(f"{m}-ABSOLUTE", "block", t, markets=(m,), message="Promises certainty: {terms}.", fix="State the term that holds.") for m, t in ABSOLUTE.items()],
+    ]
+    return rules + ([Rule("TOV-CUSTOM", "warn", custom, 8, message="Banned words: {terms}.")] if custom else [])
+
+
 def term_pattern(terms) -> str:
     """One pattern for a rule's terms: longest first, * for a word's rest, no letter or # right before, none after."""
     parts = sorted((re.escape(t.lower()).replace(r"\*", r"[\w-]*") for t in terms), key=len, reverse=True)
@@ -128,23 +158,56 @@ def length_findings(parsed: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [over, hook, few, bare, subject, pre, bang])
 
 
-def phrase_findings(drafts: DataFrame, rules: list[dict]) -> DataFrame:
-    """(draft_id, rule, severity, weight, count, terms) for rules {rule, severity, weight, terms, markets, channels,
-    unless}: terms as a list in lower case, distinct, in order of first use. `unless` lets a draft off whose text holds
-    its pattern."""
+def phrase_hits(drafts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(draft_id, rule, start, stop, term): every place (characters from 0) where a rule's term stands, in its market and
+    channel, unless the rule lets it off. The text is cut at the hits, so that each keeps its place."""
     out = []
     for r in rules:
-        found = F.transform(F.regexp_extract_all("text", F.lit(term_pattern(r["terms"])), 1), lambda t: F.lower(t))
-        rows = drafts.withColumn("found", found).filter(F.size("found") > 0)
-        for key, col in (("markets", "market"), ("channels", "channel")):
-            if r.get(key):
-                rows = rows.filter(F.col(col).isin(*r[key]))
-        if r.get("unless"):
-            rows = rows.filter(~F.col("text").rlike("(?i)" + r["unless"]))
-        out.append(rows.select("draft_id", *_finding(r["rule"], r["severity"], r.get("weight")), F.size("found").cast("long").alias("count"), F.array_distinct("found").alias("terms")))
+        pattern = term_pattern(r.terms)
+        rows = drafts.select("draft_id", "market", "channel", F.coalesce("text", F.lit("")).alias("text"))
+        for chosen, col in ((r.markets, "market"), (r.channels, "channel")):
+            if chosen:
+                rows = rows.filter(F.col(col).isin(*chosen))
+        rows = rows.filter(F.col("text").rlike(pattern))
+        if r.unless and r.unless_scope == "text":
+            rows = rows.filter(~F.col("text").rlike("(?i)" + r.unless))
+        lengths = lambda c: F.transform(c, lambda x: F.length(x))
+        hits, gaps = F.regexp_extract_all("text", F.lit(pattern), 1), F.split("text", pattern)
+        # A draft's hits and the stretches before them, in order: their lengths add up to the places.
+        kept = "text" if r.unless_scope == "sentence" and r.unless else F.lit(None).cast("string").alias("text")
+        rows = rows.select("draft_id", kept, F.transform(hits, lambda x: F.lower(x)).alias("term"), lengths(gaps).alias("gap"), lengths(hits).alias("size"))
+        rows = rows.select("draft_id", "text", F.posexplode(F.arrays_zip("term", F.slice("gap", 1, F.size("term")).alias("gap"), "size")).alias("i", "x"))
+        so_far = Window.partitionBy("draft_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("stop", F.sum(F.col("x.gap") + F.col("x.size")).over(so_far).cast("int"))
+        rows = rows.select("draft_id", "text", (F.col("stop") - F.col("x.size")).alias("start"), "stop", F.col("x.term").alias("term"))
+        if r.unless and r.unless_scope == "sentence":
+            before = F.regexp_extract(F.substring(F.col("text"), F.lit(1), F.col("start")), r"(?s)((?:(?![.!?]\s|\n).)*)$", 1)
+            after = F.regexp_extract(F.expr("substring(text, start + 1)"), r"(?s)^((?:(?![.!?]\s|\n).)*)", 1)
+            rows = rows.filter(~F.concat(before, after).rlike("(?i)" + r.unless))
+        out.append(rows.select("draft_id", F.lit(r.rule).alias("rule"), "start", "stop", "term"))
     return reduce(DataFrame.unionByName, out)
 
 
+def phrase_findings(drafts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(draft_id, rule, severity, weight, count, terms, first_start) from phrase_hits: terms in lower case, distinct, in
+    order of first use."""
+    kinds = drafts.sparkSession.createDataFrame(
+        [(r.rule, r.severity, WEIGHT[r.severity] if r.weight is None else r.weight) for r in rules], "rule string, severity string, weight int"
+    )
+    found = phrase_hits(drafts, rules).groupBy("draft_id", "rule").agg(
+        F.count("*").alias("count"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("start", "term"))), lambda x: x["term"])).alias("terms"), F.min("start").alias("first_start")
+    )
+    return found.join(F.broadcast(kinds), "rule").select("draft_id", "rule", "severity", "weight", "count", "terms", "first_start")  # one row a rule
+
+
+def with_messages(findings: DataFrame, rules: list[Rule]) -> DataFrame:
+    """findings with message and fix: the rule's templates, with {terms} and {n} filled in; null for other rules."""
+    spark = findings.sparkSession
+    texts = spark.createDataFrame([(r.rule, r.message, r.fix) for r in rules], "rule string, message string, fix string")
+    said = lambda c: F.replace(F.replace(F.col(c), F.lit("{terms}"), F.array_join("terms", ", ")), F.lit("{n}"), F.col("count").cast("string"))
+    return findings.join(F.broadcast(texts), "rule", "left").withColumns({"message": said("message"), "fix": said("fix")})  # one row a rule
+
+
 def syllables(w: Column) -> Column:
     x = F.regexp_replace(F.lower(w), "[^a-z]", "")
     bare = F.regexp_replace(F.regexp_replace(x, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
@@ -188,7 +251,7 @@ def claim_tokens(text: Column) -> Column:
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1), lambda w: ~w.rlike(r"^\d"))
     stem = lambda w: F.when((F.length(w) > 4) & w.endswith("ies"), F.regexp_replace(w, "ies$", "y")).when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.regexp_replace(w, "s$", "")).otherwise(w)
     bare = F.transform(words, lambda w: F.regexp_replace(w, "['’]s$", ""))
-    return F.array_distinct(F.filter(F.transform(bare, stem), lambda w: ~w.isin(*STOP_WORDS)))
+    return F.array_distinct(F.filter(F.transform(bare, stem), lambda w: ~w.isin(*STOP_WORDS, *BRAND_WORDS)))
 
 
 def claim_numbers(sentence_rows: DataFrame) -> DataFrame:
@@ -236,25 +299,101 @@ def register_match(claims: DataFrame, register: DataFrame) -> DataFrame:
     return best.select(*key, b["id"].alias("evidence"), outcome.alias("outcome"))
 
 
-def competitor_findings(sentence_rows: DataFrame, competitors: list[str]) -> DataFrame:
-    """(draft_id, rule, severity, weight, count): mentions, and sentences that compare with or disparage a competitor."""
+def best_entry(rows: DataFrame, register: DataFrame, sentence: str, numbers: Column) -> DataFrame:
+    """rows with the best register row's id, share of its stems, numbers_fit, markets, retired and competitor, for a
+    sentence and the numbers in it; null where none fits. As in register_match, but by sentence."""
+    reg = F.broadcast(register.withColumn("rt", claim_tokens(F.col("claim"))))  # a policy document: a few rows
+    key = rows.columns
+    shared = F.size(F.array_intersect("ct", "rt"))
+    both = rows.withColumn("ct", claim_tokens(F.col(sentence))).withColumn("found_numbers", numbers).join(reg)
+    both = both.withColumn("shared", shared).withColumn("ratio", shared / F.greatest(F.size("rt"), F.lit(1)))
+    both = both.withColumn("numbers_fit", (F.size("found_numbers") > 0) & (F.size(F.array_except("found_numbers", "numbers")) == 0))
+    fits = ((F.col("shared") >= 2) & (F.col("ratio") >= 0.4)) | (F.col("numbers_fit") & (F.col("shared") >= 1))
+    score = F.col("shared") + F.col("ratio") + F.when(F.col("numbers_fit"), 2).otherwise(0)
+    found = F.struct(score.alias("score"), (-F.col("reg_no")).alias("n"), "id", F.col("ratio").alias("share"), "numbers_fit", F.col("markets").alias("ok_markets"), "retired", "competitor")
+    return both.groupBy(*key).agg(F.max(F.when(fits, found)).alias("e")).select(*key, "e.id", "e.share", "e.numbers_fit", "e.ok_markets", "e.retired", "e.competitor")
+
+
+def sentence_numbers(sentence: Column) -> Column:
+    return F.transform(F.regexp_extract_all(sentence, F.lit(r"(?<![\w.,])(\d+(?:[.,]\d{3})*(?:\.\d+)?)"), 1), lambda n: F.regexp_replace(n, ",", "").cast("double"))
+
+
+def superlative_findings(sentence_rows: DataFrame, register: DataFrame) -> DataFrame:
+    """(draft_id, rule, severity, weight, count, evidence): sentences with a superlative, unless the register holds 0.6 of
+    such a claim, in force and for the market."""
+    hits = F.size(F.regexp_extract_all("sentence", F.lit(term_pattern(SUPERLATIVES)), 1))
+    rows = sentence_rows.withColumn("hits", hits).filter("hits > 0")
+    matched = best_entry(rows, register, "sentence", F.array().cast("array<double>"))
+    backed = F.coalesce((F.col("share") >= 0.6) & F.col("retired").isNull() & F.array_contains("ok_markets", F.col("market")), F.lit(False))
+    none = F.lit(None).cast("string").alias("evidence")
+    return matched.filter(~backed).groupBy("draft_id").agg(F.sum("hits").alias("count")).select("draft_id", *_finding("CLM-SUPERLATIVE", "block"), "count", none)
+
+
+def certificate_findings(drafts: DataFrame, certificates: dict[str, str | None]) -> DataFrame:
+    """(draft_id, rule, severity, weight, count, evidence): certificates that a text names: backed ones tell their evidence,
+    others block."""
+    found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(term_pattern(certificates)), 1), lambda t: F.lower(t))
+    rows = drafts.select("draft_id", F.explode(found).alias("term"))
+    evidence = F.lit(None).cast("string")
+    for term, ev in certificates.items():
+        evidence = F.when(F.col("term") == term.lower(), F.lit(ev).cast("string")).otherwise(evidence)
+    rows = rows.withColumn("evidence", evidence).groupBy("draft_id", "evidence").agg(F.count("*").alias("count"))
+    bare = F.col("evidence").isNull()
+    return rows.select("draft_id", F.when(bare, "SEC-CERT").otherwise("CLM-OK").alias("rule"), F.when(bare, "block").otherwise("info").alias("severity"), F.when(bare, WEIGHT["block"]).otherwise(WEIGHT["info"]).alias("weight"), "count", "evidence")
+
+
+def competitor_findings(sentence_rows: DataFrame, competitors: list[str], register: DataFrame | None = None) -> DataFrame:
+    """(draft_id, rule, severity, weight, count, evidence): mentions, and sentences that compare with or disparage a
+    competitor. A comparison that the register backs (0.6 of its words, or its numbers; in force, for the market and
+    against this competitor) warns with its evidence instead of blocking."""
     named = sentence_rows.filter(F.col("sentence").rlike(term_pattern(competitors)))
-    parts = []
-    for rule, severity, weight, terms in (("CMP-MENTION", "warn", 15, None), ("CMP-COMPARE", "block", 40, COMPARISONS), ("CMP-DISPARAGE", "block", 40, DISPARAGING)):
-        rows = named if terms is None else named.filter(F.col("sentence").rlike(term_pattern(terms)))
-        parts.append(rows.groupBy("draft_id").agg(F.count("*").alias("count")).select("draft_id", *_finding(rule, severity, weight), "count"))
-    return reduce(DataFrame.unionByName, parts)
+    none = F.lit(None).cast("string").alias("evidence")
+
+    def counted(rows: DataFrame, rule: str, severity: str, weight: int) -> DataFrame:
+        return rows.groupBy("draft_id").agg(F.count("*").alias("count")).select("draft_id", *_finding(rule, severity, weight), "count", none)
+
+    compared = named.filter(F.col("sentence").rlike(term_pattern(COMPARISONS)))
+    parts = [counted(named, "CMP-MENTION", "warn", 15), counted(named.filter(F.col("sentence").rlike(term_pattern(DISPARAGING))), "CMP-DISPARAGE", "block", 40)]
+    if register is None:
+        return reduce(DataFrame.unionByName, [*parts, counted(compared, "CMP-COMPARE", "block", 40)])
+    matched = best_entry(compared, register, "sentence", sentence_numbers(F.col("sentence")))
+    against = F.contains(F.lower("sentence"), F.lower(F.coalesce("competitor", F.lit("\x00"))))
+    strong = (F.col("share") >= 0.6) | F.col("numbers_fit")
+    backed = F.coalesce(against & strong & F.col("retired").isNull() & F.array_contains("ok_markets", F.col("market")), F.lit(False))
+    judged = matched.withColumn("backed", backed)
+    signed = judged.filter("backed").groupBy("draft_id", F.col("id").alias("evidence")).agg(F.count("*").alias("count"))
+    signed = signed.select("draft_id", *_finding("CMP-COMPARE", "warn", WEIGHT["warn"]), "count", "evidence")
+    return reduce(DataFrame.unionByName, [*parts, counted(judged.filter("not backed"), "CMP-COMPARE", "block", 40), signed])
 
 
 def verdicts(drafts: DataFrame, findings: DataFrame, threshold: int = 20) -> DataFrame:
-    """(draft_id, score, verdict, reason, hash): score sums weight times count, three at most; any block blocks."""
+    """(draft_id, score, verdict, reason, hash): score sums weight times count, three at most; any block blocks. reason:
+    the heaviest block and how many more, or the two heaviest warnings."""
+    held = F.when(F.col("severity") != "info", F.struct(F.when(F.col("severity") == "block", 0).otherwise(1).alias("o"), (-F.col("weight")).alias("w"), "rule"))
     sums = findings.groupBy("draft_id").agg(
         F.least(F.lit(100), F.sum(F.col("weight") * F.least("count", F.lit(3)))).alias("score"), F.count_if(F.col("severity") == "block").alias("blocks"),
-        F.min(F.when(F.col("severity") != "info", F.struct(F.when(F.col("severity") == "block", 0).otherwise(1).alias("o"), (-F.col("weight")).alias("w"), "rule"))).alias("first"),
+        F.array_sort(F.collect_list(held)).alias("held"),
     )
     rows = drafts.select("draft_id", F.coalesce("text", F.lit("")).alias("text")).join(sums, "draft_id", "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    verdict = F.when(F.trim("text") == "", "empty").when(F.coalesce("blocks", F.lit(0)) > 0, "block").when(F.col("score") >= threshold, "review").otherwise("approve")
-    return rows.select("draft_id", "score", verdict.alias("verdict"), F.col("first.rule").alias("reason"), fnv1a(F.col("text")).alias("hash"))
+    blocks = F.coalesce("blocks", F.lit(0))
+    verdict = F.when(F.trim("text") == "", "empty").when(blocks > 0, "block").when(F.col("score") >= threshold, "review").otherwise("approve")
+    first = F.get("held", F.lit(0))["rule"]
+    more = F.when(blocks > 1, F.concat(first, F.lit(" and "), (blocks - 1).cast("string"), F.lit(" more"))).otherwise(first)
+    reason = F.when(verdict == "block", more).when(verdict == "review", F.array_join(F.transform(F.slice("held", 1, 2), lambda x: x["rule"]), ", "))
+    return rows.select("draft_id", "score", verdict.alias("verdict"), reason.alias("reason"), fnv1a(F.col("text")).alias("hash"))
+
+
+def ledger_rows(drafts: DataFrame, verdict_rows: DataFrame, findings: DataFrame, threshold: int = 20) -> DataFrame:
+    """(draft_id, draft_hash, channel, market, decision, risk_score, threshold, findings): what the gate keeps of a decision;
+    findings as rule:severity in their order."""
+    listed = ordered(findings).groupBy("draft_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "rule", "severity"))), lambda x: F.concat(x["rule"], F.lit(":"), x["severity"])).alias("findings")
+    )
+    rows = drafts.select("draft_id", "channel", "market").join(verdict_rows, "draft_id").join(listed, "draft_id", "left")
+    return rows.select(
+        "draft_id", F.concat(F.lit("fnv1a:"), "hash").alias("draft_hash"), "channel", "market", F.col("verdict").alias("decision"), F.col("score").alias("risk_score"),
+        F.lit(threshold).alias("threshold"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"),
+    )
 
 
 def fnv1a(text: Column) -> Column:

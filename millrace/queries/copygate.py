@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,11 +11,21 @@ from pyspark.sql import functions as F
 from millrace.operators import copygate as c
 from millrace.plans.views import view, with_views
 
+#: The house's rules with words that occur in the invented prose of the tables.
 RULES = [
-    {"rule": "TOV-HYPE", "severity": "warn", "weight": 8, "terms": ["of the", "thanti*", "erst"]},
-    {"rule": "TOV-PUSHY", "severity": "warn", "weight": 8, "terms": ["and that", "der und", "de la"]},
-    {"rule": "UK-ABSOLUTE", "severity": "block", "weight": 40, "terms": ["in the is"], "markets": ["UK"]},
+    replace(r, terms=words)
+    for r, words in zip(
+        [r for r in c.standard_rules(("custom",)) if r.rule in ("TOV-HYPE", "TOV-PUSHY", "UK-ABSOLUTE", "TOV-CUSTOM")],
+        [("of the", "thanti*", "erst"), ("and that", "der und", "de la"), ("in the is", "is in"), ("it was", "le des")],
+        strict=True,
+    )
+]
+REGISTER = [
+    (0, "EV-1", "The of and to in a is that it for on was", [10.0], None, ["UK", "DE"], None, "Thand"),
+    (1, "EV-2", "Und der die das ist in den von zu mit", [3.0], "up to", ["DE"], None, None),
+    (2, "EV-3", "Le de la les des est en que pour dans", [5.0], None, ["US"], "superseded", "Einver"),
 ]
+REGISTER_SCHEMA = "reg_no int, id string, claim string, numbers array<double>, qualifier string, markets array<string>, retired string, competitor string"
 
 
 def _drafts(spark, d):
@@ -62,17 +73,52 @@ def c_claims(spark, d):
 
 
 def c_competitors(spark, d):
-    return c.competitor_findings(c.sentences(_drafts(spark, d)), ["Thand", "Einver"])
+    return c.competitor_findings(c.sentences(_drafts(spark, d)), ["Thand", "Einver"]).drop("evidence")
+
+
+def c_comparisons(spark, d):
+    """Sentences with two of the prose's commonest words stand for comparisons; the register backs some."""
+    rows = c.sentences(view(spark, d, "part").selectExpr("p_partkey as draft_id", "case p_size % 3 when 0 then 'UK' when 1 then 'DE' else 'US' end as market", "concat('Thand', case when p_size % 2 = 0 then ' is cheaper than Einver' else ' is slow' end, ' for ', p_size, ' teams. We are the best of Thand.') as text"))
+    register = spark.createDataFrame([(0, "EV-9", "Cheaper than Einver for 10 teams of any size", [10.0], None, ["UK", "DE"], None, "Einver")], REGISTER_SCHEMA)
+    return c.competitor_findings(rows, ["Thand", "Einver"], register)
+
+
+def c_superlatives(spark, d):
+    rows = c.sentences(view(spark, d, "part").selectExpr("p_partkey as draft_id", "case p_size % 3 when 0 then 'UK' when 1 then 'DE' else 'US' end as market", "concat('The fastest ', case when p_size % 2 = 0 then 'month close of any ledger' else 'close' end, ' and the best of ', p_size, '.') as text"))
+    register = spark.createDataFrame([(0, "EV-7", "The fastest month close of any ledger", [], None, ["UK", "DE"], None, None)], REGISTER_SCHEMA)
+    return c.superlative_findings(rows, register)
+
+
+def c_certificates(spark, d):
+    rows = view(spark, d, "part").selectExpr("p_partkey as draft_id", "concat('We hold ', case p_size % 3 when 0 then 'ISO 27001' when 1 then 'SOC 2, soc 2' else 'nothing' end) as text")
+    return c.certificate_findings(rows, {"iso 27001": "EV-060", "soc 2": None, "pci dss": None})
+
+
+def c_phrase_hits(spark, d):
+    return c.phrase_hits(_drafts(spark, d), RULES[:2]).groupBy("draft_id", "rule").agg(F.count("*").alias("hits"), F.sum(F.col("start").cast("long")).alias("starts"), F.sum(F.col("stop").cast("long")).alias("stops"))
+
+
+def c_hit_segments(spark, d):
+    return c.segments(c.phrase_hits(_drafts(spark, d), RULES)).groupBy("draft_id").agg(F.count("*").alias("segments"), F.sum(F.col("stop") - F.col("start")).alias("marked"))
+
+
+def c_messages(spark, d):
+    return c.with_messages(c.phrase_findings(_drafts(spark, d), RULES), RULES).select("draft_id", "rule", "message", "fix")
+
+
+def c_ledger_rows(spark, d):
+    drafts, found = _drafts(spark, d), _findings(spark, d)
+    return c.ledger_rows(drafts, c.verdicts(drafts, found), found).drop("draft_hash")
 
 
 def _findings(spark, d) -> DataFrame:
     drafts = _drafts(spark, d)
-    parts = [c.length_findings(c.fields(drafts)), c.phrase_findings(drafts, RULES).drop("terms")]
+    parts = [c.length_findings(c.fields(drafts)), c.phrase_findings(drafts, RULES).drop("terms", "first_start")]
     return reduce(DataFrame.unionByName, parts)
 
 
 def c_verdicts(spark, d):
-    return c.verdicts(_drafts(spark, d), _findings(spark, d)).select("draft_id", "score", "verdict")
+    return c.verdicts(_drafts(spark, d), _findings(spark, d)).select("draft_id", "score", "verdict", "reason")
 
 
 def c_tally(spark, d):
@@ -84,7 +130,7 @@ def c_ordered(spark, d):
 
 
 def c_hash(spark, d):
-    return _drafts(spark, d).select("draft_id", c.fnv1a(F.substring("text", 1, 64)).alias("hash"))
+    return _drafts(spark, d).select("draft_id", c.fnv1a(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
 def c_batch(spark, d):
@@ -100,7 +146,8 @@ def c_segments(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    c_fields, c_sentences, c_lengths, c_phrases, c_stats, c_tone, c_claims, c_competitors, c_verdicts, c_tally, c_ordered, c_hash, c_batch, c_segments,
+    c_fields, c_sentences, c_lengths, c_phrases, c_stats, c_tone, c_claims, c_competitors, c_comparisons, c_superlatives, c_certificates, c_phrase_hits,
+    c_hit_segments, c_messages, c_ledger_rows, c_verdicts, c_tally, c_ordered, c_hash, c_batch, c_segments,
 )}
 
 _W = "'[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9''’-]*'"
@@ -115,6 +162,25 @@ def _terms(terms) -> str:
 _DOUBLED = "' ' || regexp_replace({0}, '([^\\w])', '\\1\\1', 'g') || ' '"
 _SENT = "se AS (SELECT draft_id, trim(unnest(str_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))) AS sentence FROM v_drafts), st AS (SELECT * FROM se WHERE sentence <> '')"
 _NAMED = f"nm AS (SELECT * FROM st WHERE regexp_matches({_DOUBLED.format('sentence')}, '{_terms(['Thand', 'Einver'])}'))"
+
+
+def _phrases(select: str) -> str:
+    """pt: one row a hit, i its number in the draft; pf: findings."""
+    hits = " UNION ALL ".join(
+        f"SELECT draft_id, market, '{r.rule}' AS rule, '{r.severity}' AS severity, {c.WEIGHT[r.severity] if r.weight is None else r.weight} AS weight, regexp_extract_all({_DOUBLED.format('text')}, '{_terms(r.terms)}', 1) AS h FROM v_drafts"
+        for r in RULES
+    )
+    base = f"ph AS ({hits}), pk AS (SELECT * FROM ph WHERE len(h) > 0 AND (rule <> 'UK-ABSOLUTE' OR market = 'UK')), pf AS (SELECT draft_id, rule, severity, weight, len(h) AS count FROM pk), pt AS (SELECT draft_id, rule, lower(replace(unnest(h), '  ', ' ')) AS term, unnest(range(len(h))) AS i FROM pk)"
+    return with_views(f"{base}, {select}" if select.startswith("bd AS") else f"{base} {select}", "v_drafts")
+
+
+# The drafts of v_drafts are posts without labels: one field, over 3,000 characters or with a long first line.
+_FOUND = """bd AS (SELECT draft_id, array_to_string(list_filter(list_transform(str_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> ''), chr(10)) AS b FROM v_drafts),
+fi AS (SELECT *, CASE severity WHEN 'block' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS sr FROM (SELECT * FROM pf
+   UNION ALL SELECT draft_id, 'LEN-LI-MAX', 'block', 40, 1 FROM bd WHERE length(b) > 3000 UNION ALL SELECT draft_id, 'LEN-LI-HOOK', 'warn', 10, 1 FROM bd WHERE length(split_part(b, chr(10), 1)) > 150)),
+sm AS (SELECT draft_id, least(100, CAST(sum(weight * least(count, 3)) AS BIGINT)) AS score, count(*) FILTER (severity = 'block') AS blocks, list(rule ORDER BY sr, weight DESC, rule) FILTER (severity <> 'info') AS held FROM fi GROUP BY 1),
+vd AS (SELECT draft_id, score, verdict, CASE WHEN verdict = 'block' THEN held[1] || CASE WHEN blocks > 1 THEN ' and ' || (blocks - 1) || ' more' ELSE '' END WHEN verdict = 'review' THEN array_to_string(held[1:2], ', ') END AS reason
+   FROM (SELECT d.draft_id, coalesce(score, 0) AS score, coalesce(blocks, 0) AS blocks, held, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN coalesce(blocks, 0) > 0 THEN 'block' WHEN coalesce(score, 0) >= 20 THEN 'review' ELSE 'approve' END AS verdict FROM v_drafts d LEFT JOIN sm USING (draft_id)))"""
 ORACLES = {
     "c_sentences": with_views(f"{_SENT} SELECT draft_id, count(*) AS sentences FROM st GROUP BY 1", "v_drafts"),
     "c_competitors": with_views(
@@ -122,17 +188,24 @@ ORACLES = {
         + " ".join(f"UNION ALL SELECT draft_id, '{r}', 'block', 40, count(*) FROM nm WHERE regexp_matches({_DOUBLED.format('sentence')}, '{_terms(t)}') GROUP BY 1" for r, t in (("CMP-COMPARE", c.COMPARISONS), ("CMP-DISPARAGE", c.DISPARAGING))),
         "v_drafts",
     ),
-    "c_phrases": with_views(
-        "pf AS ("
-        + " UNION ALL ".join(f"SELECT draft_id, market, '{r['rule']}' AS rule, '{r['severity']}' AS severity, {r['weight']} AS weight, len(regexp_extract_all({_DOUBLED.format('text')}, '{_terms(r['terms'])}')) AS count FROM v_drafts" for r in RULES)
-        + ") SELECT draft_id, rule, severity, weight, count FROM pf WHERE count > 0 AND (rule <> 'UK-ABSOLUTE' OR market = 'UK')",
-        "v_drafts",
-    ),
+    "c_phrases": _phrases("SELECT draft_id, rule, severity, weight, count FROM pf"),
+    "c_verdicts": _phrases(f"{_FOUND} SELECT draft_id, score, verdict, reason FROM vd"),
+    "c_tally": _phrases(f"{_FOUND} SELECT verdict, count(*) AS drafts FROM vd GROUP BY 1"),
+    "c_ordered": _phrases(f"{_FOUND} SELECT draft_id, rule, row_number() OVER (PARTITION BY draft_id ORDER BY sr, rule) AS n FROM fi"),
+    "c_ledger_rows": _phrases(f"{_FOUND} SELECT vd.draft_id, channel, market, verdict AS decision, score AS risk_score, 20 AS threshold, coalesce(fl, []) AS findings FROM vd JOIN v_drafts USING (draft_id) LEFT JOIN (SELECT draft_id, list(rule || ':' || severity ORDER BY sr, rule) AS fl FROM fi GROUP BY 1) USING (draft_id)"),
+    "c_messages": _phrases("SELECT draft_id, rule, CASE rule WHEN 'TOV-HYPE' THEN 'Hype words: ' WHEN 'TOV-PUSHY' THEN 'Pressure: ' WHEN 'TOV-CUSTOM' THEN 'Banned words: ' ELSE 'Promises certainty: ' END || array_to_string(terms, ', ') || '.' AS message, CASE rule WHEN 'TOV-HYPE' THEN 'Say what the product does.' WHEN 'TOV-PUSHY' THEN 'Give a reason to act.' WHEN 'TOV-CUSTOM' THEN 'Remove or rephrase.' ELSE 'State the term that holds.' END AS fix FROM (SELECT draft_id, rule, list(term ORDER BY first) AS terms FROM (SELECT draft_id, rule, term, min(i) AS first FROM pt GROUP BY 1, 2, 3) GROUP BY 1, 2)"),
+    "c_comparisons": """WITH s AS (SELECT p_partkey AS draft_id, p_size, CASE p_size % 3 WHEN 0 THEN 'UK' WHEN 1 THEN 'DE' ELSE 'US' END AS market FROM part)
+        SELECT draft_id, 'CMP-MENTION' AS rule, 'warn' AS severity, 15 AS weight, 2 AS count, NULL AS evidence FROM s
+        UNION ALL SELECT draft_id, 'CMP-DISPARAGE', 'block', 40, 1, NULL FROM s WHERE p_size % 2 = 1
+        UNION ALL SELECT draft_id, 'CMP-COMPARE', CASE WHEN market <> 'US' THEN 'warn' ELSE 'block' END, CASE WHEN market <> 'US' THEN 10 ELSE 40 END, 1, CASE WHEN market <> 'US' THEN 'EV-9' END FROM s WHERE p_size % 2 = 0 AND p_size = 10
+        UNION ALL SELECT draft_id, 'CMP-COMPARE', 'block', 40, 1, NULL FROM s WHERE p_size % 2 = 0 AND p_size <> 10""",
+    "c_superlatives": """WITH s AS (SELECT p_partkey AS draft_id, p_size, p_size % 3 < 2 AS ok FROM part)
+        SELECT draft_id, 'CLM-SUPERLATIVE' AS rule, 'block' AS severity, 40 AS weight, 2 AS count, NULL AS evidence FROM s WHERE NOT (ok AND p_size % 2 = 0)""",
+    "c_certificates": """SELECT p_partkey AS draft_id, CASE p_size % 3 WHEN 0 THEN 'CLM-OK' ELSE 'SEC-CERT' END AS rule, CASE p_size % 3 WHEN 0 THEN 'info' ELSE 'block' END AS severity,
+        CASE p_size % 3 WHEN 0 THEN 0 ELSE 40 END AS weight, CASE p_size % 3 WHEN 0 THEN 1 ELSE 2 END AS count, CASE p_size % 3 WHEN 0 THEN 'EV-060' END AS evidence FROM part WHERE p_size % 3 < 2""",
     "c_stats": with_views(f"""w AS (SELECT draft_id, text, regexp_extract_all(text, {_W}) AS w FROM v_drafts)
         SELECT draft_id, len(w) AS words, len(regexp_extract_all(text, '!')) AS bangs, len(list_filter(w, lambda x: regexp_full_match(x, '[A-Z]{{3,}}'))) AS caps,
         len(list_filter(w, lambda x: lower(x) IN ('we', 'our', 'us', 'ours'))) AS we, len(list_filter(w, lambda x: lower(x) IN ('you', 'your', 'yours'))) AS you FROM w""", "v_drafts"),
-    "c_hash": with_views("""r AS (SELECT draft_id, CAST(2166136261 AS BIGINT) AS h, 1 AS i, text[1:64] AS t FROM v_drafts UNION ALL SELECT draft_id, CAST((CAST(xor(h, unicode(t[i:i])) AS HUGEINT) * 16777619) % 4294967296 AS BIGINT), i + 1, t FROM r WHERE i <= length(t))
-        SELECT draft_id, lpad(printf('%x', h), 8, '0') AS hash FROM r WHERE i = length(t) + 1""", "v_drafts").replace("WITH ", "WITH RECURSIVE ", 1),
     "c_batch": "SELECT doc_id AS batch_id, count(*) AS drafts FROM (SELECT doc_id, unnest(str_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' GROUP BY 1",
     "c_segments": f"""WITH s AS ({_SPANS}), e AS (SELECT DISTINCT draft_id, unnest([start, stop]) AS start FROM s), p AS (SELECT *, lead(start) OVER (PARTITION BY draft_id ORDER BY start) AS stop FROM e),
         v AS (SELECT p.draft_id, p.start, p.stop, list_sort(list(DISTINCT rule)) AS rules FROM p JOIN s ON s.draft_id = p.draft_id AND s.start <= p.start AND s.stop >= p.stop WHERE p.stop IS NOT NULL GROUP BY 1, 2, 3),
