@@ -35,13 +35,12 @@ SWITCHES = ("names", "email", "phone", "company", "country", "title", "stage")
 
 
 def detect_columns(headers: list[str]) -> dict[str, str]:
-    """Field to header: for each field the first header not yet taken that fits."""
-    found: dict[str, str] = {}
+    """Field to header: each field, in the order of HEADERS, gets the first header that fits and has no field yet."""
+    field_of: dict[str, str] = {}
     for name, pattern in HEADERS:
-        hit = next((h for h in headers if h not in found.values() and re.search(pattern, h.lower().strip())), None)
-        if hit is not None:
-            found[name] = hit
-    return found
+        fitting = [h for h in headers if h not in field_of and re.search(pattern, h.lower().strip())]
+        field_of.update({h: name for h in fitting[:1]})
+    return {name: h for h, name in field_of.items()}
 
 
 def standardise(rows: DataFrame, mapping: dict[str, str], row_col: str, default_country: str = "DE", off: tuple[str, ...] = ()) -> DataFrame:
@@ -209,8 +208,11 @@ def bands(scored: DataFrame, auto: float = 0.8, review: float = 0.6) -> DataFram
 
 
 def decided(scored: DataFrame, decisions: DataFrame, auto: float = 0.8) -> DataFrame:
-    """scored with decision (merge, separate or '') of (a, b in any order) and whether the pair links its rows."""
-    d = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "decision").dropDuplicates(["a", "b"])
+    """scored with decision (merge, separate or '') of (a, b in any order) and whether the pair links its rows. Of several
+    decisions on a pair the latest counts (column seq, if there is one), of equally late ones `separate`."""
+    seq = F.col("seq") if "seq" in decisions.columns else F.lit(0)
+    pair = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.struct(seq.alias("seq"), "decision").alias("d"))
+    d = pair.groupBy("a", "b").agg(F.max("d")["decision"].alias("decision"))
     joined = bands(scored, auto).join(d, ["a", "b"], "left").withColumn("decision", F.coalesce("decision", F.lit("")))
     link = (F.col("decision") == "merge") | ((F.col("decision") != "separate") & (F.col("s") >= auto))
     return joined.withColumn("link", link)
