@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import clamp, half_up
+from millrace.plans.storage import materialise
 
 # Fixed values.
 SIGNALS = {
@@ -181,7 +182,7 @@ def out_of_fold(rows: DataFrame, lam: float, folds: int = 4, label: str = "y") -
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = rows.cache()
+    rows = materialise(rows, "features")
     out = None
     for k in range(folds):
         model, _ = fit_logit(rows.filter(F.col("fold") != k), lam, label)
@@ -202,11 +203,30 @@ def auc(scored: DataFrame, score_col: str = "score", label: str = "y", by: tuple
 
 
 def deciles(scored: DataFrame, score_col: str = "score", label: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., decile, n, rate): rows in descending score (then id), cut at round(d*n/10); decile 0 is the top."""
-    order = Window.partitionBy(*by).orderBy(F.desc(score_col), "id")
-    rows = scored.withColumn("r", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    decile = sum((F.when(F.col("r") >= half_up(F.col("n") * d / 10.0), 1).otherwise(0) for d in range(1, 10)), F.lit(0))
-    return rows.withColumn("decile", decile).groupBy(*by, "decile").agg(F.count("*").alias("n"), F.avg(label).alias("rate"))
+    """(by..., decile, n, rate): rows in descending score (then id), cut at round(d*n/10); decile 0 is the top.
+
+    Rows are counted by score value, and the window is over the distinct values. Only the values that a cut parts, nine
+    at most for each of `by`, are looked at row by row.
+    """
+    tied = scored.groupBy(*by, F.col(score_col).alias("value")).agg(F.count("*").alias("n"), F.sum(label).alias("hits"))
+    above = Window.partitionBy(*by).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = tied.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+
+    def decile(rank: Column) -> Column:
+        return sum((F.when(rank >= half_up(F.col("all") * d / 10.0), 1).otherwise(0) for d in range(1, 10)), F.lit(0))
+
+    ranked = ranked.withColumn("decile", decile(F.col("above"))).withColumn("last", decile(F.col("above") + F.col("n") - 1))
+    whole = ranked.filter("decile = last").select(*by, "decile", "n", "hits")
+    cut = ranked.filter("decile < last").select(*by, "value", "above", "all")
+    inside = F.row_number().over(Window.partitionBy(*by, "value").orderBy("id")) - 1
+    parted = (
+        scored.withColumn("value", F.col(score_col))
+        .join(cut, [*by, "value"])
+        .withColumn("rank", F.col("above") + inside)
+        .select(*by, decile(F.col("rank")).alias("decile"), F.lit(1).cast("long").alias("n"), F.col(label).alias("hits"))
+    )
+    sums = whole.unionByName(parted).groupBy(*by, "decile").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return sums.select(*by, "decile", "n", (F.col("hits") / F.col("n")).alias("rate"))
 
 
 def integer_weights(coefficients: DataFrame) -> DataFrame:

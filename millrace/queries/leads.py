@@ -53,7 +53,7 @@ def l_explain(spark, d):
 
 
 def l_ranking(spark, d):
-    return m.ranking(l_score(spark, d), "icp", 50)
+    return m.ranking(l_score(spark, d), "icp")
 
 
 def l_tier_counts(spark, d):
@@ -88,6 +88,14 @@ def l_out_of_fold(spark, d):
     return m.out_of_fold(m.features(_accounts(spark, d)), lam=4.0)
 
 
+def l_holdout_auc(spark, d):
+    """The learned scorer next to the rules on the same rows, each scored by a model that has not seen it."""
+    learned = m.out_of_fold(m.features(_accounts(spark, d)), lam=4.0)
+    rules = m.score(_accounts(spark, d), SOURCE).select("id", F.col("total").cast("double").alias("total"))
+    both = learned.join(rules, "id").select("id", "y", F.inline(F.array(F.struct(F.lit("learned").alias("scorer"), F.col("p").alias("score")), F.struct(F.lit("rules").alias("scorer"), F.col("total").alias("score")))))
+    return m.auc(both, by=("scorer",))
+
+
 def l_learned_weights(spark, d):
     _, coefficients = m.fit_logit(m.features(_accounts(spark, d)).filter("fold <> 0"), lam=4.0)
     rows = spark.createDataFrame([(s, coefficients[s]) for s in m.SIGNALS], "signal string, coefficient double")
@@ -120,7 +128,7 @@ def l_config_difference(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     l_icp, l_composite, l_flags, l_branch, l_signal_points, l_score, l_score_decayed, l_explain, l_ranking, l_tier_counts, l_features,
-    l_auc, l_deciles, l_lift, l_out_of_fold, l_learned_weights, l_integer_weights, l_weight_gap, l_drafts, l_gate, l_config_difference,
+    l_auc, l_deciles, l_lift, l_out_of_fold, l_holdout_auc, l_learned_weights, l_integer_weights, l_weight_gap, l_drafts, l_gate, l_config_difference,
 )}
 
 _ON = {"segment_pql": "pql > 0", **{s: c for s, c in m.FLAG_OF.items()}}
@@ -183,7 +191,7 @@ ORACLES = {
     "l_score": _sql("SELECT * FROM s1"),
     "l_score_decayed": _sql("SELECT id, tier2 AS tier, CASE WHEN tier2 <> 'none' THEN br END AS branch, t2 AS total FROM ti"),
     "l_explain": _sql("SELECT id, signal AS part, CAST(p1 AS DOUBLE) AS points, 'fired ' || age || ' days ago' AS rule FROM sp " + " ".join(f"UNION ALL SELECT id, '{d}', {d}, '{d} = ' || {d} FROM ii" for d in m.DIMENSIONS)),
-    "l_ranking": _sql("SELECT * FROM s1 ORDER BY icp DESC, total DESC, name, id LIMIT 50"),
+    "l_ranking": _sql("SELECT * FROM s1 ORDER BY icp DESC, total DESC, name, id LIMIT 100"),
     "l_tier_counts": _sql("SELECT tier, count(*) AS accounts FROM s1 GROUP BY 1"),
     "l_features": _sql("SELECT id, " + ", ".join(f"CAST({d} AS DOUBLE) AS {d}" for d in m.DIMENSIONS) + ", " + ", ".join(f"CAST(CAST({'invoices_30d >= 50' if s == 'segment_pql' else _ON[s]} AS INT) AS DOUBLE) AS {s}" for s in m.SIGNALS) + " FROM ii"),
     "l_auc": _sql("SELECT scorer, (sum(y * rank) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc FROM av GROUP BY 1"),
