@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import ledger as g
+from millrace.sources.actions import normalise
 
 
 def deduplicated(actions: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -13,9 +14,26 @@ def deduplicated(actions: DataFrame, delay: str = "1 hour") -> DataFrame:
     return actions.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def normalised(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Ledger actions, once each, from a stream of provider events (JSON text); what does not fit is left to the batch
+    job's quarantine, which reads the same events."""
+    return deduplicated(normalise(raw)[0].filter("ts is not null"), delay)
+
+
 def stateless_checks(actions: DataFrame, policy: g.Policy) -> DataFrame:
-    """Tone of every text action, with its verdict: nothing is kept between rows."""
-    return g.tone(actions, policy)
+    """(event_id, check_type, score, verdict): tone, claims, competitors and regulated wording of every text action:
+    nothing is kept between rows."""
+    none = F.lit(None).cast("double").alias("score")
+    tone = g.tone(actions, policy).select("event_id", F.lit("tov").alias("check_type"), "score", "verdict")
+    return tone.unionByName(g.phrase_checks(actions, policy).select("event_id", "check_type", none, "verdict"))
+
+
+def drift_alarms(days: DataFrame, baseline: DataFrame, policy: g.Policy) -> DataFrame:
+    """(agent_id, channel, day, mean, baseline, reason): closed days (of daily_tone) under the warn line, or far under a
+    static table's baseline (agent_id, channel, baseline)."""
+    reason = F.when(F.col("mean") < policy.warn_below, "below_threshold").when(F.col("baseline") - F.col("mean") > policy.drop_threshold, "drop_vs_baseline")
+    rows = days.join(baseline.select("agent_id", "channel", "baseline"), ["agent_id", "channel"], "left").withColumn("reason", reason)
+    return rows.filter((F.col("n") >= policy.drift_min_samples) & F.col("reason").isNotNull()).select("agent_id", "channel", "day", "mean", "baseline", "reason")
 
 
 def email_days(actions: DataFrame, policy: g.Policy, delay: str = "1 hour") -> DataFrame:
