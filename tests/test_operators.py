@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import contacts as n
-from millrace.operators import copygate, entity, experiments, graph, leads, ledger, mix
+from millrace.operators import copygate, entity, experiments, graph, leads, ledger, mix, runs
 from millrace.sources import files
 from millrace.streaming import ledger as live
 
@@ -22,6 +22,10 @@ def test_phonetics(spark):
     assert values(spark, n.cologne, ["Wikipedia", "Breschnew", "", "Xaver", "Philipp", "Tsch"]) == ["3412", "17863", "", "4837", "351", "8"]
 
 
+def test_accents(spark):
+    assert values(spark, n.fold, ["Nguyễn", "Ŵilliam", "Ķēniņš ģ ļ", "Ærø", "E\u0301va", "Größe"]) == ["nguyen", "william", "kenins g l", "ærø", "eva", "groesse"]
+
+
 def test_phones(spark):
     got = values(spark, lambda c: n.phone(c, F.lit("DE"))["value"], ["+49 (0)30 1234567", "0049 30 1234567", "030/1234567", "12", "030 1234567 ext. 9"])
     assert got == ["+49301234567"] * 3 + ["12", "+49301234567"]
@@ -69,8 +73,75 @@ def test_simplex_weights():
 def test_ridge_keeps_media_non_negative():
     rng = np.random.default_rng(1)
     x = np.column_stack([np.ones(80), rng.random((80, 3))])
-    beta = mix._ridge(x, x @ np.array([1, 2.0, -3, 0.5]), 3)
+    y = x @ np.array([1, 2.0, -3, 0.5])
+    beta, error = mix._ridge(x, y, 3)
     assert (beta[1:] >= 0).all() and beta[2] == 0
+    assert abs(error - ((y - x @ beta) ** 2).sum()) < 1e-9
+    # The intercept is free: a constant moves it alone.
+    assert np.allclose(mix._ridge(x, y + 100, 3)[0] - beta, [100, 0, 0, 0], atol=1e-6)
+
+
+def test_curve_fit_finds_planted_curves(spark):
+    rng = np.random.default_rng(3)
+    weeks = [dt.date(2024, 1, 1) + dt.timedelta(weeks=k) for k in range(104)]
+    spend, target = [], []
+    for panel in (1, 2):
+        raw = {c: np.where(rng.random(104) < 0.5, rng.uniform(20, 200, 104), 0.0) for c in ("a", "b")}
+        curves = {"a": (0.0, 1.0, 1.5, 300.0), "b": (0.5, 0.6, 1.0, 200.0)}
+        y = 1000.0 + 50 * np.sin(2 * np.pi * np.arange(104) / mix.YEAR)
+        for c, (decay, multiple, shape, beta) in curves.items():
+            run, half = 0.0, multiple * raw[c].mean()
+            for k in range(104):
+                run = run * decay + raw[c][k]
+                x = run * (1 - decay)
+                y[k] += beta / (1 + (half / x) ** shape) if x > 0 else 0.0
+        spend += [(panel, w, c, float(v)) for c in raw for w, v in zip(weeks, raw[c], strict=True)]
+        target += [(panel, w, float(v + rng.normal() * 2)) for w, v in zip(weeks, y, strict=True)]
+    s = spark.createDataFrame(spend, "panel_id long, week date, channel string, spend double")
+    t = spark.createDataFrame(target, "panel_id long, week date, revenue double")
+    model = mix.fit_panels(s, t)
+    got = {(r.panel_id, r.channel): r for r in model.collect() if r.decay is not None}
+    for panel in (1, 2):
+        assert abs(got[panel, "a"].decay) <= 0.1 and abs(got[panel, "b"].decay - 0.5) <= 0.1
+    quality = mix.fit_quality(mix.fitted(t, mix.adstock(s), model)).collect()
+    assert all(r.r2 > 0.95 and r.holdout_mape < 0.05 for r in quality)
+
+
+def test_objections_before_the_filing_are_dropped(spark):
+    log = spark.createDataFrame([(1, k, dt.datetime(2024, 1, 1, k), r, "ok", 0.0) for k, r in enumerate(["critic", "architect", "research", "critic", "engineer"], 1)], "run_id long, pos long, ts timestamp, role string, status string, cost_usd double")
+    proposals = spark.createDataFrame([(1, 7, "architect", 2, dt.datetime(2024, 1, 1, 2))], "run_id long, proposal_id long, filed_by string, pos long, ts timestamp")
+    objections = spark.createDataFrame([(1, 7, "critic", 1)], "run_id long, proposal_id long, role string, pos long")
+    built = spark.createDataFrame([(1, 7, "engineer", 5)], "run_id long, proposal_id long, role string, pos long")
+    (row,) = runs.lifecycle(log, proposals, objections, built).collect()
+    assert (row.state, row.integrated_pos, row.done_pos, row.dropped, row.objections, row.warnings) == ("done", 4.0, 5.0, 1, 0, 1)
+
+
+def test_backtest_windows(spark):
+    days = [(1, "a", dt.date(2024, 1, 1) + dt.timedelta(days=k), 1.0) for k in range(100)]
+    panel = spark.createDataFrame(days, "test_id long, geo string, day date, kpi double")
+    tests = spark.createDataFrame([(1, dt.date(2024, 1, 1) + dt.timedelta(days=80))], "test_id long, start date")
+    got = sorted((r.window_id, (r.stop - r.start).days) for r in experiments.windows(panel, tests).collect())
+    assert len(got) == 24 and got[0] == (28, 20) and got[-1] == (60, 20)
+    late = tests.withColumn("start", F.lit(dt.date(2024, 2, 10)))
+    assert experiments.windows(panel, late).collect() == []
+
+
+def test_suggested_cell_passes_over_large_geos(spark):
+    ranked = spark.createDataFrame([(1, "big", 0.01, 0.07), (1, "a", 0.02, 0.05), (1, "b", 0.03, 0.06), (1, "c", 0.04, 0.06), (1, "d", 0.05, 0.01)], "test_id long, geo string, mape double, share double")
+    (row,) = experiments.suggest_cell(ranked).collect()
+    assert row.geos == ["a", "b", "c"] and abs(row.share - 0.17) < 1e-9
+
+
+def test_phrase_hits_keep_their_places(spark):
+    text = "Act now: a game-changer.\nAct NOW, free*. It is free"
+    rules = [copygate.Rule("P", "warn", ("act now", "game-chang*")), copygate.Rule("F", "warn", ("free",), unless=r"\*", unless_scope="sentence")]
+    drafts = spark.createDataFrame([(1, "linkedin", "UK", text), (2, "linkedin", "UK", None)], "draft_id long, channel string, market string, text string")
+    got = sorted((r.rule, r.start, r.stop, r.term) for r in copygate.phrase_hits(drafts, rules).collect())
+    assert [(r, text[a:b].lower()) for r, a, b, _ in got] == [(r, t) for r, _, _, t in got]
+    assert [(r, t) for r, _, _, t in got] == [("F", "free"), ("P", "act now"), ("P", "game-changer"), ("P", "act now")]
+    assert got[0][1] == text.rindex("free")
+    said = {r.rule: r.message for r in copygate.with_messages(copygate.phrase_findings(drafts, rules), rules).collect()}
+    assert said == {"P": "Found: act now, game-changer.", "F": "Found: free."}
 
 
 def test_budget_plan_stays_in_bounds(spark):
@@ -139,8 +210,10 @@ def test_stream_gate_appends_decisions(spark, actions, tmp_path):
 def test_streams_agree_with_batches(spark, actions):
     batch, stream = actions
     policy = ledger.Policy(max_emails_per_day=4)
-    got = {(r.event_id, r.score, r.verdict) for r in drained(live.stateless_checks(stream(), policy), "t_tone")}
-    assert got == {tuple(r) for r in ledger.tone(batch, policy).collect()}
+    checked = drained(live.stateless_checks(stream(), policy), "t_tone")
+    assert {(r.event_id, r.score, r.verdict) for r in checked if r.check_type == "tov"} == {tuple(r) for r in ledger.tone(batch, policy).collect()}
+    phrases = {(r.event_id, r.check_type, r.verdict) for r in ledger.phrase_checks(batch, policy).collect()}
+    assert {(r.event_id, r.check_type, r.verdict) for r in checked if r.check_type != "tov"} == phrases
     assert len(drained(live.deduplicated(stream()), "t_dedup")) == 20
     days = {(r.agent_id, r.day): r.emails for r in drained(live.email_days(stream(), policy), "t_days")}
     want = {(r.agent_id, r.day): r.emails for r in ledger.email_days(batch.withColumn("day", F.to_date("ts"))).collect()}
@@ -162,3 +235,22 @@ def test_verdict_hashes_the_whole_draft(spark):
     none = spark.createDataFrame([], "draft_id long, rule string, severity string, weight int, count long")
     got = {r.draft_id: r.hash for r in copygate.verdicts(drafts, none).collect()}
     assert got == {k: plain(t) for k, t in enumerate(texts)}
+
+
+def test_stream_of_drift_alarms(spark, actions):
+    _, stream = actions
+    policy = ledger.Policy(warn_below=0.0, drop_threshold=0.2)
+    days = drained(live.daily_tone(stream(), policy), "t_daily")
+    base = spark.createDataFrame([(r.agent_id, r.channel, r["mean"] + (0.5 if k % 2 else 0.1)) for k, r in enumerate(days)], "agent_id string, channel string, baseline double").groupBy("agent_id", "channel").agg(F.max("baseline").alias("baseline"))
+    top = {(r.agent_id, r.channel): r.baseline for r in base.collect()}
+    alarms = {(r.agent_id, r.channel, r.day) for r in drained(live.drift_alarms(live.daily_tone(stream(), policy), base, policy), "t_alarms")}
+    assert alarms == {(r.agent_id, r.channel, r.day) for r in days if top[r.agent_id, r.channel] - r["mean"] > 0.2}
+
+
+def test_stream_of_provider_events(spark, tmp_path):
+    event = '{"provider":"zapier","ext_id":"e%d","zap_title":"News","started_at":"2024-01-0%dT10:00:00Z","action":{"type":"send_email","output":{"subject":"s","body_text":"hello"}}}'
+    raw = spark.createDataFrame([(event % (k % 3, 1 + k % 3),) for k in range(6)] + [("no json",)], "raw string")
+    raw.coalesce(1).write.parquet(str(tmp_path / "raw"))
+    stream = spark.readStream.schema("raw string").parquet(str(tmp_path / "raw"))
+    got = drained(live.normalised(stream), "t_raw")
+    assert sorted(r.event_id for r in got) == ["e0", "e1", "e2"] and {r.action_type for r in got} == {"email.send"}
