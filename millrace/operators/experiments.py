@@ -92,9 +92,10 @@ def donor_weights(grams: DataFrame, cross: DataFrame) -> DataFrame:
     rows = rows.join(cross.select("test_id", "cell", F.col("geo").alias("j")), ["test_id", "cell", "j"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["i"].unique())
-        g = pdf.pivot_table(index="i", columns="j", values="g").reindex(index=names, columns=names).fillna(0.0).to_numpy()
-        b = pdf.groupby("i")["b"].first().reindex(names).to_numpy()
+        names, i = np.unique(pdf["i"].to_numpy(str), return_inverse=True)
+        j = np.searchsorted(names, pdf["j"].to_numpy(str))
+        g, b = np.zeros((len(names), len(names))), np.zeros(len(names))
+        g[i, j], b[i] = pdf["g"].to_numpy(float), pdf["b"].to_numpy(float)
         return pd.DataFrame({"test_id": pdf["test_id"].iloc[0], "cell": pdf["cell"].iloc[0], "geo": names, "w": _fit(g, b)})
 
     return rows.groupBy("test_id", "cell").applyInPandas(solve, "test_id long, cell string, geo string, w double")
