@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, language_model, line_dedup, pieces, quality, sharding, simhash, token_counts, topk
+from millrace.llm import chat, decontaminate, language_model, line_dedup, phrases, pieces, quality, sharding, simhash, sql, token_counts, topk
 from millrace.llm.common import fold, table
 
 
@@ -72,6 +72,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=5, least=100, first=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_token_counts,
         op10_exact_topk,
+        op11_phrases,
     )
 }
 
@@ -121,4 +126,5 @@ f AS (SELECT conv_id, count(*) AS n_turns,
       FROM o SEMI JOIN k USING (conv_id) GROUP BY conv_id)
 SELECT conv_id, n_turns, CAST(length(chat) AS BIGINT) AS n_chars, md5(chat) AS chat_md5 FROM f
 """,
+    "op11_phrases": sql.phrases(longest=5, least=100, first=2000),
 }
