@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, language_model, line_dedup, phrases, pieces, quality, sharding, simhash, sql, token_counts, topk
+from millrace.llm import (
+    chat,
+    clustering,
+    decontaminate,
+    language_model,
+    line_dedup,
+    phrases,
+    pieces,
+    quality,
+    sharding,
+    simhash,
+    sql,
+    token_counts,
+    topk,
+)
 from millrace.llm.common import fold, table
 
 
@@ -76,6 +90,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), longest=5, least=100, first=2000)
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.lloyd(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_exact_topk,
         op11_phrases,
+        op12_clusters,
     )
 }
 
@@ -127,4 +146,5 @@ f AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns, CAST(length(chat) AS BIGINT) AS n_chars, md5(chat) AS chat_md5 FROM f
 """,
     "op11_phrases": sql.phrases(longest=5, least=100, first=2000),
+    "op12_clusters": sql.clusters(k=40, rounds=5, dim=64),
 }

@@ -34,3 +34,32 @@ kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE
 SELECT lang, rank, phrase, a, l, r, n, score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= {first}
 """
+
+
+def clusters(k: int = 40, rounds: int = 5, dim: int = 64, salt: str = "2") -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, v.v AS v, c.c AS c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+  FROM v CROSS JOIN c{i} c QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c.c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM (
+      SELECT c, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, {dim + 1})) AS j FROM a{i}) GROUP BY c, j)
+    GROUP BY c) n ON n.c = o.c)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{salt}:' || vec_id), v) - 1 AS c, v FROM v
+  ORDER BY sha256('{salt}:' || vec_id), v LIMIT {k}),
+{",".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN (SELECT c, v AS w FROM c{rounds}) USING (c)
+"""
