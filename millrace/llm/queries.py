@@ -12,6 +12,7 @@ from millrace.llm import (
     chat,
     clustering,
     decontaminate,
+    jaccard,
     language_model,
     line_dedup,
     phrases,
@@ -94,6 +95,10 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.lloyd(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64)
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_exact_topk,
         op11_phrases,
         op12_clusters,
+        op13_jaccard,
     )
 }
 
@@ -147,4 +153,5 @@ SELECT conv_id, n_turns, CAST(length(chat) AS BIGINT) AS n_chars, md5(chat) AS c
 """,
     "op11_phrases": sql.phrases(longest=5, least=100, first=2000),
     "op12_clusters": sql.clusters(k=40, rounds=5, dim=64),
+    "op13_jaccard": sql.jaccard(size=4, percent=85),
 }

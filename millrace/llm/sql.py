@@ -63,3 +63,24 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAS
        CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
 FROM a{rounds} JOIN (SELECT c, v AS w FROM c{rounds}) USING (c)
 """
+
+
+def jaccard(size: int = 4, percent: int = 85) -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT rid, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {size - 2}), lambda i: array_to_string(ws[i:i+{size - 1}], ' ')) END) AS sh FROM d),
+f AS MATERIALIZED (SELECT min(rid) AS sid, list_sort(sh) AS sh, min(doc_id) AS least, len(list_sort(sh)) AS n FROM s WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+w AS MATERIALIZED (SELECT sid, n, unnest(sh) AS w FROM f),
+p AS MATERIALIZED (SELECT a.sid AS x, b.sid AS y FROM w a JOIN w b ON a.w = b.w AND a.sid < b.sid
+    AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+  GROUP BY a.sid, b.sid, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT sid AS node, sid AS root FROM f UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+c AS (SELECT node AS sid, min(root) AS root FROM r GROUP BY node),
+l AS (SELECT root, min(least) AS component_id FROM c JOIN f USING (sid) GROUP BY root),
+m AS (SELECT f.sh, l.component_id FROM c JOIN f USING (sid) JOIN l USING (root))
+SELECT s.doc_id, len(s.sh) AS n_shingles, CASE WHEN len(s.sh) > 0 THEN m.component_id ELSE s.doc_id END AS component_id
+FROM s LEFT JOIN m ON list_sort(s.sh) = m.sh
+"""
