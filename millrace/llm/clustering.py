@@ -136,8 +136,10 @@ def lloyd(
         .select(F.explode(F.arrays_zip("ids", "cluster", "distance")).alias("z"))
         .select(F.col("z.ids").alias("vec_id"), F.col("z.cluster").alias("cluster"), F.col("z.distance").alias("distance"))
     )
-    sums = {r["cluster"]: r["s"] for r in each.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
-    total = sum(int(s) for s in sums.values() if s is not None)
+    wide = F.col("distance").cast("decimal(38,0)")
+    whole = F.when(F.count("*") == F.count("distance"), F.sum(wide)).alias("s")
+    sums = {r["cluster"]: r["s"] for r in each.groupBy("cluster").agg(whole).collect()}
+    total = None if None in sums.values() else sum(sums.values())
 
     def long(x: int | None) -> int | None:
         return int(x) if x is not None and x <= LONG else None
