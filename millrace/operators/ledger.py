@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import clamp, half_up
+from millrace.operators.sweep import first_by_another
 
 # Fixed values.
 TEXT_ACTIONS = ("email.send", "page.publish", "social.post", "task.execute")
@@ -114,12 +115,12 @@ def labelled(df: DataFrame) -> DataFrame:
 
 
 def _counted(actions: DataFrame, policy: Policy) -> DataFrame:
-    """Text actions with one column for each pattern: each is counted once, whatever the score uses it for."""
+    """Actions with one column for each pattern: each is counted once, whatever the score uses it for."""
     text = _joined("\n")
     capitals = F.filter(
         F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Z]{2,})(?![A-Za-z0-9_])"), 1), lambda w: ~w.isin("USD", "US")
     )
-    return actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)).withColumns(
+    return actions.withColumns(
         {
             "words": F.regexp_count(text, F.lit(r"\p{L}[\p{L}']*")),
             "capitals": F.size(capitals),
@@ -132,8 +133,8 @@ def _counted(actions: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
-def with_tone(actions: DataFrame, policy: Policy) -> DataFrame:
-    """The actions that carry text, with what their score counts, the score and the verdict."""
+def _scored(actions: DataFrame, policy: Policy) -> DataFrame:
+    """actions with what their texts' score counts, the score and tone_verdict."""
     share = F.when(F.col("words") > 0, F.col("capitals") / F.col("words")).otherwise(0.0)
     mean = F.when(F.col("sentences") > 0, F.col("words") / F.col("sentences")).otherwise(0.0)
     raw = (
@@ -147,7 +148,12 @@ def with_tone(actions: DataFrame, policy: Policy) -> DataFrame:
     )
     scored = _counted(actions, policy).withColumn("score", half_up(clamp(raw, 0.0, 1.0), 3))
     verdict = F.when(F.col("score") < policy.fail_below, "fail").when(F.col("score") < policy.warn_below, "warn").otherwise("pass")
-    return scored.withColumn("verdict", verdict)
+    return scored.withColumn("tone_verdict", verdict)
+
+
+def with_tone(actions: DataFrame, policy: Policy) -> DataFrame:
+    """The actions that carry text, with what their score counts, the score and the verdict."""
+    return _scored(actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)), policy).withColumnRenamed("tone_verdict", "verdict")
 
 
 def tone(actions: DataFrame, policy: Policy) -> DataFrame:
@@ -161,22 +167,16 @@ def first_sentence_with(text: Column, needle: Column) -> Column:
     return F.substring(F.trim(F.coalesce(F.get(found, F.lit(0)), F.lit(""))), 1, 160)
 
 
-def phrase_checks(actions: DataFrame, policy: Policy) -> DataFrame:
-    """(event_id, check_type, verdict, hits, evidence): claims, competitor and regulated wording in text actions.
-
-    Claims fail with a trigger word and no substantiation in the text, pass with substantiation, else warn; competitors
-    fail; regulated wording warns. evidence: the sentence of the first hit.
-    """
+def _phrases(actions: DataFrame, policy: Policy) -> DataFrame:
+    """actions with the phrases each text holds, whether a claim is triggered or backed, and the three verdicts."""
     hay = F.lower(F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))
-    base = actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)).select("event_id", "text", hay.alias("hay"))
-    backed = F.coalesce(F.col("text"), F.lit("")).rlike(SUBSTANTIATED)
-    found = base.withColumns(
+    found = actions.withColumn("hay", hay).withColumns(
         {
             "claims": _hits(F.col("hay"), policy.claims),
             "competitor": _hits(F.col("hay"), policy.competitors),
             "regulated": _hits(F.col("hay"), policy.regulated),
             "triggered": F.size(_hits(F.col("hay"), policy.claim_triggers)) > 0,
-            "backed": backed,
+            "backed": F.coalesce(F.col("text"), F.lit("")).rlike(SUBSTANTIATED),
         }
     )
     verdicts = {
@@ -184,10 +184,20 @@ def phrase_checks(actions: DataFrame, policy: Policy) -> DataFrame:
         "competitor": F.lit("fail"),
         "regulated": F.lit("warn"),
     }
+    return found.withColumns({f"{k}_verdict": F.when(F.size(k) > 0, v).otherwise("pass") for k, v in verdicts.items()})
+
+
+def phrase_checks(actions: DataFrame, policy: Policy) -> DataFrame:
+    """(event_id, check_type, verdict, hits, evidence): claims, competitor and regulated wording in text actions.
+
+    Claims fail with a trigger word and no substantiation in the text, pass with substantiation, else warn; competitors
+    fail; regulated wording warns. evidence: the sentence of the first hit.
+    """
+    found = _phrases(actions.filter(F.col("action_type").isin(*TEXT_ACTIONS)), policy)
     rows = F.array(
         *[
-            F.struct(F.lit(k).alias("check_type"), F.col(k).alias("hits"), F.when(F.size(k) > 0, v).otherwise("pass").alias("verdict"))
-            for k, v in verdicts.items()
+            F.struct(F.lit(k).alias("check_type"), F.col(k).alias("hits"), F.col(f"{k}_verdict").alias("verdict"))
+            for k in ("claims", "competitor", "regulated")
         ]
     )
     return (
@@ -197,22 +207,38 @@ def phrase_checks(actions: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def own_checks(actions: DataFrame, policy: Policy) -> DataFrame:
+    """The columns of actions, and check_type, score, verdict: one row for each check that needs no other action (tone,
+    phrases, budgets), in one pass; an event without any has one row, whose check_type is null."""
+    kept = [F.col(c) for c in actions.columns]
+    known = _phrases(_scored(actions, policy), policy)
+    none = F.lit(None).cast("double")
+
+    def row(check: str, score: Column, verdict: Column) -> Column:
+        return F.struct(F.lit(check).alias("check_type"), score.alias("score"), verdict.alias("verdict"))
+
+    said = F.array(row("tov", F.col("score"), F.col("tone_verdict")), *[row(k, none, F.col(f"{k}_verdict")) for k in QUALITY_CHECKS[1:]])
+    budget = F.col("action_type").isin(*BUDGET_ACTIONS) & F.col("budget_new").isNotNull()
+    spent = F.array(row("spend", none, _budget_verdict(policy)))
+    rows = F.when(F.col("action_type").isin(*TEXT_ACTIONS), said).when(budget, spent)
+    return known.select(*kept, F.inline_outer(rows))
+
+
 def email_days(actions: DataFrame) -> DataFrame:
     """(agent_id, day, emails)."""
     return actions.filter("action_type = 'email.send'").groupBy("agent_id", "day").agg(F.count("*").alias("emails"))
 
 
-def spend(actions: DataFrame, policy: Policy) -> DataFrame:
-    """(event_id, verdict, amount): budgets above the agent's ceiling, and every email of a day above the limit, fail."""
+def _budget_verdict(policy: Policy) -> Column:
     ceiling = F.lit(None).cast("double")
     for agent, cap in policy.ceilings.items():
         ceiling = F.when(F.col("agent_id") == agent, F.lit(float(cap))).otherwise(ceiling)
-    budgets = actions.filter(F.col("action_type").isin(*BUDGET_ACTIONS) & F.col("budget_new").isNotNull()).select(
-        "event_id",
-        F.when(F.col("budget_new") > ceiling, "fail").otherwise("pass").alias("verdict"),
-        F.col("budget_new").alias("amount"),
-    )
-    emails = (
+    return F.when(F.col("budget_new") > ceiling, "fail").otherwise("pass")
+
+
+def email_spend(actions: DataFrame, policy: Policy) -> DataFrame:
+    """(event_id, verdict, amount) of emails: every one of a day above the limit fails."""
+    return (
         actions.filter("action_type = 'email.send'")
         .select("event_id", "agent_id", "day")
         .join(email_days(actions), ["agent_id", "day"])
@@ -222,52 +248,37 @@ def spend(actions: DataFrame, policy: Policy) -> DataFrame:
             F.col("emails").cast("double").alias("amount"),
         )
     )
-    return budgets.unionByName(emails)
+
+
+def spend(actions: DataFrame, policy: Policy) -> DataFrame:
+    """(event_id, verdict, amount): budgets above the agent's ceiling, and every email of a day above the limit, fail."""
+    budgets = actions.filter(F.col("action_type").isin(*BUDGET_ACTIONS) & F.col("budget_new").isNotNull()).select(
+        "event_id", _budget_verdict(policy).alias("verdict"), F.col("budget_new").alias("amount")
+    )
+    return budgets.unionByName(email_spend(actions, policy))
 
 
 def conflicts(actions: DataFrame, policy: Policy) -> DataFrame:
     """(event_id, other_id, other_agent, other_action): the first event in ledger order by another agent on the same
-    subject within the window, bounds included.
-
-    The equi-join is on subject and a time bucket as wide as the window; one side is copied to the two neighbours.
-    """
-    width = int(policy.conflict_hours * 3600)
+    subject within the window, bounds included. Found by a sweep: no pairs are formed, however busy a subject is."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = actions.filter("subject_ref is not null").select("event_id", "agent_id", "action_type", "subject_ref", at.alias("at"))
-    rows = rows.withColumn("bucket", F.floor(F.col("at") / F.lit(width * 1_000_000)))
-    other = rows.select(
-        F.col("event_id").alias("other_id"),
-        F.col("agent_id").alias("other_agent"),
-        F.col("action_type").alias("other_action"),
-        "subject_ref",
-        F.col("at").alias("other_at"),
-        F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"),
-    )
-    return (
-        rows.join(other, ["subject_ref", "bucket"])
-        .filter(f"agent_id <> other_agent and abs(at - other_at) <= {width * 1_000_000}")
-        .groupBy("event_id")
-        .agg(F.min(F.struct("other_id", "other_agent", "other_action")).alias("o"))
-        .select("event_id", "o.*")
-    )
+    rows = actions.select("event_id", "agent_id", "subject_ref", at.alias("at"))
+    near = first_by_another(rows, "subject_ref", "agent_id", "at", "event_id", int(policy.conflict_hours * 3_600_000_000))
+    other = actions.select(F.col("event_id").alias("other_id"), F.col("agent_id").alias("other_agent"), F.col("action_type").alias("other_action"))
+    return near.select(F.col("number").alias("event_id"), F.col("other").alias("other_id")).join(other, "other_id").select("event_id", "other_id", "other_agent", "other_action")
 
 
 def checks(actions: DataFrame, policy: Policy) -> DataFrame:
-    """(event_id, check_order, check_type, score, verdict): one row for each check that applies to an event."""
+    """(event_id, check_order, check_type, score, verdict): one row for each check that applies to an event. Texts are
+    read once, for all the checks they need; emails a day and conflicts read no text."""
     order = F.lit(None).cast("int")
     for k, c in enumerate(CHECKS):
         order = F.when(F.col("check_type") == c, k).otherwise(order)
     none = F.lit(None).cast("double").alias("score")
-    parts = [
-        tone(actions, policy).select("event_id", F.lit("tov").alias("check_type"), "score", "verdict"),
-        phrase_checks(actions, policy).select("event_id", "check_type", none, "verdict"),
-        spend(actions, policy).select("event_id", F.lit("spend").alias("check_type"), none, "verdict"),
-        conflicts(actions, policy).select("event_id", F.lit("conflict").alias("check_type"), none, F.lit("warn").alias("verdict")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("check_order", order)
+    own = own_checks(actions, policy).filter("check_type is not null").select("event_id", "check_type", "score", "verdict")
+    mails = email_spend(actions, policy).select("event_id", F.lit("spend").alias("check_type"), none, "verdict")
+    met = conflicts(actions, policy).select("event_id", F.lit("conflict").alias("check_type"), none, F.lit("warn").alias("verdict"))
+    return own.unionByName(mails).unionByName(met).withColumn("check_order", order)
 
 
 def findings(checked: DataFrame) -> DataFrame:
