@@ -7,14 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.bits import bit_table, holds
 from millrace.llm.words import Words, chunks, cut, mixed, translation
 from millrace.plans.storage import materialise
 
 PIECES = translation(breaks=b".,;:!?\x0a\x0b\x0c\x0d", spaces=b"\x09")
-BITS = 26  # of the table of common words and pairs: 8 MB, whatever the input
+SIEVE = 3  # words of the longest runs that are looked up before windows are made
 
 
 def _corpus(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -24,88 +26,88 @@ def _corpus(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     )
 
 
-def _hashes(words: Words, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each word with its language, one of each word with its follower, and whether that stands in the
-    same piece."""
+def _runs(words: Words, langs: list[str], longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 1, 2, .. longest words, each as long as there are words: a hash of the run that starts at a word, with
+    its language, and whether it ends in the word's piece."""
     by_lang = np.array([xxhash.xxh64_intdigest(x.encode()) for x in langs], np.uint64)[words.text]
     own = mixed(by_lang, words.hashes())
-    return own, mixed(own[:-1], own[1:]), words.piece[:-1] == words.piece[1:]
+    out = [(own, np.ones(len(own), bool))]
+    for k in range(1, longest):
+        run, inside = out[-1][0].copy(), np.zeros(len(own), bool)
+        rest = max(0, len(own) - k)
+        run[:rest] = mixed(run[:rest], own[k:])
+        inside[:rest] = words.piece[k:] == words.piece[:rest]
+        out.append((run, inside))
+    return out
 
 
-def _place(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+def common_runs(corpus: DataFrame, least: int) -> np.ndarray:
+    """A bit table that holds every run of up to SIEVE words of a (lang, text) table that occurs `least` times or more.
 
-
-def common_bits(corpus: DataFrame, least: int) -> np.ndarray:
-    """A bit table that holds every word and every pair of a (lang, text) table that occurs `least` times or more.
-
-    Words and pairs are counted by 64-bit hashes, and their hashes' first BITS bits are set: others may fall on a set
-    bit, none that is common misses. The table has one size, whatever the input; it alone comes to the driver.
+    Runs are counted by 64-bit hashes: words and pairs first, then those longer ones whose shorter parts are common. The
+    table has one size, whatever the input. Some others fall on a set bit; none that is common misses.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for first, texts in chunks(batch.column("text")):
-                words = cut(texts, PIECES)
-                if len(words.codes):
-                    own, pair, same = _hashes(words, langs[first : first + len(texts)])
-                    h, n = np.unique(np.concatenate([own, pair[same]]), return_counts=True)
+    table = np.zeros(0, np.uint8)
+    for size in range(2, SIEVE + 1):
+        sent = corpus.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch], size: int = size, sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                langs = batch.column("lang").to_pylist()
+                for first, texts in chunks(batch.column("text")):
+                    words = cut(texts, PIECES)
+                    if not len(words):
+                        continue
+                    runs = _runs(words, langs[first : first + len(texts)], size)
+                    h, inside = runs[-1]
+                    if size == 2:
+                        h = np.concatenate([runs[0][0], h[inside]])
+                    else:
+                        known = holds(sent.value, runs[-2][0])
+                        h = h[inside & known & np.append(known[1:], False)]
+                    h, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    place = F.shiftrightunsigned("h", 64 - BITS) + 1
-    common = corpus.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    parts = common.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
-    )
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in parts.collect():  # at most 2^BITS / 32768 rows of 4 KB
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["part"] - 1) * 4096
-        bits[at : at + len(part)] = part
-    return bits
+        counted = corpus.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        found = bit_table(counted.filter(F.col("n") >= least), "h")
+        table = found | table if len(table) else found
+    return table
 
 
 def windows(corpus: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, w1 .. w<longest>, n): for every word, the window of that word and those that follow it in its piece,
-    padded with nulls behind the piece, and from a word or pair on that occurs under `least` times in the language:
+    padded with nulls behind the piece, and from where a word, pair or triple occurs under `least` times in the language:
     no phrase across such a place is that frequent. n adds up to the number of words."""
-    bits = corpus.sparkSession.sparkContext.broadcast(common_bits(corpus, least))
+    bits = corpus.sparkSession.sparkContext.broadcast(common_runs(corpus, least))
     names = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-
-        def known(h: np.ndarray) -> np.ndarray:
-            at = _place(h)
-            return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for first, texts in chunks(batch.column("text")):
                 words, some = cut(texts, PIECES), langs[first : first + len(texts)]
-                size = len(words.codes)
+                size = len(words)
                 if not size:
                     continue
-                own, pair, same = _hashes(words, some)
-                goes_on = np.append(known(pair) & same, False)
-                held = known(own)
-                columns = []
+                spelled = words.spelled()
+                codes = spelled.indices.to_numpy(zero_copy_only=False)
+                known = [inside & holds(bits.value, h) for h, inside in _runs(words, some, min(longest, SIEVE))]
+                held, columns = known[0], []
                 for k in range(longest):
-                    if k:
-                        held = held & np.append(goes_on[k - 1 :], np.zeros(k - 1, bool))
-                    lead = np.append(words.codes[k:], np.zeros(min(k, size), np.int64))
+                    back = min(k, len(known) - 1)  # the run that ends k words on, as long as they are looked up
+                    held = held & np.append(known[back][k - back :], np.zeros(min(size, k - back), bool))
+                    lead = np.append(codes[k:], np.zeros(min(k, size), codes.dtype))
                     columns.append(pa.array(np.where(held, lead, -1)))
-                spelled = pa.array(some).dictionary_encode()
-                lang = pa.array(spelled.indices.to_numpy()[words.text])
+                spoken = pa.array(some).dictionary_encode()
+                lang = pa.array(spoken.indices.to_numpy()[words.text])
                 counted = pa.table([lang, *columns], ["lang", *names]).group_by(["lang", *names]).aggregate([([], "count_all")])
                 counted = counted.combine_chunks()
 
-                def word(name: str, counted: pa.Table = counted, words: Words = words) -> pa.Array:
+                def word(name: str, counted: pa.Table = counted, known: pa.Array = spelled.dictionary) -> pa.Array:
                     code = counted[name].to_numpy()
-                    return words.names.take(pa.array(code, mask=code < 0)).cast(pa.string())
+                    return known.take(pa.array(code, mask=code < 0)).cast(pa.string())
 
-                out = [spelled.dictionary.take(pa.array(counted["lang"].to_numpy())), *map(word, names)]
+                out = [spoken.dictionary.take(pa.array(counted["lang"].to_numpy())), *map(word, names)]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(counted["count_all"].to_numpy())], ["lang", *names, "n"])
 
     schema = ", ".join(["lang string", *(f"{w} string" for w in names), "n long"])
