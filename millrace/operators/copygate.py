@@ -310,8 +310,8 @@ def best_entry(rows: DataFrame, register: DataFrame, sentence: str, numbers: Col
     both = both.withColumn("numbers_fit", (F.size("found_numbers") > 0) & (F.size(F.array_except("found_numbers", "numbers")) == 0))
     fits = ((F.col("shared") >= 2) & (F.col("ratio") >= 0.4)) | (F.col("numbers_fit") & (F.col("shared") >= 1))
     score = F.col("shared") + F.col("ratio") + F.when(F.col("numbers_fit"), 2).otherwise(0)
-    found = F.struct(score.alias("score"), (-F.col("reg_no")).alias("n"), "id", F.col("ratio").alias("share"), "numbers_fit", F.col("markets").alias("ok_markets"), "retired", "competitor")
-    return both.groupBy(*key).agg(F.max(F.when(fits, found)).alias("e")).select(*key, "e.id", "e.share", "e.numbers_fit", "e.ok_markets", "e.retired", "e.competitor")
+    found = F.struct(score.alias("score"), (-F.col("reg_no")).alias("n"), "id", F.col("ratio").alias("share"), "numbers_fit", F.col("markets").alias("ok_markets"), "retired", "competitor", F.col("numbers").alias("own_numbers"))
+    return both.groupBy(*key).agg(F.max(F.when(fits, found)).alias("e")).select(*key, "e.id", "e.share", "e.numbers_fit", "e.ok_markets", "e.retired", "e.competitor", "e.own_numbers")
 
 
 def sentence_numbers(sentence: Column) -> Column:
@@ -344,8 +344,9 @@ def certificate_findings(drafts: DataFrame, certificates: dict[str, str | None])
 
 def competitor_findings(sentence_rows: DataFrame, competitors: list[str], register: DataFrame | None = None) -> DataFrame:
     """(draft_id, rule, severity, weight, count, evidence): mentions, and sentences that compare with or disparage a
-    competitor. A comparison that the register backs (0.6 of its words, or its numbers; in force, for the market and
-    against this competitor) warns with its evidence instead of blocking."""
+    competitor. A comparison that the register backs (0.6 of its words and, where it has numbers, these; in force, for the
+    market and against this competitor) warns with its evidence instead of blocking. Counts sentences; spans.findings
+    tells every mention and its place."""
     named = sentence_rows.filter(F.col("sentence").rlike(term_pattern(competitors)))
     none = F.lit(None).cast("string").alias("evidence")
 
@@ -358,7 +359,7 @@ def competitor_findings(sentence_rows: DataFrame, competitors: list[str], regist
         return reduce(DataFrame.unionByName, [*parts, counted(compared, "CMP-COMPARE", "block", 40)])
     matched = best_entry(compared, register, "sentence", sentence_numbers(F.col("sentence")))
     against = F.contains(F.lower("sentence"), F.lower(F.coalesce("competitor", F.lit("\x00"))))
-    strong = (F.col("share") >= 0.6) | F.col("numbers_fit")
+    strong = (F.col("share") >= 0.6) & ((F.size("own_numbers") == 0) | F.col("numbers_fit"))
     backed = F.coalesce(against & strong & F.col("retired").isNull() & F.array_contains("ok_markets", F.col("market")), F.lit(False))
     judged = matched.withColumn("backed", backed)
     signed = judged.filter("backed").groupBy("draft_id", F.col("id").alias("evidence")).agg(F.count("*").alias("count"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import copygate as c
+from millrace.operators import ruleset, spans
+from millrace.plans.storage import materialise
 from millrace.plans.views import view, with_views
 
 #: The house's rules with words that occur in the invented prose of the tables.
@@ -79,7 +81,7 @@ def c_competitors(spark, d):
 def c_comparisons(spark, d):
     """Sentences with two of the prose's commonest words stand for comparisons; the register backs some."""
     rows = c.sentences(view(spark, d, "part").selectExpr("p_partkey as draft_id", "case p_size % 3 when 0 then 'UK' when 1 then 'DE' else 'US' end as market", "concat('Thand', case when p_size % 2 = 0 then ' is cheaper than Einver' else ' is slow' end, ' for ', p_size, ' teams. We are the best of Thand.') as text"))
-    register = spark.createDataFrame([(0, "EV-9", "Cheaper than Einver for 10 teams of any size", [10.0], None, ["UK", "DE"], None, "Einver")], REGISTER_SCHEMA)
+    register = spark.createDataFrame([(0, "EV-9", "Cheaper than Einver for 10 teams", [10.0], None, ["UK", "DE"], None, "Einver")], REGISTER_SCHEMA)
     return c.competitor_findings(rows, ["Thand", "Einver"], register)
 
 
@@ -145,7 +147,51 @@ def c_segments(spark, d):
     return c.segments(spark.sql(_SPANS))
 
 
+#: The house's rules, with words that occur in the prose for some.
+PROSE = {
+    "TOV-HYPE": ("of the", "thanti*", "erst"),
+    "TOV-PUSHY": ("and that", "der und", "de la"),
+    "UK-FCA-ABSOLUTE": ("in the is", "und"),
+    "UK-CREDIT-REP": ("was", "interest"),
+    "DE-FREE": ("die", "free"),
+    "US-FREE": ("les",),
+    "SEC-VAGUE": ("ing*",),
+    "CMP-MENTION": ("Thand", "Einver"),
+    "CMP-COMPARE": ("unlike", "on the"),
+    "CLM-SUPERLATIVE": ("the best", "most*"),
+}
+
+
+def _house(spark):
+    return ruleset.house(spark, ("it was", "le des"), PROSE, [r[1:] for r in REGISTER])
+
+
+def c_sentence_spans(spark, d):
+    rules = _house(spark)
+    return spans.sentence_spans(spans.scanned(_drafts(spark, d), rules)[0]).select("draft_id", "start", "stop")
+
+
+def c_rule_hits(spark, d):
+    """Every hit of the phrase rules, whatever lets it off."""
+    rules = _house(spark)
+    scan, matchers = spans.scanned(_drafts(spark, d), rules)
+    phrases = rules.rules.filter("type = 'phrase'").select("rule_no", "rule")
+    return spans.hit_spans(scan, matchers, rules.rules).join(phrases, "rule_no").select("draft_id", "rule", "start", "stop")
+
+
+def c_gate_findings(spark, d):
+    """Everything the rules find, with spans, in order."""
+    found = spans.findings(_drafts(spark, d), _house(spark))
+    return found.select("draft_id", "n", "rule", "severity", "weight", "count", F.to_json("spans").alias("spans"), "evidence", "message")
+
+
+def c_gate_verdicts(spark, d):
+    drafts = _drafts(spark, d)
+    return spans.verdicts(drafts, materialise(spans.findings(drafts, _house(spark)), "gate-findings"))
+
+
 QUERIES = {f.__name__: f for f in (
+    c_sentence_spans, c_rule_hits, c_gate_findings, c_gate_verdicts,
     c_fields, c_sentences, c_lengths, c_phrases, c_stats, c_tone, c_claims, c_competitors, c_comparisons, c_superlatives, c_certificates, c_phrase_hits,
     c_hit_segments, c_messages, c_ledger_rows, c_verdicts, c_tally, c_ordered, c_hash, c_batch, c_segments,
 )}
@@ -197,7 +243,7 @@ ORACLES = {
     "c_comparisons": """WITH s AS (SELECT p_partkey AS draft_id, p_size, CASE p_size % 3 WHEN 0 THEN 'UK' WHEN 1 THEN 'DE' ELSE 'US' END AS market FROM part)
         SELECT draft_id, 'CMP-MENTION' AS rule, 'warn' AS severity, 15 AS weight, 2 AS count, NULL AS evidence FROM s
         UNION ALL SELECT draft_id, 'CMP-DISPARAGE', 'block', 40, 1, NULL FROM s WHERE p_size % 2 = 1
-        UNION ALL SELECT draft_id, 'CMP-COMPARE', CASE WHEN market <> 'US' THEN 'warn' ELSE 'block' END, CASE WHEN market <> 'US' THEN 10 ELSE 40 END, 1, CASE WHEN market <> 'US' THEN 'EV-9' END FROM s WHERE p_size % 2 = 0 AND p_size = 10
+        UNION ALL SELECT draft_id, 'CMP-COMPARE', CASE WHEN market <> 'US' THEN 'warn' ELSE 'block' END, CASE WHEN market <> 'US' THEN 10 ELSE 40 END, 1, CASE WHEN market <> 'US' THEN 'EV-9' END FROM s WHERE p_size = 10
         UNION ALL SELECT draft_id, 'CMP-COMPARE', 'block', 40, 1, NULL FROM s WHERE p_size % 2 = 0 AND p_size <> 10""",
     "c_superlatives": """WITH s AS (SELECT p_partkey AS draft_id, p_size, p_size % 3 < 2 AS ok FROM part)
         SELECT draft_id, 'CLM-SUPERLATIVE' AS rule, 'block' AS severity, 40 AS weight, 2 AS count, NULL AS evidence FROM s WHERE NOT (ok AND p_size % 2 = 0)""",
@@ -212,3 +258,37 @@ ORACLES = {
         g AS (SELECT *, CASE WHEN lag(stop) OVER w = start AND lag(rules) OVER w = rules THEN 0 ELSE 1 END AS new FROM v WINDOW w AS (PARTITION BY draft_id ORDER BY start)), r AS (SELECT *, sum(new) OVER (PARTITION BY draft_id ORDER BY start) AS run FROM g)
         SELECT draft_id, rules, min(start) AS start, max(stop) AS stop FROM r GROUP BY draft_id, run, rules""",
 }
+
+
+def _units(s: str) -> str:
+    return f"(length({s}) + len(regexp_extract_all({s}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+
+
+_PLACED = rf"""
+pc AS (SELECT draft_id, p, unnest(range(len(p))) AS i, unnest(p) AS s FROM (
+  SELECT draft_id, str_split(regexp_replace(replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10), chr(10) || chr(1)), '([.!?])([\s\x0B\x{{a0}}\x{{3000}}])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM v_drafts)),
+pl AS (SELECT draft_id, s, coalesce(sum({_units("s")}) OVER (PARTITION BY draft_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0 FROM pc)"""
+ORACLES["c_sentence_spans"] = with_views(
+    f"{_PLACED}, tr AS (SELECT draft_id, p0, s, regexp_replace(s, '^[\\s\\x0B\\x{{a0}}\\x{{3000}}]+', '') AS t, regexp_replace(s, '[\\s\\x0B\\x{{a0}}\\x{{3000}}]+$', '') AS e FROM pl) "
+    f"SELECT draft_id, CAST(p0 + {_units('s')} - {_units('t')} AS BIGINT) AS start, CAST(p0 + {_units('e')} AS BIGINT) AS stop FROM tr WHERE t <> ''",
+    "v_drafts",
+)
+# Words and what stands between them, each with its place; a term must begin where a word or # does.
+_RULED = [(r, t, m) for r, m in (("TOV-HYPE", None), ("TOV-PUSHY", None), ("UK-FCA-ABSOLUTE", "UK"), ("UK-CREDIT-REP", "UK"), ("DE-FREE", "DE"), ("US-FREE", "US"), ("SEC-VAGUE", None)) for t in [PROSE[r]]]
+_RULED.append(("TOV-CUSTOM", ("it was", "le des"), None))
+_RULED += [(r, ruleset._TERMS[r], r[:2] if r[2] == "-" else None) for r in ("UK-FSCS", "DE-ABSOLUTE", "US-SUBSTANTIATION", "US-GUARANTEE", "US-FDIC", "SEC-ABSOLUTE")]
+_EACH = "\nUNION ALL ".join(
+    f"SELECT draft_id, '{r}' AS rule, p0 AS start, regexp_extract(rest, '^(?:(?i)(' || '{'|'.join(sorted((t.lower().replace('*', '[\\w-]*').replace(chr(39), chr(39) * 2) for t in ts), key=len, reverse=True))}' || '))(?:[^\\w]|$)', 1) AS term FROM tk"
+    + (f" WHERE market = '{m}'" if m else "")
+    for r, ts, m in _RULED
+)
+ORACLES["c_rule_hits"] = with_views(
+    rf"""tx AS (SELECT draft_id, market, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM v_drafts),
+ts AS (SELECT draft_id, market, text, regexp_extract_all(text, '[\w#]+|[^\w#]+') AS k FROM tx),
+tu AS (SELECT draft_id, market, text, unnest(range(len(k))) AS i, unnest(k) AS w FROM ts),
+tp AS (SELECT *, coalesce(sum(length(w)) OVER q, 0) AS cp, coalesce(sum({_units("w")}) OVER q, 0) AS p0 FROM tu WINDOW q AS (PARTITION BY draft_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tk AS (SELECT draft_id, market, p0, substr(text, CAST(cp AS BIGINT) + 1, 80) AS rest FROM tp WHERE regexp_matches(w, '^[\w#]')),
+eh AS ({_EACH})
+SELECT draft_id, rule, CAST(start AS BIGINT) AS start, CAST(start + {_units("term")} AS BIGINT) AS stop FROM eh WHERE term <> ''""",
+    "v_drafts",
+)
