@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.storage import materialise
+
 LEVELS = (1, 4, 16)  # segments of a vector at each resolution
 
 
@@ -19,8 +21,11 @@ def _segments(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return mean * root, dev * root
 
 
-def block_top(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """(query id, vector id, score): the k best rows of each query within these arrays, exactly.
+def block_top(
+    queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray] | None = None
+) -> list[tuple]:
+    """(query id, vector id, score): the k best rows of each query within these arrays, exactly. own: numbers of the
+    queries' and the candidates' rows, where ids alone do not tell a query's own row.
 
     Segment means m and deviations s bound a distance from below: |q-x|^2 >= sum L((mq-mx)^2 + (sq-sx)^2), which
     bounds the inner product (|q|^2+|x|^2-|q-x|^2)/2 from above by sum L(mq*mx + sq*sx). Each resolution drops the
@@ -50,7 +55,7 @@ def block_top(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.n
             (xm, xd), (qm, qd) = xs[0], qs[0]
             coarse = qm[part] @ xm.T + qd[part] @ xd.T
         for i in range(part.start, part.stop):
-            other = ids != qids[i]
+            other = ids != qids[i] if own is None else own[1] != own[0][i]
             bound = coarse[i - start] if coarse is not None else np.zeros(n)
             alive = np.flatnonzero(other)
             if len(alive) > k and levels:
@@ -70,23 +75,24 @@ def block_top(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.n
                 keep = s >= worst
                 alive, s = alive[keep], s[keep]
             best = np.lexsort((ids[alive], -s))[:k]
-            out += [(int(qids[i]), int(ids[alive[b]]), int(s[b])) for b in best]
+            name = qids[i] if own is None else own[0][i]
+            out += [(int(name), int(ids[alive[b]]), int(s[b])) for b in best]
     return out
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v, dim): floor(scale * x) of every component x, as long. Rows with a null id or vector, or with a null
-    or non-finite component, take no part. Of rows that repeat an id, the smallest vector stands for it."""
+    """(rid, vec_id, v, dim): floor(scale * x) of every component x, as long, and a number of the row, given before the
+    table is written. Rows with a null id or vector, or with a null or non-finite component, take no part."""
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return (
+    rows = (
         df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
         .select(F.col(id_col).alias("vec_id"), F.transform(F.col(vector_col), lambda c: c.cast("double")).alias("x"))
         .filter(finite)
         .select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
         .withColumn("dim", F.size("v"))
+        .withColumn("rid", F.monotonically_increasing_id())
     )
+    return materialise(rows, "vectors")
 
 
 def exact_top_k(
@@ -105,49 +111,52 @@ def exact_top_k(
     Queries are the rows whose id is divisible by `every`, candidates all rows but the query's own. Queries and
     candidates are hashed into blocks; each pair of blocks is one bounded task that returns k rows a query, and the
     merge keeps the k best, so no task holds more than one block of each. Vectors are compared with those of the same
-    length only. An empty table gives an empty table.
+    length only. Rows that repeat an id are rows of their own: each is a candidate for all others, and where its id is a
+    query's, a query. An empty table gives an empty table.
     """
     v = quantised(df, id_col, vector_col, scale)
-    n = df.count()
+    n = v.count()  # of the written table: its files tell
     row_blocks = max(1, -(-n // rows_per_block))
     query_blocks = max(1, -(-n // (every * queries_per_block)))
     candidates = v.select(
         "dim",
-        F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int").alias("rb"),
+        F.pmod(F.xxhash64("rid"), F.lit(row_blocks)).cast("int").alias("rb"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
+        "rid",
         "vec_id",
         "v",
     )
     queries = v.filter(F.pmod("vec_id", F.lit(every)) == 0).select(
         "dim",
         F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"),
+        F.pmod(F.xxhash64("rid"), F.lit(query_blocks)).cast("int").alias("qb"),
+        "rid",
         "vec_id",
         "v",
     )
 
-    def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         width = int(pdf["dim"].iloc[0])
-        return np.concatenate(pdf["v"].to_list() or [np.zeros(0)]).astype(np.int64).reshape(len(pdf), width), pdf[
-            "vec_id"
-        ].to_numpy(np.int64)
+        v = np.concatenate(pdf["v"].to_list() or [np.zeros(0)]).astype(np.int64).reshape(len(pdf), width)
+        return v, pdf["vec_id"].to_numpy(np.int64), pdf["rid"].to_numpy(np.int64)
 
     def run(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(q) and len(x):
-            (qv, qi), (xv, xi) = arrays(q), arrays(x)
-            found = block_top(qv, qi, xv, xi, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+            (qv, qi, qr), (xv, xi, xr) = arrays(q), arrays(x)
+            found = block_top(qv, qi, xv, xi, k, own=(qr, xr))
+        return pd.DataFrame(found, columns=["rid", "vec_id", "score"]).astype("int64")
 
     tops = (
         queries.groupBy("dim", "rb", "qb")
         .cogroup(candidates.groupBy("dim", "rb", "qb"))
-        .applyInPandas(run, "query_id long, vec_id long, score long")
+        .applyInPandas(run, "rid long, vec_id long, score long")
     )
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     return (
-        tops.groupBy("query_id")
+        tops.groupBy("rid")
         .agg(best.alias("best"))
+        .join(v.select("rid", F.col("vec_id").alias("query_id")), "rid")
         .select("query_id", F.posexplode("best").alias("at", "b"))
         .select(
             "query_id",

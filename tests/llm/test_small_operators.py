@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import chat, sharding, token_counts, topk
@@ -82,10 +84,32 @@ def test_top_k_odd_rows(spark):
             (5, [0.5, 0.5]), (5, [0.25, 0.5]), (50, [1.0]), (51, [2.0]), (100, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(df).collect())
-    assert got == [(0, 1, 5, 256 * 64 + 128 * 128), (50, 1, 51, 256 * 512)]
+    # Rows that repeat an id are candidates of their own.
+    assert got == [(0, 1, 5, 256 * 128 + 128 * 128), (0, 2, 5, 256 * 64 + 128 * 128), (50, 1, 51, 256 * 512)]
     assert topk.exact_top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_rows_that_repeat_a_query(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(df, k=2).collect())
+    assert got == [(50, 1, 1, 0), (50, 1, 1, 65536), (50, 2, 1, 0), (50, 2, 1, 32768)]
+
+
+def test_shards_cover_few_values(spark, sf_dir):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", F.octet_length("text").alias("bytes"))
+    placed = op5_sharding(spark, "/root/testdata/sf0.01").select("doc_id", "shard").join(df, "doc_id")
+
+    def spread(shard):
+        """Mean number of languages and sources in a shard, and mean share of the size range, in ranks."""
+        size = F.percent_rank().over(Window.orderBy("bytes"))
+        by = placed.withColumn("rank", size).groupBy(shard.alias("s")).agg(F.countDistinct("lang").alias("l"), F.countDistinct("source").alias("c"), (F.max("rank") - F.min("rank")).alias("r"))
+        return by.agg(F.avg("l"), F.avg("c"), F.avg("r")).first()
+
+    curve, chance = spread(F.col("shard")), spread(F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    assert curve[0] < 0.75 * chance[0] and curve[1] < 0.75 * chance[1] and curve[2] < 0.9 * chance[2], (curve, chance)
+
+
 def test_top_k_table(spark, sf_dir):
     vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
     got = op10_exact_topk(spark, sf_dir).collect()
@@ -115,8 +139,6 @@ def hilbert(axes, bits):
 
 
 def test_hilbert_curve_is_one_walk(spark):
-    from pyspark.sql import functions as F
-
     cells = [(a, b, c) for a in range(8) for b in range(8) for c in range(8)]
     df = spark.createDataFrame(cells, "a int, b int, c int").select("*", sharding.hilbert_index(F.array("a", "b", "c"), 3, bits=3).alias("h"))
     rows = df.collect()
