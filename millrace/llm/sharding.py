@@ -70,7 +70,8 @@ def hilbert_shards(
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve) for every row.
 
     Language, source and size are quantised at the sixteenths of the whole table (texts by their first six bytes; a null
-    is the lowest value), and a row's cell is its place on the Hilbert curve through these three dimensions. Rows with
+    is the lowest value): a value that holds several sixteenths skips as many levels, so that columns of few values reach
+    the curve's highest bits too. A row's cell is its place on the Hilbert curve through these three dimensions. Rows with
     equal texts lie in one cell, that of their least language and source, side by side. Runs of equal row counts are
     cut (law `rows`: counts differ by one at most), so a shard's files cover few values of every dimension, and only
     the copies at a cut, of one text for each cut, lie in two shards (a text with more copies than a shard has rows: in
@@ -96,7 +97,7 @@ def hilbert_shards(
     steps = [k / (1 << BITS) for k in range(1, 1 << BITS)]
     cuts = rows.agg(*[F.percentile_approx(f"d_{d}", steps, 10_000).alias(d) for d in DIMENSIONS]).first()
     level = [
-        sum((F.when(F.col(f"d_{d}") > c, 1).otherwise(0) for c in sorted(set(cuts[d] or []))), F.lit(0))
+        sum((F.when(F.col(f"d_{d}") > c, 1).otherwise(0) for c in sorted(cuts[d] or [])), F.lit(0))
         for d in DIMENSIONS
     ]
     placed = rows.select("doc_id", "size", "text_crc32", "h", F.array(*level).alias("own_axes"))
