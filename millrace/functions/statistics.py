@@ -29,3 +29,17 @@ def normal_equations(df: DataFrame, target: str, regressors: list[str], *by: str
     ]
     rows = df.select(*by, F.inline(F.array(*cells)))
     return rows.groupBy(*by, "i", "j").agg(F.sum("xx").alias("xx"), F.sum(F.when(F.col("i") == F.col("j"), F.col("xy"))).alias("xy"))
+
+
+def quantile_sketches(df: DataFrame, value: str, *by: str, k: int = 800) -> DataFrame:
+    """(by..., sketch, n): a mergeable sketch of each group's values, of bounded size: its ranks are off by about 2.3 / k at
+    most (k 800: 0.3 %), with 99 % confidence. Nulls and NaN do not count."""
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_quantiles(sketches: DataFrame, ranks: list[float], *by: str) -> DataFrame:
+    """(by..., rank, quantile, n) of merged sketches: by coarser keys, the values themselves are not read again."""
+    whole = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("s"), F.sum("n").alias("n"))
+    at = F.array(*[F.struct(F.lit(float(r)).alias("rank"), F.kll_sketch_get_quantile_double("s", F.lit(float(r))).alias("quantile")) for r in ranks])
+    return whole.select(*by, F.inline(at), "n")

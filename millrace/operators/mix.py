@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.storage import materialise
+
 # Fixed values.
 DECAYS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 HALF_SATURATIONS = (0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0)  # times the channel's mean weekly spend
@@ -256,6 +258,53 @@ def budget_plan(levels: DataFrame, budgets: DataFrame, max_change: float = 0.5,
     return base.join(added, ["panel_id", "channel"], "left").select("panel_id", "channel", "weekly", (F.col("floor") + F.coalesce("added", F.lit(0.0))).alias("planned"), "half", "shape", "beta")
 
 
+def _steps(levels: DataFrame, max_change: float, steps: int) -> tuple[DataFrame, DataFrame]:
+    """The channels with their floor and step, and one row for each step with what it earns a unit (never rising along a
+    curve: the mean gain from the floor up to it or a later one), to 12 places, so that like curves tie."""
+    locked = F.col("locked") if "locked" in levels.columns else F.lit(False)
+    base = levels.select(
+        "*",
+        F.when(locked, F.col("weekly")).otherwise(F.col("weekly") * (1 - max_change)).alias("floor"),
+        F.when(locked, F.lit(0.0)).otherwise(F.col("weekly") * 2 * max_change / steps).alias("step"),
+    )
+    each = base.filter("step > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    gain = (response(F.col("floor") + F.col("k") * F.col("step")) - response(F.col("floor"))) / (F.col("k") * F.col("step"))
+    ahead = Window.partitionBy("panel_id", "channel").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    return base, each.withColumn("mean", gain).withColumn("gain", F.round(F.max("mean").over(ahead), 12)).select("panel_id", "channel", "k", "step", "gain")
+
+
+def global_plan(levels: DataFrame, budget: float, max_change: float = 0.5, steps: int = 100, grid: int = 64, rounds: int = 12) -> DataFrame:
+    """(panel_id, channel, weekly, planned) for one budget over all panels, as budget_plan plans each panel by its own.
+
+    The price of money is searched for: at every price of a grid, one aggregate sums what all steps that earn more would
+    spend; the two prices around the budget are the next grid's ends. Steps above the price are taken wherever they are,
+    and only the few at it are put in order (gain, panel, channel, step) and taken while they fit. What comes to the
+    driver is a grid's sums. A budget under all floors leaves the floors.
+    """
+    base, each = _steps(levels, max_change, steps)
+    each = materialise(each, "budget-steps")
+    free = budget - (base.agg(F.sum("floor")).first()[0] or 0.0)
+    low, high = each.agg(F.min("gain"), F.max("gain")).first()
+    if low is None or free <= 0:
+        return base.select("panel_id", "channel", "weekly", F.col("floor").alias("planned"))
+    low, high = low - abs(low) - 1.0, high  # at `low` every step is taken, at `high` none
+    for _ in range(rounds):
+        prices = [low + (high - low) * i / grid for i in range(grid + 1)]
+        spent = each.agg(*[F.coalesce(F.sum(F.when(F.col("gain") > p, F.col("step"))), F.lit(0.0)).alias(f"p{i}") for i, p in enumerate(prices)]).first()
+        at = next((i for i in range(grid + 1) if spent[i] <= free), grid)  # demand falls as the price rises
+        if at == 0:
+            break
+        low, high = prices[at - 1], prices[at]
+        if each.filter((F.col("gain") > low) & (F.col("gain") <= high)).limit(10_001).count() <= 10_000:
+            break
+    sure = each.filter(F.col("gain") > high)
+    used = sure.agg(F.coalesce(F.sum("step"), F.lit(0.0))).first()[0]
+    order = Window.orderBy(F.desc("gain"), "panel_id", "channel", "k").rowsBetween(Window.unboundedPreceding, 0)
+    margin = each.filter((F.col("gain") > low) & (F.col("gain") <= high)).withColumn("sum", F.sum("step").over(order)).filter(F.col("sum") <= free - used + 1e-9).drop("sum")
+    added = sure.unionByName(margin).groupBy("panel_id", "channel").agg(F.sum("step").alias("added"))
+    return base.join(added, ["panel_id", "channel"], "left").select("panel_id", "channel", "weekly", (F.col("floor") + F.coalesce("added", F.lit(0.0))).alias("planned"))
+
+
 def plan_summary(plan: DataFrame, budgets: DataFrame) -> DataFrame:
     """(panel_id, budget, planned, unspent, revenue_now, revenue_plan, movers): movers changed by over 0.5 %."""
     moved = F.abs(F.col("planned") - F.col("weekly")) > 0.005 * F.col("weekly")

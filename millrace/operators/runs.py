@@ -115,6 +115,27 @@ def transitions(cycle: DataFrame) -> DataFrame:
     return cycle.select("run_id", "proposal_id", F.inline(steps)).filter("pos is not null")
 
 
+def state_intervals(cycle: DataFrame) -> DataFrame:
+    """(run_id, proposal_id, state, from_pos, to_pos): when each proposal stands in which state, from a position on and up
+    to another, that one excluded (null: for good); states as in lifecycle."""
+    steps = transitions(cycle).withColumn("state", F.when(F.col("to") == "reopened", "open").otherwise(F.col("to")))
+    order = Window.partitionBy("run_id", "proposal_id").orderBy("pos", F.when(F.col("to") == "open", 0).when(F.col("to") == "integrated", 1).otherwise(2))
+    rows = steps.select("run_id", "proposal_id", "state", F.col("pos").alias("from_pos"), F.lead("pos").over(order).alias("to_pos"))
+    return rows.filter("to_pos is null or to_pos > from_pos")
+
+
+def counts_at(intervals: DataFrame, positions: DataFrame) -> DataFrame:
+    """(run_id, pos, open, integrated, done): how many proposals stand in each state at each of positions (run_id, pos), in
+    one pass: comings and goings are summed up to every position asked for."""
+    states = ("open", "integrated", "done")
+    moves = intervals.select("run_id", "state", F.inline(F.array(F.struct(F.col("from_pos").alias("pos"), F.lit(1).alias("by")), F.struct(F.col("to_pos").alias("pos"), F.lit(-1).alias("by"))))).filter("pos is not null")
+    moves = moves.groupBy("run_id", "pos").agg(*[F.sum(F.when(F.col("state") == s, F.col("by")).otherwise(0)).alias(s) for s in states])
+    asks = positions.select("run_id", F.col("pos").cast("double").alias("pos"), F.lit(1).alias("asked"), *[F.lit(0).cast("long").alias(s) for s in states]).distinct()
+    both = moves.withColumn("asked", F.lit(0)).unionByName(asks)
+    so_far = Window.partitionBy("run_id").orderBy("pos", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    return both.select("run_id", "pos", "asked", *[F.sum(s).over(so_far).alias(s) for s in states]).filter("asked = 1").drop("asked")
+
+
 def with_injected(objections: DataFrame, injected: DataFrame) -> DataFrame:
     """objections and what-if ones (run_id, proposal_id, role, pos), which apply after the turn at pos."""
     real = objections.select("run_id", "proposal_id", "role", F.col("pos").cast("double").alias("pos"))

@@ -47,7 +47,14 @@ def s_clicks(spark, d):
     return src.click_events(view(spark, d, "pages").select(F.col("url").alias("href")))
 
 
-QUERIES = {f.__name__: f for f in (z_describe, z_histogram, z_normal_equations, s_actions, s_quarantine, s_clicks)}
+def z_merged_quantiles(spark, d):
+    """Quantiles by return flag from sketches by flag and ship month."""
+    rows = view(spark, d, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
+    by_month = z.quantile_sketches(rows, "l_extendedprice", "l_returnflag", "month")
+    return z.merged_quantiles(by_month, [0.05, 0.25, 0.5, 0.75, 0.95], "l_returnflag")
+
+
+QUERIES = {f.__name__: f for f in (z_merged_quantiles, z_describe, z_histogram, z_normal_equations, s_actions, s_quarantine, s_clicks)}
 
 ORACLES = {
     "z_describe": "SELECT l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS total, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST(l_quantity AS DOUBLE)), 6) AS sd, quantile_cont(CAST(l_quantity AS DOUBLE), 0.05) AS q05, quantile_cont(CAST(l_quantity AS DOUBLE), 0.5) AS median, quantile_cont(CAST(l_quantity AS DOUBLE), 0.95) AS q95 FROM lineitem GROUP BY 1",

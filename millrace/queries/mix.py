@@ -83,6 +83,13 @@ def m_budget_plan(spark, d):
     return _r(m.budget_plan(_levels(spark, d), _budgets(spark, d)).select("panel_id", "channel", "planned"), "planned", places=5)
 
 
+def m_global_plan(spark, d):
+    """One budget for all panels: 1.1 times what they spend a week now."""
+    levels = _levels(spark, d)
+    budget = 1.1 * levels.agg(F.sum("weekly")).first()[0]
+    return _r(m.global_plan(levels, budget), "weekly", "planned", places=4)
+
+
 def m_plan_summary(spark, d):
     b = _budgets(spark, d)
     return _r(m.plan_summary(m.budget_plan(_levels(spark, d), b), b), "budget", "planned", "unspent", "revenue_now", "revenue_plan", places=3)
@@ -113,7 +120,7 @@ def m_validation(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     m_adstock, m_hill, m_candidates, m_baseline, m_wide_export, m_panel_errors, m_fit, m_fit_quality, m_decomposition, m_marginal_roi, m_response_curve,
-    m_budget_plan, m_plan_summary, m_headline, m_correlation, m_diagnosis, m_truth_recovery, m_validation,
+    m_global_plan, m_budget_plan, m_plan_summary, m_headline, m_correlation, m_diagnosis, m_truth_recovery, m_validation,
 )}
 
 _HILL = "CASE WHEN {x} > 0 THEN 1 / (1 + pow(half / ({x}), shape)) ELSE 0.0 END"
@@ -167,3 +174,10 @@ ORACLES = {
     "m_truth_recovery": _sql("SELECT panel_id, channel, roi, true_roi, round((roi - true_roi) / true_roi, 3) AS error, abs((roi - true_roi) / true_roi) > 0.2 AS off FROM (SELECT panel_id, channel, round(roi, 3) AS roi, round(shape * 2 / 3, 3) AS true_roi FROM dc JOIN le USING (panel_id, channel))"),
     "m_validation": with_views("e AS (SELECT id % 9 AS panel_id, id AS line, id % 13 = 0 AS w, id % 17 = 0 AS r, id % 17 > 0 AND spend < 1 AS z, views < 2 AS n, id % 19 = 0 AS b FROM v_accounts) SELECT panel_id, line, 'week is missing' AS error FROM e WHERE w UNION ALL SELECT panel_id, line, 'revenue is missing' FROM e WHERE r UNION ALL SELECT panel_id, line, 'revenue must be positive' FROM e WHERE z UNION ALL SELECT panel_id, line, 'a is negative' FROM e WHERE n UNION ALL SELECT panel_id, line, 'b is no number' FROM e WHERE b", "v_accounts"),
 }
+
+# All steps of all panels in one order, taken while they fit.
+ORACLES["m_global_plan"] = _sql(
+    """, gs AS (SELECT * FROM (SELECT panel_id, channel, step, sum(step) OVER (ORDER BY round(gain, 12) DESC, panel_id, channel, kk ROWS UNBOUNDED PRECEDING) AS used FROM eg)
+        WHERE used <= (SELECT sum(weekly) * 1.1 - sum(weekly * 0.5) FROM le) + 1e-9), ga AS (SELECT panel_id, channel, sum(step) AS added FROM gs GROUP BY 1, 2)
+        SELECT le.panel_id, le.channel, round(weekly, 4) AS weekly, round(weekly * 0.5 + coalesce(added, 0), 4) AS planned FROM le LEFT JOIN ga USING (panel_id, channel)"""
+)

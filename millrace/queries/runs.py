@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import contracts
 from millrace.operators import runs as r
 from millrace.plans.views import view, with_views
 
@@ -100,8 +101,35 @@ def a_turn_effects(spark, d):
     return r.turn_effects(p, o, i)
 
 
+def a_state_intervals(spark, d):
+    return r.state_intervals(_cycle(spark, d))
+
+
+def a_counts_at(spark, d):
+    """Counts by state at every seventh position of every run."""
+    asked = view(spark, d, "v_runlog").filter("pos % 7 = 0").select("run_id", "pos")
+    return r.counts_at(r.state_intervals(_cycle(spark, d)), asked)
+
+
+_NESTED = """SELECT event_id, CASE event_id % 8
+  WHEN 0 THEN concat('{"role": "critic", "items": [{"id": ', CAST(user_id AS STRING), ', "tags": ["a"]}, {"id": 2.5, "tags": null}]}')
+  WHEN 1 THEN concat('{"role": ', CAST(user_id AS STRING), ', "items": []}')
+  WHEN 2 THEN '{"items": {"id": 1}, "more": true}'
+  WHEN 3 THEN concat('{"role": "x", "items": [{"id": "', CAST(user_id AS STRING), '", "tags": [1, "b"], "note": 1}, 7]}')
+  WHEN 4 THEN '[1]' WHEN 5 THEN 'no json' WHEN 6 THEN props ELSE '{"role": null, "items": [{"tags": "t"}]}' END AS output FROM events"""
+_CONTRACT = [
+    ("$", ["object"], True, True), ("$.role", ["string"], True, False), ("$.items", ["array"], False, False), ("$.items[*]", ["object"], False, True),
+    ("$.items[*].id", ["number"], True, False), ("$.items[*].tags", ["array", "null"], False, False), ("$.items[*].tags[*]", ["string"], False, False),
+]
+
+
+def a_output_errors(spark, d):
+    view(spark, d, "events").createOrReplaceTempView("events")
+    return contracts.output_errors(spark.sql(_NESTED), spark.createDataFrame(_CONTRACT, contracts.CONTRACT))
+
+
 QUERIES = {f.__name__: f for f in (
-    a_first_ok, a_lifecycle, a_lifecycle_as_of, a_what_if, a_transitions, a_readable, a_owed, a_eligible, a_contract_errors,
+    a_state_intervals, a_counts_at, a_output_errors, a_first_ok, a_lifecycle, a_lifecycle_as_of, a_what_if, a_transitions, a_readable, a_owed, a_eligible, a_contract_errors,
     a_dangling_objections, a_role_costs, a_longest_gap, a_objection_matrix, a_waits, a_wait_summary, a_reconcile, a_turn_effects,
 )}
 
@@ -156,3 +184,36 @@ ORACLES = {
     "a_reconcile": _sql("SELECT count(*) FILTER (state = f) AS matching, count(*) FILTER (state <> f) AS differing, 0 AS missing, CAST(sum(warnings) AS BIGINT) AS warnings FROM (SELECT *, CASE proposal_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'done' ELSE 'integrated' END AS f FROM cy)"),
     "a_turn_effects": _sql("SELECT run_id, pos, list(t ORDER BY k, proposal_id) AS effects FROM (SELECT run_id, pos, 0 AS k, proposal_id, 'filed ' || proposal_id AS t FROM pr UNION ALL SELECT run_id, pos, 1, proposal_id, 'objected to ' || proposal_id FROM ob UNION ALL SELECT run_id, pos, 2, proposal_id, 'implemented ' || proposal_id FROM im) GROUP BY 1, 2"),
 }
+
+_INTERVALS = """tr AS (SELECT run_id, proposal_id, filed_pos AS pos, 'open' AS state, 0 AS k FROM cy UNION ALL SELECT run_id, proposal_id, integrated_pos, 'integrated', 1 FROM cy
+   UNION ALL SELECT run_id, proposal_id, reopened_pos, 'open', 2 FROM cy UNION ALL SELECT run_id, proposal_id, done_pos, 'done', 2 FROM cy),
+iv AS (SELECT run_id, proposal_id, state, pos AS from_pos, lead(pos) OVER (PARTITION BY run_id, proposal_id ORDER BY pos, k) AS to_pos FROM tr WHERE pos IS NOT NULL)"""
+ORACLES["a_state_intervals"] = _sql("SELECT * FROM iv WHERE to_pos IS NULL OR to_pos > from_pos", _BASE.strip() + ",\n" + _INTERVALS)
+# Plain: each position looks at every proposal's positions.
+ORACLES["a_counts_at"] = _sql(
+    """SELECT l.run_id, CAST(l.pos AS DOUBLE) AS pos, CAST(count(*) FILTER (filed_pos <= l.pos AND NOT coalesce(done_pos <= l.pos, false) AND (coalesce(integrated_pos, 1e18) > l.pos OR coalesce(reopened_pos <= l.pos, false))) AS BIGINT) AS open,
+       CAST(count(*) FILTER (integrated_pos <= l.pos AND NOT coalesce(reopened_pos <= l.pos, false) AND NOT coalesce(done_pos <= l.pos, false)) AS BIGINT) AS integrated,
+       CAST(count(*) FILTER (done_pos <= l.pos) AS BIGINT) AS done FROM lg l LEFT JOIN cy USING (run_id) WHERE l.pos % 7 = 0 GROUP BY 1, 2"""
+)
+_KIND = "CASE json_type({0}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+ORACLES["a_output_errors"] = f"""WITH o AS ({_NESTED}), j AS (SELECT event_id, CASE WHEN json_valid(output) THEN CAST(output AS JSON) END AS v FROM o),
+ t AS (SELECT event_id, v, {_KIND.format("v")} AS k FROM j WHERE v IS NOT NULL), ob AS (SELECT * FROM t WHERE k = 'object'),
+ rl AS (SELECT event_id, {_KIND.format("v->'$.role'")} AS k FROM ob WHERE list_contains(json_keys(v), 'role')),
+ it AS (SELECT event_id, v->'$.items' AS v, {_KIND.format("v->'$.items'")} AS k FROM ob WHERE list_contains(json_keys(v), 'items')),
+ el AS (SELECT event_id, unnest(CAST(v AS JSON[])) AS v, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i FROM it WHERE k = 'array'),
+ ek AS (SELECT *, {_KIND.format("v")} AS k FROM el), eo AS (SELECT *, json_keys(v) AS ks FROM ek WHERE k = 'object'),
+ ei AS (SELECT event_id, i, {_KIND.format("v->'$.id'")} AS k FROM eo WHERE list_contains(ks, 'id')),
+ eg AS (SELECT event_id, i, v->'$.tags' AS v, {_KIND.format("v->'$.tags'")} AS k FROM eo WHERE list_contains(ks, 'tags')),
+ tg AS (SELECT event_id, i, unnest(CAST(v AS JSON[])) AS v, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS n FROM eg WHERE k = 'array')
+SELECT event_id, '$' AS path, 'not JSON' AS error FROM j WHERE v IS NULL
+UNION ALL SELECT event_id, '$', 'expected object, got ' || k FROM t WHERE k <> 'object'
+UNION ALL SELECT event_id, '$', 'missing role' FROM ob WHERE NOT list_contains(json_keys(v), 'role')
+UNION ALL SELECT event_id, '$', 'not allowed: ' || k FROM (SELECT event_id, unnest(json_keys(v)) AS k FROM ob) WHERE k NOT IN ('role', 'items')
+UNION ALL SELECT event_id, '$.role', 'expected string, got ' || k FROM rl WHERE k <> 'string'
+UNION ALL SELECT event_id, '$.items', 'expected array, got ' || k FROM it WHERE k <> 'array'
+UNION ALL SELECT event_id, '$.items[' || i || ']', 'expected object, got ' || k FROM ek WHERE k <> 'object'
+UNION ALL SELECT event_id, '$.items[' || i || ']', 'missing id' FROM eo WHERE NOT list_contains(ks, 'id')
+UNION ALL SELECT event_id, '$.items[' || i || ']', 'not allowed: ' || k FROM (SELECT event_id, i, unnest(ks) AS k FROM eo) WHERE k NOT IN ('id', 'tags')
+UNION ALL SELECT event_id, '$.items[' || i || '].id', 'expected number, got ' || k FROM ei WHERE k <> 'number'
+UNION ALL SELECT event_id, '$.items[' || i || '].tags', 'expected array or null, got ' || k FROM eg WHERE k NOT IN ('array', 'null')
+UNION ALL SELECT event_id, '$.items[' || i || '].tags[' || n || ']', 'expected string, got ' || {_KIND.format("v")} FROM tg WHERE {_KIND.format("v")} <> 'string'"""
