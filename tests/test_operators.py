@@ -1,6 +1,7 @@
 """Known answers and invariants that need no table."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -46,9 +47,33 @@ def test_detected_columns():
     assert entity.detect_columns(["Record ID", "First Name", "E-Mail", "Firma", "Note"]) == {"id": "Record ID", "first": "First Name", "email": "E-Mail", "company": "Firma"}
 
 
-def test_jaro_winkler():
-    assert abs(n._jaro_winkler("martha", "marhta") - 0.9611111) < 1e-6
-    assert n._jaro_winkler("abc", "xyz") == 0.0 and n._jaro_winkler("a", "a") == 1.0
+def plain_jaro_winkler(a, b):
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    taken, left = set(), []
+    for i, ch in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == ch), None)
+        if j is not None:
+            taken.add(j)
+            left.append(ch)
+    if not left:
+        return 0.0
+    moved = sum(x != y for x, y in zip(left, [b[j] for j in sorted(taken)], strict=True)) / 2
+    m = len(left)
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    prefix = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def test_jaro_winkler(monkeypatch):
+    rng = random.Random(1)
+    names = ["".join(rng.choice("abcdeé\U0001f600") for _ in range(rng.randrange(0, 14))) for _ in range(60)] + ["martha", "marhta", "x" * 300, "xy" * 200, None]
+    pairs = [(a, b) for a in names for b in names]
+    want = [plain_jaro_winkler(a, b) if a and b else None for a, b in pairs]
+    for cells in (1 << 20, 500):
+        monkeypatch.setattr(n, "CELLS", cells)
+        got = n.similarities(*zip(*pairs, strict=True))
+        assert all((x != x) if w is None else abs(x - w) < 1e-12 for x, w in zip(got, want, strict=True))
+    assert abs(n.similarities(["martha"], ["marhta"])[0] - 0.9611111) < 1e-6 and len(n.similarities([], [])) == 0
 
 
 def test_components_do_not_depend_on_order(spark):
