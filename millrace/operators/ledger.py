@@ -556,6 +556,39 @@ def policy_errors(policies: DataFrame) -> DataFrame:
     return policies.select("policy_id", F.explode(errors).alias("error"))
 
 
+def policy_document_errors(policies: DataFrame) -> DataFrame:
+    """(policy_id, error) for whole policy documents: fail_below, warn_below, max_emails, window_hours, drop_threshold,
+    min_samples (doubles), ceilings (map of agent to double) and decisions (array, one a rule, in their order)."""
+
+    def number(c: str) -> Column:
+        x = F.col(c)
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    needed = [
+        (F.coalesce(F.col("fail_below") <= F.col("warn_below"), F.lit(False)), "fail_below must be <= warn_below"),
+        (number("max_emails"), "max_emails must be a number"),
+        (number("window_hours"), "window_hours must be a number"),
+        (number("drop_threshold") & number("min_samples"), "drift settings must be numbers"),
+    ]
+    plain = F.array_compact(F.array(*[F.when(~c, F.lit(m)) for c, m in needed]))
+    fine = lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    agents = F.transform(F.filter(F.map_entries("ceilings"), lambda e: ~fine(e["value"])), lambda e: F.concat(F.lit("ceiling of "), e["key"], F.lit(" must be a number")))
+    said = F.transform("decisions", lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+    rules = F.transform(
+        F.filter(said, lambda r: ~F.coalesce(r["d"].isin(*TIERS), F.lit(False))), lambda r: F.concat(F.lit("decision of rule "), (r["i"] + 1).cast("string"), F.lit(" must be auto, review or block"))
+    )
+    none = F.array().cast("array<string>")
+    return policies.select("policy_id", F.explode(F.concat(plain, F.coalesce(F.array_sort(agents), none), F.coalesce(rules, none))).alias("error"))
+
+
+def top_findings_of(view: DataFrame, *tenant: str, k: int = 3) -> DataFrame:
+    """(tenant.., rank, event_id, check_type, line): the first k findings of each tenant in the view's order."""
+    line = F.concat("agent_label", F.lit(": "), _labels(F.col("check_type"), CHECK_LABELS), F.lit(", "), F.col("verdict"))
+    order = Window.partitionBy(*tenant).orderBy("severity_rank", "ts", "event_id", "check_type")
+    ranked = view.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(*tenant, "rank", "event_id", "check_type", line.alias("line"))
+
+
 def as_of(actions: DataFrame, last_event: int) -> DataFrame:
     """The ledger when `last_event` had just come in."""
     return actions.filter(F.col("event_id") <= last_event)

@@ -238,6 +238,22 @@ def g_policy_errors(spark, d):
     return g.policy_errors(rows)
 
 
+def g_policy_documents(spark, d):
+    rows = view(spark, d, "v_accounts").selectExpr(
+        "id as policy_id", "purchases / 10.0D as fail_below", "signups / 10.0D as warn_below", "5.0D as max_emails",
+        "case when id % 9 = 0 then double('NaN') else 24.0D end as window_hours", "0.2D as drop_threshold",
+        "case when id % 6 > 0 then 1.0D end as min_samples",
+        "map('lifecycle-bot', case when id % 7 > 0 then cast(id as double) end, 'blog-agent', 300.0D) as ceilings",
+        "array('auto', case when id % 4 = 0 then 'hold' else 'block' end, case when id % 10 > 0 then 'review' end) as decisions",
+    )
+    return g.policy_document_errors(rows)
+
+
+def g_top_findings_by_agent(spark, d):
+    a, c = _checked(spark, d)
+    return g.top_findings_of(g.finding_view(a, c), "agent_id")
+
+
 def g_as_of(spark, d):
     half = view(spark, d, "events").agg((F.max("event_id") / 2).cast("long")).first()[0]
     a = g.as_of(_actions(spark, d), half)
@@ -252,7 +268,7 @@ QUERIES = {f.__name__: f for f in (
     g_tone, g_phrases, g_email_days, g_spend, g_conflicts, g_checks, g_findings, g_decisions, g_effective, g_decided_by, g_gate_counts,
     g_pending, g_override_history, g_drift_points, g_drift_alarms, g_tone_grid, g_outcome_coverage, g_flagged_sets, g_conversion_impact,
     g_gate_exposure, g_finding_view, g_top_findings, g_agent_rollup, g_agent_daily_tone, g_report_totals, g_digest, g_policy_errors,
-    g_as_of, g_previous_budgets,
+    g_as_of, g_previous_budgets, g_policy_documents, g_top_findings_by_agent,
 )}
 
 _SETS = """
@@ -313,3 +329,19 @@ ORACLES = {
     "g_as_of": _sql("SELECT block, review, auto FROM gc", _DECIDE, _TOTALS).replace("a AS (SELECT * FROM v_ledger)", "a AS (SELECT * FROM v_ledger WHERE event_id <= (SELECT max(event_id) // 2 FROM events))"),
     "g_previous_budgets": _sql("SELECT event_id, budget_new, last_value(budget_new IGNORE NULLS) OVER (PARTITION BY subject_ref ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM a WHERE action_type = 'ad.budget_change'"),
 }
+
+ORACLES["g_policy_documents"] = with_views(
+    """p AS (SELECT id AS policy_id, purchases / 10.0 AS fb, signups / 10.0 AS wb, id FROM v_accounts)
+    SELECT policy_id, 'fail_below must be <= warn_below' AS error FROM p WHERE NOT fb <= wb
+    UNION ALL SELECT policy_id, 'window_hours must be a number' FROM p WHERE id % 9 = 0
+    UNION ALL SELECT policy_id, 'drift settings must be numbers' FROM p WHERE id % 6 = 0
+    UNION ALL SELECT policy_id, 'ceiling of lifecycle-bot must be a number' FROM p WHERE id % 7 = 0
+    UNION ALL SELECT policy_id, 'decision of rule 2 must be auto, review or block' FROM p WHERE id % 4 = 0
+    UNION ALL SELECT policy_id, 'decision of rule 3 must be auto, review or block' FROM p WHERE id % 10 = 0""",
+    "v_accounts",
+)
+ORACLES["g_top_findings_by_agent"] = _sql(
+    """SELECT agent_id, CAST(rank AS INTEGER) AS rank, event_id, check_type, line FROM (
+       SELECT *, agent_label || ': ' || check_label || ', ' || verdict AS line, row_number() OVER (PARTITION BY agent_id ORDER BY sr, ts, event_id, check_type) AS rank FROM fv) WHERE rank <= 3""",
+    _DECIDE, _TOP,
+)
