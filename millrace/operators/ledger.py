@@ -413,7 +413,10 @@ def tone_grid(points: DataFrame) -> DataFrame:
 
 
 def _outcome_by_ref(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("subject_ref").agg(F.max(F.struct("sessions", "conversions", "revenue")).alias("o")).select("subject_ref", "o.*")
+    """One outcome a subject: the last one where outcomes have an order (seq), else the largest."""
+    whole = F.struct("sessions", "conversions", "revenue")
+    one = F.max_by(whole, "seq") if "seq" in outcomes.columns else F.max(whole)
+    return outcomes.groupBy("subject_ref").agg(one.alias("o")).select("subject_ref", "o.*")
 
 
 def outcome_coverage(actions: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -115,6 +115,19 @@ def transitions(cycle: DataFrame) -> DataFrame:
     return cycle.select("run_id", "proposal_id", F.inline(steps)).filter("pos is not null")
 
 
+def turn_errors(outputs: DataFrame, log: DataFrame, objections: DataFrame, cycle: DataFrame) -> DataFrame:
+    """(run_id, pos, error) of filed turns: outputs (run_id, pos, role) whose role is not the activated one, or that belong
+    to no turn; and objections to a proposal that is unknown or already done at their position, unless their turn's output
+    is of another role: of such a turn nothing is filed."""
+    known = log.select("run_id", "pos", F.col("role").alias("activated"))
+    judged = outputs.select("run_id", "pos", "role").join(known, ["run_id", "pos"], "left")
+    wrong = judged.filter("activated is null or not (role <=> activated)")
+    said = F.when(F.col("activated").isNull(), F.lit("no such turn")).otherwise(F.concat(F.lit("activated "), "activated", F.lit(", output says "), F.coalesce("role", F.lit("nothing"))))
+    lost = dangling_objections(objections, cycle).join(wrong.select("run_id", "pos"), ["run_id", "pos"], "left_anti")
+    dropped = lost.select("run_id", "pos", F.concat(F.lit("objection dropped: "), F.col("proposal_id").cast("string")).alias("error"))
+    return wrong.select("run_id", "pos", said.alias("error")).unionByName(dropped)
+
+
 def state_intervals(cycle: DataFrame) -> DataFrame:
     """(run_id, proposal_id, state, from_pos, to_pos): when each proposal stands in which state, from a position on and up
     to another, that one excluded (null: for good); states as in lifecycle."""

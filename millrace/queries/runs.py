@@ -101,6 +101,16 @@ def a_turn_effects(spark, d):
     return r.turn_effects(p, o, i)
 
 
+_OUTPUTS = """SELECT run_id, CASE WHEN event_id % 301 = 0 THEN pos + 1000000 ELSE pos END AS pos,
+  CASE WHEN event_id % 17 = 0 THEN 'critic' WHEN event_id % 97 = 0 THEN NULL ELSE role END AS role FROM v_runlog"""
+
+
+def a_turn_errors(spark, d):
+    log, _, o, _ = _all(spark, d)
+    log.createOrReplaceTempView("v_runlog")
+    return r.turn_errors(spark.sql(_OUTPUTS), log, o, _cycle(spark, d))
+
+
 def a_state_intervals(spark, d):
     return r.state_intervals(_cycle(spark, d))
 
@@ -129,7 +139,7 @@ def a_output_errors(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    a_state_intervals, a_counts_at, a_output_errors, a_first_ok, a_lifecycle, a_lifecycle_as_of, a_what_if, a_transitions, a_readable, a_owed, a_eligible, a_contract_errors,
+    a_turn_errors, a_state_intervals, a_counts_at, a_output_errors, a_first_ok, a_lifecycle, a_lifecycle_as_of, a_what_if, a_transitions, a_readable, a_owed, a_eligible, a_contract_errors,
     a_dangling_objections, a_role_costs, a_longest_gap, a_objection_matrix, a_waits, a_wait_summary, a_reconcile, a_turn_effects,
 )}
 
@@ -217,3 +227,11 @@ UNION ALL SELECT event_id, '$.items[' || i || ']', 'not allowed: ' || k FROM (SE
 UNION ALL SELECT event_id, '$.items[' || i || '].id', 'expected number, got ' || k FROM ei WHERE k <> 'number'
 UNION ALL SELECT event_id, '$.items[' || i || '].tags', 'expected array or null, got ' || k FROM eg WHERE k NOT IN ('array', 'null')
 UNION ALL SELECT event_id, '$.items[' || i || '].tags[' || n || ']', 'expected string, got ' || {_KIND.format("v")} FROM tg WHERE {_KIND.format("v")} <> 'string'"""
+ORACLES["a_turn_errors"] = _sql(
+    """SELECT run_id, pos, error FROM wr UNION ALL SELECT o.run_id, o.pos, 'objection dropped: ' || o.proposal_id FROM ob o LEFT JOIN cy USING (run_id, proposal_id)
+       WHERE (filed_pos IS NULL OR filed_pos > o.pos OR done_pos < o.pos) AND NOT EXISTS (SELECT 1 FROM wr WHERE wr.run_id = o.run_id AND wr.pos = o.pos)""",
+    _BASE.strip() + f""",
+ou AS ({_OUTPUTS}),
+wr AS (SELECT ou.run_id, ou.pos, CASE WHEN lg.role IS NULL THEN 'no such turn' ELSE 'activated ' || lg.role || ', output says ' || coalesce(ou.role, 'nothing') END AS error
+       FROM ou LEFT JOIN lg ON lg.run_id = ou.run_id AND lg.pos = ou.pos WHERE lg.role IS NULL OR ou.role IS DISTINCT FROM lg.role)""",
+)

@@ -116,3 +116,14 @@ def test_queries_of_sketches_run_on_the_table(spark, sf_dir):
     exact = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.percentile(F.col("l_extendedprice").cast("double"), 0.5).alias("m"))
     for r in got.filter("rank = 0.5").join(exact, "l_returnflag").collect():
         assert abs(r.quantile - r.m) < 0.02 * r.m
+
+
+def test_the_last_outcome_counts(spark):
+    from millrace.operators import ledger
+
+    actions = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "event_id long, subject_ref string")
+    rows = [("a", 9, 9, 900.0, 1), ("a", 5, 1, 10.0, 2), ("b", 1, 1, 7.0, 5), ("b", 2, 2, 8.0, 4)]
+    outcomes = spark.createDataFrame(rows, "subject_ref string, sessions long, conversions long, revenue double, seq int")
+    decided = spark.createDataFrame([(1, "block"), (2, "auto"), (3, "auto")], "event_id long, decision string")
+    got = {r.decision: (r.n, r.revenue) for r in ledger.gate_exposure(decided, actions, outcomes).collect()}
+    assert got == {"block": (1, 10.0), "auto": (2, 7.0)}
