@@ -128,3 +128,22 @@ def test_drafts_are_read_once(spark, tmp_path):
     scan, matchers = spans.scanned(df, ruleset.house(spark))
     plan = spans.findings_of(scan, matchers, ruleset.house(spark))._jdf.queryExecution().toString()
     assert str(tmp_path) not in plan  # all further work reads what the one pass has written
+
+
+def test_a_stream_of_drafts_gets_the_verdicts_of_the_batch(spark, tmp_path):
+    from millrace.streaming.drafts import decided, gate_drafts
+
+    schema = "draft_id long, channel string, market string, text string"
+    rows = [(k, "linkedin", "UK", t) for k, (t, _, _) in enumerate(LINES)] + [(100, "meta", "US", None)]
+    for k in range(0, len(rows), 8):
+        spark.createDataFrame(rows[k : k + 8], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    asked = []
+
+    def rules():
+        asked.append(1)
+        return ruleset.house(spark)
+
+    gate_drafts(stream, rules, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {r.draft_id: r.verdict for r in decided(spark, str(tmp_path / "out")).collect()}
+    assert got == {k: v for k, (_, v, _) in enumerate(LINES)} | {100: "empty"} and len(asked) == 3
