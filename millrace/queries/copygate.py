@@ -97,7 +97,7 @@ def c_certificates(spark, d):
 
 
 def c_phrase_hits(spark, d):
-    return c.phrase_hits(_drafts(spark, d), RULES[:2]).groupBy("draft_id", "rule").agg(F.count("*").alias("hits"), F.sum(F.col("start").cast("long")).alias("starts"), F.sum(F.col("stop").cast("long")).alias("stops"))
+    return c.phrase_hits(_drafts(spark, d), RULES).groupBy("draft_id", "rule").agg(F.count("*").alias("hits"), F.sum(F.col("start").cast("long")).alias("starts"), F.sum(F.col("stop").cast("long")).alias("stops"))
 
 
 def c_hit_segments(spark, d):

@@ -147,7 +147,7 @@ def x_solved_suggestion(spark, d):
 
 
 def x_panel_errors(spark, d):
-    return x.panel_errors(view(spark, d, "v_geo").filter("kpi > 5"), geos=26, days=60)
+    return x.panel_errors(view(spark, d, "v_geo"), geos=26, days=60)
 
 
 def x_default_start(spark, d):
@@ -245,6 +245,6 @@ ORACLES = {
     "x_minimum_effect": _sql("SELECT test_id, round(arg_min(CASE WHEN p0 IS NULL THEN lift ELSE l0 + (0.8 - p0) / (power - p0) * (lift - l0) END, lift) FILTER (power >= 0.8 AND (p0 IS NULL OR p0 < 0.8)), 6) AS mde FROM pl GROUP BY 1", _BACK),
     "x_ranked_geos": _sql("SELECT test_id, geo, mape, share FROM rg", _RANK),
     "x_suggest_cell": _sql("SELECT test_id, geos, round(share, 6) AS share FROM gr QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY r DESC) = 1", _RANK, _GREEDY).replace("WITH ", "WITH RECURSIVE ", 1),
-    "x_panel_errors": with_views("n AS (SELECT test_id, count(DISTINCT geo) AS g, count(DISTINCT day) AS d FROM v_geo WHERE kpi > 5 GROUP BY 1) SELECT test_id, g || ' geos, at least 26 are needed' AS error FROM n WHERE g < 26 UNION ALL SELECT test_id, d || ' days, at least 60 are needed' FROM n WHERE d < 60", "v_geo"),
+    "x_panel_errors": with_views("n AS (SELECT test_id, count(DISTINCT geo) AS g, count(DISTINCT day) AS d FROM v_geo GROUP BY 1) SELECT test_id, g || ' geos, at least 26 are needed' AS error FROM n WHERE g < 26 UNION ALL SELECT test_id, d || ' days, at least 60 are needed' FROM n WHERE d < 60", "v_geo"),
     "x_default_start": with_views("d AS (SELECT test_id, list_sort(list(DISTINCT day)) AS l FROM v_geo GROUP BY 1) SELECT test_id, l[CAST(floor(len(l) * 0.75) AS BIGINT) + 1] AS start FROM d", "v_geo"),
 }

@@ -108,7 +108,7 @@ def l_integer_weights(spark, d):
 
 
 def l_weight_gap(spark, d):
-    return m.weight_gap(l_integer_weights(spark, d), view(spark, d, "v_leads").filter("id < 10").select(F.concat(F.lit("s"), "id").alias("signal"), (F.col("id") % 6).cast("int").alias("weight")))
+    return m.weight_gap(l_integer_weights(spark, d), view(spark, d, "v_leads").select(F.concat(F.lit("s"), "id").alias("signal"), (F.col("id") % 6).cast("int").alias("weight")))
 
 
 def l_drafts(spark, d):
@@ -198,7 +198,7 @@ ORACLES = {
     "l_deciles": _sql("SELECT scorer, decile, count(*) AS n, avg(y) AS rate FROM dc GROUP BY 1, 2"),
     "l_lift": _sql("SELECT (SELECT avg(y) FROM dc WHERE decile = 0 AND scorer = 'source') / (SELECT avg(y) FROM dc WHERE scorer = 'source') AS lift"),
     "l_integer_weights": _sql("SELECT * FROM iw"),
-    "l_weight_gap": _sql("SELECT signal, weight AS learned, CAST(id % 6 AS INT) AS current, weight - CAST(id % 6 AS INT) AS gap FROM iw JOIN v_leads ON signal = 's' || id WHERE id < 10 AND weight <> id % 6"),
+    "l_weight_gap": _sql("SELECT signal, weight AS learned, CAST(id % 6 AS INT) AS current, weight - CAST(id % 6 AS INT) AS gap FROM iw JOIN v_leads ON signal = 's' || id WHERE weight <> id % 6"),
     "l_drafts": _sql("SELECT id, branch, subject, body FROM dr"),
     "l_gate": _sql(_GATE),
     "l_config_difference": "SELECT * FROM (VALUES ('segment_pql', 5.0::DOUBLE, 4.0::DOUBLE), ('github_star', 1.0, 2.0)) t(signal, source, current)",

@@ -49,7 +49,7 @@ def m_wide_export(spark, d):
 
 
 def m_panel_errors(spark, d):
-    return m.panel_errors(_spend(spark, d).filter(F.col("spend") > 1_000_000))
+    return m.panel_errors(_spend(spark, d), weeks=400, active=340, channels=4)
 
 
 def m_fit(spark, d):
@@ -146,8 +146,7 @@ ht AS (SELECT *, CASE WHEN gain >= 0 THEN '+' ELSE '-' END || CAST(CAST(round(ab
 pk AS (SELECT panel_id, channel, max(spend) AS peak, quantile_cont(spend, 0.25) AS q, coalesce(stddev_samp(spend), 0) / avg(spend) < 0.3 AS flat FROM sp GROUP BY 1, 2),
 rs AS (SELECT sp.*, spend > 0.4 * peak AND NOT coalesce(lag(spend > 0.4 * peak) OVER (PARTITION BY panel_id, channel ORDER BY week), false) AS rise FROM sp JOIN pk USING (panel_id, channel)),
 rv AS (SELECT panel_id, sum(revenue) AS revenue FROM v_mix_revenue GROUP BY 1),
-dg AS (SELECT panel_id, channel, flat, q < 0.1 * peak AS gaps, (SELECT count(*) FROM rs WHERE rs.panel_id = pk.panel_id AND rs.channel = pk.channel AND rise) AS flights, EXISTS (SELECT 1 FROM co WHERE co.panel_id = pk.panel_id AND (a = channel OR b = channel) AND abs(r) > 0.6) AS collinear, contribution / revenue AS share FROM pk JOIN ct USING (panel_id, channel) JOIN rv USING (panel_id)),
-big AS (SELECT * FROM sp WHERE spend > 1000000)"""
+dg AS (SELECT panel_id, channel, flat, q < 0.1 * peak AS gaps, (SELECT count(*) FROM rs WHERE rs.panel_id = pk.panel_id AND rs.channel = pk.channel AND rise) AS flights, EXISTS (SELECT 1 FROM co WHERE co.panel_id = pk.panel_id AND (a = channel OR b = channel) AND abs(r) > 0.6) AS collinear, contribution / revenue AS share FROM pk JOIN ct USING (panel_id, channel) JOIN rv USING (panel_id))"""
 
 
 def _sql(select: str) -> str:
@@ -162,7 +161,7 @@ ORACLES = {
     "m_candidates": _sql(f"SELECT panel_id, channel, decay, round(lvl * h, 4) AS half, shape FROM (SELECT panel_id, channel, avg(spend) AS lvl FROM sp GROUP BY 1, 2) CROSS JOIN {_GRID}"),
     "m_baseline": _sql(f"SELECT panel_id, week, t, n, round(t / greatest(n - 1, 1), 9) AS trend, {_W} FROM (SELECT panel_id, week, row_number() OVER (PARTITION BY panel_id ORDER BY week) - 1 AS t, count(*) OVER (PARTITION BY panel_id) AS n FROM v_mix_revenue)"),
     "m_wide_export": _sql("SELECT r.panel_id, r.week, round(any_value(revenue), 2) AS revenue, " + ", ".join(f"round(sum(spend) FILTER (channel = '{c}'), 2) AS \"{c}\"" for c in CHANNELS) + " FROM v_mix_revenue r JOIN v_mix_spend s ON s.panel_id = r.panel_id AND s.week = r.week GROUP BY 1, 2"),
-    "m_panel_errors": _sql("SELECT panel_id, count(DISTINCT week) || ' weeks, at least 52 are needed' AS error FROM big GROUP BY 1 HAVING count(DISTINCT week) < 52 UNION ALL SELECT panel_id, channel || ' has spend in ' || count(*) || ' weeks, at least 4 are needed' FROM big GROUP BY panel_id, channel HAVING count(*) < 4"),
+    "m_panel_errors": _sql("SELECT panel_id, count(DISTINCT week) || ' weeks, at least 400 are needed' AS error FROM sp GROUP BY 1 HAVING count(DISTINCT week) < 400 UNION ALL SELECT panel_id, count(DISTINCT channel) || ' channels, at most 4 are fitted' FROM sp GROUP BY 1 HAVING count(DISTINCT channel) > 4 UNION ALL SELECT panel_id, channel || ' has spend in ' || count(*) FILTER (spend > 0) || ' weeks, at least 340 are needed' FROM sp GROUP BY panel_id, channel HAVING count(*) FILTER (spend > 0) < 340"),
     "m_decomposition": _sql("SELECT panel_id, channel, round(spend, 3) AS spend, round(contribution, 3) AS contribution, round(roi, 3) AS roi FROM dc"),
     "m_marginal_roi": _sql(f"SELECT panel_id, channel, round((beta * {_HILL.format(x='weekly + h')} - beta * {_HILL.format(x='greatest(weekly - h, 0.0)')}) / (h + least(h, weekly)), 6) AS marginal FROM mh"),
     "m_response_curve": _sql(f"SELECT panel_id, channel, k2 AS k, round(weekly * 2.0 * k2 / 60, 5) AS spend, round(beta * {_HILL.format(x='weekly * 2.0 * k2 / 60')}, 5) AS revenue FROM (SELECT le.* EXCLUDE (k), CAST(unnest(range(61)) AS INTEGER) AS k2 FROM le)"),

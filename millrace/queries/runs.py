@@ -116,9 +116,8 @@ def a_state_intervals(spark, d):
 
 
 def a_counts_at(spark, d):
-    """Counts by state at every seventh position of every run."""
-    asked = view(spark, d, "v_runlog").filter("pos % 7 = 0").select("run_id", "pos")
-    return r.counts_at(r.state_intervals(_cycle(spark, d)), asked)
+    """Counts by state at every position of every run."""
+    return r.counts_at(r.state_intervals(_cycle(spark, d)), view(spark, d, "v_runlog").select("run_id", "pos"))
 
 
 _NESTED = """SELECT event_id, CASE event_id % 8
@@ -203,7 +202,7 @@ ORACLES["a_state_intervals"] = _sql("SELECT * FROM iv WHERE to_pos IS NULL OR to
 ORACLES["a_counts_at"] = _sql(
     """SELECT l.run_id, CAST(l.pos AS DOUBLE) AS pos, CAST(count(*) FILTER (filed_pos <= l.pos AND NOT coalesce(done_pos <= l.pos, false) AND (coalesce(integrated_pos, 1e18) > l.pos OR coalesce(reopened_pos <= l.pos, false))) AS BIGINT) AS open,
        CAST(count(*) FILTER (integrated_pos <= l.pos AND NOT coalesce(reopened_pos <= l.pos, false) AND NOT coalesce(done_pos <= l.pos, false)) AS BIGINT) AS integrated,
-       CAST(count(*) FILTER (done_pos <= l.pos) AS BIGINT) AS done FROM lg l LEFT JOIN cy USING (run_id) WHERE l.pos % 7 = 0 GROUP BY 1, 2"""
+       CAST(count(*) FILTER (done_pos <= l.pos) AS BIGINT) AS done FROM lg l LEFT JOIN cy USING (run_id) GROUP BY 1, 2"""
 )
 _KIND = "CASE json_type({0}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
 ORACLES["a_output_errors"] = f"""WITH o AS ({_NESTED}), j AS (SELECT event_id, CASE WHEN json_valid(output) THEN CAST(output AS JSON) END AS v FROM o),
