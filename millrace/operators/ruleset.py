@@ -40,9 +40,9 @@ _RULES = [
     ("TOV-CUSTOM", "warn", 8, "phrase", _ALL, _ALL, {}, "Banned words: {terms}.", "Remove or rephrase."),
     ("TOV-EXCLAIM", "warn", 6, "exclaim", _ALL, _ALL, {"max": 1}, "{n} exclamation marks of {max}.", "Keep {max} at most."),
     ("TOV-CAPS", "warn", 6, "caps", _ALL, _ALL, {}, "In capitals: {terms}.", "Use sentence case."),
-    ("TOV-EMOJI", "warn", 6, "regex", _ALL, _ALL, {}, "Emoji.", "Remove them."),
+    ("TOV-EMOJI", "warn", 6, "regex", _ALL, _ALL, {"pattern": c.EMOJI}, "Emoji.", "Remove them."),
     ("TOV-LONG-SENT", "warn", 6, "sentence-length", _ALL, _ALL, {"max": 25}, "{n} sentence(s) of over {max} words.", "Split them."),
-    ("TOV-PASSIVE", "info", None, "regex", _ALL, _ALL, {}, "Perhaps passive: {terms}.", "Name who acts."),
+    ("TOV-PASSIVE", "info", None, "regex", _ALL, _ALL, {"pattern": c.PASSIVE}, "Perhaps passive: {terms}.", "Name who acts."),
     ("TOV-READABILITY", "warn", 8, "flesch", _ALL, _ALL, {"min": 50, "minWords": 30}, "Reading ease {score}, {min} wanted.", "Use shorter words."),
     ("TOV-PERSON", "warn", 6, "person", _ALL, _ALL, {"minPronouns": 3}, "We {we} times, you {you} times.", "Write to the reader."),
     ("CLM-OK", "info", None, "claim-outcome", _ALL, _ALL, {}, "Matches {ev}: {claim}.", "Keep the evidence with it."),

@@ -18,7 +18,7 @@ from millrace.operators.ruleset import Ruleset
 from millrace.plans.storage import materialise
 
 MOST_RULES = 100_000  # rows of a policy's tables: they become one pattern when the plan is made
-REACH = 256  # characters from its beginning in which a term or passive must end
+REACH = 256  # characters from its beginning in which a term or pattern must end
 BLANK = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 CLAUSE_ENDS = r"(,|;|:| and | but | - | – | — )"
@@ -52,7 +52,7 @@ def _matchers(rules: Ruleset) -> tuple[DataFrame, str, list[tuple[str, str]]]:
     the places; the rules that a whole text can let off, with the pattern for that."""
     spark = rules.rules.sparkSession
     known = rules.rules.selectExpr(
-        "rule_no", "rule", "type", "try_variant_get(params, '$.unless', 'string') unless", "try_variant_get(params, '$.unlessScope', 'string') scope", "try_variant_get(params, '$.minLen', 'int') least"
+        "rule_no", "rule", "type", "try_variant_get(params, '$.unless', 'string') unless", "try_variant_get(params, '$.unlessScope', 'string') scope", "try_variant_get(params, '$.minLen', 'int') least", "try_variant_get(params, '$.pattern', 'string') pattern"
     ).limit(MOST_RULES + 1).collect()
     terms = rules.terms.filter("term is not null and trim(term) <> ''").limit(MOST_RULES + 1).collect()
     if max(len(known), len(terms)) > MOST_RULES:
@@ -72,9 +72,8 @@ def _matchers(rules: Ruleset) -> tuple[DataFrame, str, list[tuple[str, str]]]:
             own.append(("kind:!", r["rule_no"], "!", 1))
         elif r["type"] == "caps":
             own.append(("kind:caps", r["rule_no"], EDGE + "[A-ZÄÖÜ]{%d,}" % (r["least"] or 3) + EDGE, 1))
-        elif r["type"] == "regex":
-            pattern = c.EMOJI if r["rule"] == "TOV-EMOJI" else c.PASSIVE.replace(r"\b", EDGE)
-            own.append(("kind:emoji" if r["rule"] == "TOV-EMOJI" else "kind:passive", r["rule_no"], pattern, 1))
+        elif r["type"] == "regex" and r["pattern"]:
+            own.append((f"kind:{r['rule_no']}", r["rule_no"], r["pattern"].replace(r"\b", EDGE), 1))
     # Terms by their first letter, so that a place that begins none fails at once.
     firsts: dict[str, list[str]] = {}
     for w in sorted(starts):
@@ -185,16 +184,10 @@ def hit_spans(scan: DataFrame, matchers: DataFrame, rules: DataFrame) -> DataFra
     """(draft_id, rule_no, start, stop, term): every hit of every rule in its channel and market, left to right, none
     overlapping another of its rule; of a rule's terms that begin at a place, the longest one."""
     rows = scan.select("draft_id", "channel", "market", F.posexplode("places").alias("i", "p")).withColumn("start", _running(["draft_id"], F.col("p.units")))
-    body = F.substring(F.col("p.text"), 2, REACH)
-    keys = F.array_compact(
-        F.array(
-            F.lower(F.left(body, F.lit(2))),
-            F.when(body.startswith("!"), "kind:!"),
-            F.when(body.rlike("^[A-ZÄÖÜ]"), "kind:caps"),
-            F.when(body.rlike("^" + c.EMOJI), "kind:emoji"),
-            F.when(body.rlike("(?i)^(?:is|are|was|were|be|got|get)"), "kind:passive"),
-        )
-    )
+    body = F.substring(F.col("p.text"), 2, 2)
+    kinds = {r["key"]: r["pattern"] for r in matchers.filter("key like 'kind:%'").collect()}  # rules of a pattern
+    others = [F.when(F.col("p.text").rlike(f"(?s)^.(?:{pattern})"), key) for key, pattern in kinds.items()]
+    keys = F.array_compact(F.array(F.lower(F.left(body, F.lit(2))), *others))
     places = rows.select("draft_id", "channel", "market", "start", F.col("p.text").alias("ctx"), F.explode(F.array_distinct(keys)).alias("key"))
     scope = rules.select("rule_no", "channels", "markets")
     any_of = F.expr("(channels is null or array_contains(channels, channel)) and (markets is null or array_contains(markets, market))")

@@ -112,13 +112,14 @@ def test_fields_rules_and_odd_drafts(spark):
 def test_a_rule_as_a_row(spark):
     """A rule added to the tables finds without any code."""
     house = ruleset.house(spark)
-    rule = spark.createDataFrame([(90, "OWN-RULE", "block", 7, "phrase", ["linkedin"], None, '{"unless": "nearly", "unlessScope": "sentence"}', "Says {terms} {n} times.", "Stop.")], ruleset.RULE_SCHEMA)
+    rule = spark.createDataFrame([(90, "OWN-RULE", "block", 7, "phrase", ["linkedin"], None, '{"unless": "nearly", "unlessScope": "sentence"}', "Says {terms} {n} times.", "Stop."), (91, "OWN-PATTERN", "info", None, "regex", None, None, r'{"pattern": "(?i)\\bq[0-9]+\\b"}', "Quarter: {terms}.", "")], ruleset.RULE_SCHEMA)
     rows = house.rules.withColumn("params", house.rules["params"].cast("string")).unionByName(rule)
     terms = house.terms.unionByName(spark.createDataFrame([("OWN-RULE", "zero down?", None), ("OWN-RULE", "zero", None)], ruleset.TERM_SCHEMA))
     more = ruleset.Ruleset.of(rows, terms, house.register)
-    found, verdict = gate(spark, [(1, "linkedin", "DE", "Zero down. ZERO dow. It is zero. Nearly zero."), (2, "meta", "DE", "Zero down.")], more)
+    found, verdict = gate(spark, [(1, "linkedin", "DE", "Zero down. ZERO dow. It is zero. Nearly zero."), (2, "meta", "DE", "Zero down. In Q3 and q41, not xQ1 or Q2b.")], more)
     own = [(r["count"], r.weight, r.message, said("Zero down. ZERO dow. It is zero. Nearly zero.", r)) for r in found[1] if r.rule == "OWN-RULE"]
     assert own == [(3, 7, "Says Zero down, ZERO dow, zero 3 times.", ["Zero down", "ZERO dow", "zero"])]
+    assert [r.message for r in found[2] if r.rule == "OWN-PATTERN"] == ["Quarter: Q3, q41."]
     assert verdict[1].verdict == "block" and not any(r.rule == "OWN-RULE" for r in found.get(2, []))
 
 
