@@ -204,11 +204,12 @@ def postings(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _owned(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The lists with the component of each entry."""
+    """The lists with the component of each entry and its number of sets (cs)."""
     if roots is None:
-        return lists.withColumn("comp", F.col("sid"))
-    known = lists.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    return known.withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        return lists.select("*", F.col("sid").alias("comp"), F.lit(1).cast("long").alias("cs"))
+    sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("cs")), "root")
+    known = lists.join(sized.withColumnRenamed("node", "sid"), "sid", "left")
+    return known.select(*lists.columns, F.coalesce("root", "sid").alias("comp"), F.coalesce("cs", F.lit(1)).alias("cs"))
 
 
 def stars(lists: DataFrame, tried: DataFrame | None, percent: int, k: int) -> DataFrame:
@@ -229,26 +230,26 @@ def stars(lists: DataFrame, tried: DataFrame | None, percent: int, k: int) -> Da
 def candidates(lists: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """(x, y): sets of different components that meet in so many short lists that they may link, x the smaller id.
 
-    Of each list, the entries outside its commonest component are queries; every query merges its lists, in rows of
-    about LIST entries that were spread by set, and keeps what occurs often enough: of each row all, or the `most` that
-    occur most.
+    Components are ordered by size. Of each list, the entries outside its largest component are queries, and meet those
+    of larger components alone: so all that two sets share is counted for the same one of them, once a list. Every query
+    merges its lists, in rows of about LIST entries that were spread by set, and keeps what occurs often enough: of each
+    row all, or the `most` that occur most.
     """
     main = (
-        lists.groupBy("w", "comp")
-        .agg(F.count("*").alias("c"))
-        .groupBy("w")
-        .agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("size"))
-        .filter("comps > 1")
+        lists.groupBy("w")
+        .agg(F.max(F.struct("cs", "comp"))["comp"].alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+        .filter("low < high")
+        .select("w", "main", "size")
     )
-    mixed_lists = materialise(lists.join(main, "w").select("w", "sid", "n", "comp", "main", "size"), "jaccard-mixed")
+    mixed_lists = materialise(lists.join(main, "w").select("w", "sid", "n", "comp", "cs", "main", "size"), "jaccard-mixed")
     spread = -(-(mixed_lists.agg(F.max("size")).first()[0] or 1) // LIST)
     rows = (
         mixed_lists.groupBy("w", F.pmod(F.xxhash64("sid"), F.lit(spread)).alias("share"))
-        .agg(F.array_sort(F.collect_list(F.struct("sid", "n", "comp"))).alias("entries"))
+        .agg(F.array_sort(F.collect_list(F.struct("sid", "n", "comp", "cs"))).alias("entries"))
         .withColumnRenamed("w", "v")
     )
-    queries = mixed_lists.filter("comp <> main").select("w", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    fits = F.expr(f"filter(entries, e -> e.comp <> xc and {_fit('e.n', 'xn', percent)})")
+    queries = mixed_lists.filter("comp <> main").select("w", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("cs").alias("xs"))
+    fits = F.expr(f"filter(entries, e -> (e.cs > xs or (e.cs = xs and e.comp > xc)) and {_fit('e.n', 'xn', percent)})")
     held = (
         queries.join(rows, F.col("w") == F.col("v"))
         .select("x", "xn", "share", fits.alias("e"))

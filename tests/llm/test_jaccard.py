@@ -148,3 +148,23 @@ def test_shingles_of_a_chunk():
     texts = [b"a b c d e", b"", b"A  b\tc\nd e", b"x", b"x x x x x x"]
     sets = jaccard.shingle_sets(cut(texts, jaccard.WORDS), len(texts), 4)
     assert [len(s) for s in sets] == [2, 0, 2, 1, 1] and (sets[0] == sets[2]).all()
+
+
+def test_lists_that_different_components_lead(spark):
+    # 1 and 2 meet in two lists, as a link takes; component 1 leads the first list and component 2 the second.
+    lists = spark.createDataFrame([(10, 1, 12), (10, 2, 12), (10, 3, 12), (11, 1, 12), (11, 2, 12), (11, 4, 12)], "w long, sid long, n long")
+    roots = spark.createDataFrame([(1, 1), (3, 1), (2, 2), (4, 2)], "node long, root long")
+    assert jaccard.occurrences(12, 12, 85) == 2
+    assert {tuple(r) for r in jaccard.candidates(jaccard._owned(lists, roots), 85).collect()} == {(1, 2)}
+
+
+def test_candidates_against_counting(spark):
+    rng = random.Random(3)
+    entries = [(w, sid, 12) for w in range(60) for sid in rng.sample(range(40), 8)]
+    comp = {sid: sid - sid % (2 + sid // 12 * 2) if sid < 36 else sid for sid in range(40)}
+    comp = {sid: min(k for k in comp if comp[k] == c) for sid, c in comp.items()}
+    lists = spark.createDataFrame(entries, "w long, sid long, n long")
+    roots = spark.createDataFrame([(k, v) for k, v in comp.items() if k < 36], "node long, root long")
+    of = {sid: {w for w, s, _ in entries if s == sid} for sid in range(40)}
+    want = {(x, y) for x, y in combinations(range(40), 2) if comp[x] != comp[y] and len(of[x] & of[y]) >= 2}
+    assert want and {tuple(r) for r in jaccard.candidates(jaccard._owned(lists, roots), 85).collect()} == want
