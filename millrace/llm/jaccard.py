@@ -312,8 +312,10 @@ def near_duplicates(
         rest = materialise(candidates(_owned(lists, roots), percent, most).join(tried, ["x", "y"], "left_anti"), "jaccard-rest")
         if not rest.isEmpty():
             tried = tried.union(rest)
-            links = links.union(verified(docs, rest, sets, size, percent))
-            roots = components(links, "x", "y")
+            good = verified(docs, rest, sets, size, percent)
+            if not good.isEmpty():
+                links = links.union(good)
+                roots = components(links, "x", "y")
     roots = roots if roots is not None else components(links, "x", "y")
     roots = roots.select(F.col("node").alias("sid"), "root")
     rooted = sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
