@@ -86,12 +86,16 @@ def _matchers(rules: Ruleset) -> tuple[DataFrame, str, list[tuple[str, str]]]:
     return spark.createDataFrame(own, "key string, rule_no int, pattern string, size int"), place, off
 
 
-def scanned(drafts: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFrame]:
-    """(draft_id, channel, market, lines, sentences, places, numbers, let_off, words, syllables, we, you) of every draft, in
-    one pass, written; and the matchers. Unknown channels count as rsa, unknown markets as UK; null texts are empty."""
-    matchers, place, off = _matchers(rules)
+def masked(drafts: DataFrame) -> DataFrame:
+    """(draft_id, channel, market, text, lines, masked, sentences) of every draft that has a number; masked: the text with
+    blanks for its labels. Unknown channels count as rsa, unknown markets as UK; null texts are empty.
+
+    Drafts are dealt anew by their number into spark.sql.shuffle.partitions: they may come in few files, and cutting a
+    text takes far longer than reading it.
+    """
     prefixes = F.create_map(*[F.lit(x) for ch, names in c.PREFIXES.items() for p, f in names.items() for x in (f"{ch}|{p}", f)])
-    rows = drafts.select(
+    parts = int(drafts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = drafts.select("draft_id", "channel", "market", "text").filter("draft_id is not null").repartition(parts, "draft_id").select(
         "draft_id",
         F.when(F.col("channel").isin(*c.PREFIXES), F.col("channel")).otherwise("rsa").alias("channel"),
         F.when(F.col("market").isin("UK", "DE", "US"), F.col("market")).otherwise("UK").alias("market"),
@@ -105,8 +109,15 @@ def scanned(drafts: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFrame]:
         return F.struct(x.alias("text"), F.when(prefix != "", kind).alias("kind"), F.when((prefix != "") & kind.isNotNull(), F.length(prefix)).otherwise(0).alias("cut"))
 
     rows = rows.withColumn("lines", F.transform(F.split("text", "\n"), line))
-    masked = F.array_join(F.transform("lines", lambda x: F.concat(F.repeat(F.lit(" "), x["cut"]), F.substring(x["text"], x["cut"] + 1, F.length(x["text"])))), "\n")
-    rows = rows.withColumn("masked", masked)
+    whole = F.array_join(F.transform("lines", lambda x: F.concat(F.repeat(F.lit(" "), x["cut"]), F.substring(x["text"], x["cut"] + 1, F.length(x["text"])))), "\n")
+    return rows.withColumn("masked", whole).withColumn("sentences", F.split("masked", rf"(?<=\n)|(?<=[.!?])(?={BLANK})"))
+
+
+def scanned(drafts: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFrame]:
+    """(draft_id, channel, market, lines, sentences, places, numbers, let_off, words, syllables, we, you) of every draft, in
+    one pass, written; and the matchers."""
+    matchers, place, off = _matchers(rules)
+    rows = masked(drafts)
     segments = F.split("masked", place)
     words = F.regexp_extract_all("masked", F.lit(f"({c.WORD})"), 1)
 
@@ -130,7 +141,7 @@ def scanned(drafts: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFrame]:
         .select(
             "draft_id", "channel", "market", "lines",
             (_strip(F.col("text")) != "").alias("filled"),
-            F.split("masked", rf"(?<=\n)|(?<=[.!?])(?={BLANK})").alias("sentences"),
+            "sentences",
             F.transform("segments", seen).alias("places"),
             F.transform("gaps", number).alias("numbers"),
             let_off.alias("let_off"),
@@ -140,7 +151,7 @@ def scanned(drafts: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFrame]:
             F.size(F.filter("w", lambda w: w.rlike(YOU))).alias("you"),
         )
     )
-    return materialise(done.filter("draft_id is not null"), "draft-scan"), matchers
+    return materialise(done, "draft-scan"), matchers
 
 
 def _running(key: list[str], size: Column) -> Column:
@@ -174,10 +185,13 @@ def field_spans(scan: DataFrame) -> DataFrame:
 
 
 def sentence_spans(scan: DataFrame) -> DataFrame:
-    """(draft_id, market, sentence_no, start, stop, sentence): broken at line breaks and after .!? before white space."""
+    """(draft_id, market, sentence_no, start, stop, sentence): broken at line breaks and after .!? before white space. scan:
+    what `masked` or `scanned` returns."""
     rows = scan.select("draft_id", "market", F.posexplode("sentences").alias("i", "s"))
-    rows = rows.withColumn("at", _running(["draft_id"], units(F.col("s")))).withColumn("start", F.col("at") + _lead(F.col("s"))).withColumn("sentence", _strip(F.col("s"))).filter("sentence <> ''")
-    return rows.select("draft_id", "market", F.col("i").alias("sentence_no"), "start", (F.col("start") + units(F.col("sentence"))).alias("stop"), "sentence")
+    # Lengths are taken before rows are sorted, so that texts nobody asks for are not.
+    rows = rows.select("draft_id", "market", "i", units(F.col("s")).alias("units"), _lead(F.col("s")).alias("lead"), _strip(F.col("s")).alias("sentence"))
+    rows = rows.withColumn("size", units(F.col("sentence"))).withColumn("start", _running(["draft_id"], F.col("units")) + F.col("lead")).filter("size > 0")
+    return rows.select("draft_id", "market", F.col("i").alias("sentence_no"), "start", (F.col("start") + F.col("size")).alias("stop"), "sentence")
 
 
 def hit_spans(scan: DataFrame, matchers: DataFrame, rules: DataFrame) -> DataFrame:
