@@ -208,10 +208,14 @@ def with_messages(findings: DataFrame, rules: list[Rule]) -> DataFrame:
     return findings.join(F.broadcast(texts), "rule", "left").withColumns({"message": said("message"), "fix": said("fix")})  # one row a rule
 
 
-def syllables(w: Column) -> Column:
-    x = F.regexp_replace(F.lower(w), "[^a-z]", "")
-    bare = F.regexp_replace(F.regexp_replace(x, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-    return F.when(x == "", 0).when(F.length(x) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit("[aeiouy]{1,2}"))))
+def syllables(words: Column) -> Column:
+    """Syllables of all words of an array, by rules for spelling; they are counted in one string, not word by word."""
+    said = F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z ]+", "")
+    # Up to three letters count one, as "a" does. Of longer words some endings and a first y are dropped.
+    short = F.regexp_replace(said, "(?<![a-z])[a-z]{1,3}(?![a-z])", "a")
+    bare = F.regexp_replace(short, "y(?<![a-z]y)|(?:[bcdfghjkmnpqrstvwxz]es|ed|[bcdfghjkmnpqrstvwxz]e)(?![a-z])", "")
+    voiced = F.regexp_count(bare, F.lit("[a-z]*?[aeiouy][a-z]*"))
+    return F.regexp_count(bare, F.lit("[aeiouy]{1,2}")) + F.regexp_count(said, F.lit("[a-z]+")) - voiced  # a word has one at least
 
 
 def draft_stats(drafts: DataFrame) -> DataFrame:
@@ -221,7 +225,7 @@ def draft_stats(drafts: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
     base = drafts.select("draft_id", text.alias("text"), words.alias("w"), cut.alias("s"))
     n, m = F.size("w"), F.size("s")
-    syl = F.aggregate("w", F.lit(0), lambda acc, w: acc + syllables(w))
+    syl = syllables(F.col("w"))
     flesch = F.when((n > 0) & (m > 0), 206.835 - 1.015 * n / m - 84.6 * syl / n)
     pronoun = lambda *p: F.size(F.filter("w", lambda w: F.lower(w).isin(*p)))
     return base.select(

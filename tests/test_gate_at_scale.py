@@ -21,3 +21,19 @@ def test_sentences_take_no_rules_and_all_tasks(spark, sf_dir, monkeypatch):
     rows = spark.range(0, 400, 1, 1).selectExpr("id as draft_id", "'meta' as channel", "'UK' as market", "'One. Two.' as text")
     sizes = spans.masked(rows).select("draft_id").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert sum(sizes) == 400 and max(sizes) < 200
+
+
+def test_syllables_of_a_text_are_those_of_its_words(spark):
+    def one(word):
+        x = re.sub("[^a-z]", "", word.lower())
+        bare = re.sub("^y", "", re.sub("(?:[^laeiouy]es|ed|[^laeiouy]e)$", "", x))
+        return 0 if x == "" else 1 if len(x) <= 3 else max(1, len(re.findall("[aeiouy]{1,2}", bare)))
+
+    words = "yces yyes Hmmm needed tables syllable They're café 2024 x9 été yellow eyes used use Straße queue ÀÖÿ rhythm beyed ye yyyyy aces a'b'c'e É-e whales".split()
+    made = ["".join(x) for x in __import__("itertools").product("abeldsy", repeat=4)]
+    rows = [(i, made[i : i + 60] + words[i % len(words) :]) for i in range(0, len(made), 60)] + [(-1, []), (-2, ["É", "12"])]
+    df = spark.createDataFrame(rows, "k int, w array<string>")
+    got = {r.k: r.n for r in df.select("k", c.syllables(F.col("w")).alias("n")).collect()}
+    assert got == {k: sum(map(one, w)) for k, w in rows}
+    plan = df.select(c.syllables(F.col("w")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
