@@ -282,7 +282,10 @@ def findings_of(scan: DataFrame, matchers: DataFrame, ruleset: Ruleset) -> DataF
     scan = scan.filter("filled")
     sentences = materialise(sentence_spans(scan), "draft-sentences")
     kinds = rules.select("rule_no", "rule", "type", "channels", "markets", "params")
-    hits = materialise(hit_spans(scan, matchers, rules).join(kinds.select("rule_no", "rule", "type", "params"), "rule_no"), "draft-hits")
+    # What hits need of a rule's parameters is read here, once a rule and not once a hit.
+    text = lambda name: F.expr(f"try_variant_get(params, '$.{name}', 'string')")
+    of_hits = rules.select("rule_no", "rule", "type", text("unless").alias("unless"), text("unlessScope").alias("scope"), F.get_json_object(F.to_json("params"), "$.max").cast("int").alias("most"))
+    hits = materialise(hit_spans(scan, matchers, rules).join(F.broadcast(of_hits), "rule_no"), "draft-hits")  # a policy table
     fields = materialise(field_spans(scan), "draft-fields")
     param = lambda name, kind="int": F.expr(f"try_variant_get(params, '$.{name}', '{kind}')")
     span = lambda a, b: F.array(F.struct(F.col(a).cast("long").alias("start"), F.col(b).cast("long").alias("stop")))
@@ -333,21 +336,20 @@ def findings_of(scan: DataFrame, matchers: DataFrame, ruleset: Ruleset) -> DataF
     # Hits counted by rule, each term in its first spelling.
     let_off = scan.select("draft_id", F.explode("let_off").alias("rule"))
     phrases = hits.filter("type in ('phrase', 'regex', 'exclaim', 'caps', 'competitor')").join(let_off, ["draft_id", "rule"], "left_anti")
-    bound = phrases.filter(F.expr("try_variant_get(params, '$.unlessScope', 'string') = 'sentence'"))
-    free = phrases.filter(F.expr("coalesce(try_variant_get(params, '$.unlessScope', 'string'), '') <> 'sentence'"))
-    kept = _in(bound, sentences, whole=False).filter(~F.expr("sentence rlike concat('(?iu)', try_variant_get(params, '$.unless', 'string'))")).select(*phrases.columns)
+    bound = phrases.filter("scope = 'sentence'")
+    free = phrases.filter("coalesce(scope, '') <> 'sentence'")
+    kept = _in(bound, sentences, whole=False).filter(~F.expr("sentence rlike concat('(?iu)', unless)")).select(*phrases.columns)
     allowed = ruleset.terms.select("rule", F.col("term"))
     plain = free.filter("type <> 'caps'").unionByName(kept).unionByName(free.filter("type = 'caps'").join(allowed, ["rule", "term"], "left_anti").select(*phrases.columns))
     names = ruleset.terms.join(of("competitor").select("rule"), "rule").select(F.lower("term").alias("low"), F.col("term").alias("name")).distinct()
     named = plain.withColumn("low", F.lower("term")).join(F.broadcast(names), "low", "left")  # competitors: rows of a policy table
     named = named.withColumn("term", F.when(F.col("type") == "competitor", F.coalesce("name", "term")).otherwise(F.col("term")))
-    named = named.select("draft_id", "rule_no", "rule", "type", F.to_json("params").alias("params"), "low", "start", "stop", "term")
-    spelled = named.groupBy("draft_id", "rule_no", "rule", "type", "params", "low").agg(
+    named = named.select("draft_id", "rule_no", "rule", "type", "most", "low", "start", "stop", "term")
+    spelled = named.groupBy("draft_id", "rule_no", "rule", "type", "most", "low").agg(
         F.min(F.struct("start", "term")).alias("one"), F.collect_list(F.struct("start", "stop")).alias("s")
     )
-    counted = spelled.groupBy("draft_id", "rule_no", "rule", "type", "params").agg(F.array_sort(F.collect_list("one")).alias("ones"), F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
-    most = F.get_json_object("params", "$.max").cast("int")
-    counted = counted.withColumn("n", F.size("spans")).withColumn("max", F.when(F.col("type") == "exclaim", most)).filter("type <> 'exclaim' or n > max")
+    counted = spelled.groupBy("draft_id", "rule_no", "rule", "type", "most").agg(F.array_sort(F.collect_list("one")).alias("ones"), F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
+    counted = counted.withColumn("n", F.size("spans")).withColumn("max", F.when(F.col("type") == "exclaim", F.col("most"))).filter("type <> 'exclaim' or n > max")
     terms = F.array_join(F.transform("ones", lambda x: x["term"]), ", ")
     found(counted, F.col("spans"), _vars(terms=terms, n=F.col("n"), max=F.col("max")), F.when(F.col("type") == "exclaim", F.col("n") - F.col("max")).otherwise(F.col("n")))
     # The whole draft.

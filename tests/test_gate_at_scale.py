@@ -37,3 +37,14 @@ def test_syllables_of_a_text_are_those_of_its_words(spark):
     assert got == {k: sum(map(one, w)) for k, w in rows}
     plan = df.select(c.syllables(F.col("w")))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_hits_carry_no_parameters_to_be_parsed(spark, monkeypatch):
+    from millrace.operators import ruleset
+
+    seen, write = {}, spans.materialise
+    monkeypatch.setattr(spans, "materialise", lambda df, name="table": seen.setdefault(name, write(df, name)))
+    rows = spark.createDataFrame([(1, "linkedin", "DE", "Kostenlos!! Free.")], "draft_id long, channel string, market string, text string")
+    spans.findings(rows, ruleset.house(spark))
+    hits = {(r.rule, r.scope, r.most) for r in seen["draft-hits"].collect()}
+    assert "params" not in seen["draft-hits"].columns and {("DE-FREE", "sentence", None), ("TOV-EXCLAIM", None, 1)} <= hits
