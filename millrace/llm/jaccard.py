@@ -7,10 +7,9 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bits import bit_table, holds
@@ -22,6 +21,8 @@ from millrace.plans.storage import materialise
 WORDS = translation(breaks=b"", spaces=b"\x09\x0a\x0b\x0c\x0d")
 BUCKETS = 20  # bits of the table of shingle counts: 2^20 numbers, whatever the input
 ROUNDS = 2  # of comparing with the heads of lists; what they leave is searched for in full
+QUERIES = 256  # whose lists are taken out of a batch and merged at a time
+CHUNK = 1 << 18  # bytes of text that are cut at a time: their numbers take some forty times as much
 LIST = 256  # about as many entries of an inverted list travel in one row
 
 
@@ -89,7 +90,7 @@ def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = np.zeros(1 << BUCKETS)
         for batch in batches:
-            for _, part in chunks(batch.column("text")):
+            for _, part in chunks(batch.column("text"), most=CHUNK):
                 for s in shingle_sets(cut(part, WORDS), len(part), size):
                     total[(s >> np.uint64(64 - BUCKETS)).astype(np.int64)] += 1  # distinct, but buckets may repeat
         return total
@@ -106,7 +107,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch)
-            for first, part in chunks(batch.column("text")):
+            for first, part in chunks(batch.column("text"), most=CHUNK):
                 sets = shingle_sets(cut(part, WORDS), len(part), size)
                 th = _hashed(part)
                 leads = []
@@ -140,7 +141,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch)
-            for first, part in chunks(batch.column("text")):
+            for first, part in chunks(batch.column("text"), most=CHUNK):
                 th = _hashed(part)
                 key = _key(ids[first : first + len(part)], th)
                 some = np.flatnonzero(holds(table.value, key))
@@ -195,16 +196,16 @@ def _fit(a: str, b: str, percent: int) -> str:
 
 def postings(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(w, sid, n): the inverted lists, one row an entry, of the shingles that sets look up; lists of one row are left
-    out."""
-    each = rows.select("rid", "n", F.explode("lead").alias("w"))
-    long = each.groupBy("w").agg(F.count("*").alias("rows")).filter("rows > 1").select("w")
-    live = each.join(long, "w").withColumnRenamed("rid", "sid")
+    out. Entries are dealt once, by w, and sizes come after most of them have gone."""
+    each = rows.select(F.col("rid").alias("sid"), F.explode("lead").alias("w"))
+    live = each.withColumn("rows", F.count("*").over(Window.partitionBy("w"))).filter("rows > 1").select("w", "sid")
     # Copies go: of equal sets, all with equal lists, the first row stands for all.
-    return materialise(live.join(sets.select("sid"), "sid", "left_semi"), "jaccard-postings")
+    return materialise(live.join(sets.select("sid", "n"), "sid").select("w", "sid", "n"), "jaccard-postings")
 
 
 def _owned(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The lists with the component of each entry and its number of sets (cs)."""
+    lists = lists.select("w", "sid", "n")
     if roots is None:
         return lists.select("*", F.col("sid").alias("comp"), F.lit(1).cast("long").alias("cs"))
     sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("cs")), "root")
@@ -214,20 +215,43 @@ def _owned(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def stars(lists: DataFrame, tried: DataFrame | None, percent: int, k: int) -> DataFrame:
     """(x, y): for each set up to k others of other components, each the smallest of such in some of its lists: those that
-    it shares most lists with. Each entry is compared with two of its list, whatever its length."""
-    first = lists.groupBy("w").agg(F.min(F.struct("n", "sid", "comp")).alias("first"))
-    other = lists.join(first, "w").filter("comp <> first.comp").groupBy("w")
-    both = other.agg(F.min(F.struct("n", "sid", "comp")).alias("second"), F.min("first").alias("first"))
+    it shares most lists with, and as many as a link takes; what meets in fewer is left to search(). Each entry is
+    compared with two of its list, whatever its length."""
+    of_list = Window.partitionBy("w")
+    entry = F.struct("n", "sid", "comp")
+    both = lists.withColumn("first", F.min(entry).over(of_list))
+    both = both.withColumn("second", F.min(F.when(F.col("comp") != F.col("first.comp"), entry)).over(of_list)).filter("second is not null")
     head = F.when(F.col("comp") == F.col("first.comp"), F.col("second")).otherwise(F.col("first"))
-    met = lists.join(both, "w").select("sid", "n", head.alias("h")).filter(_fit("n", "h.n", percent))
-    met = met.groupBy(F.least("sid", "h.sid").alias("x"), F.greatest("sid", "h.sid").alias("y"), "sid").agg(F.count("*").alias("shared"))
+    met = both.select("sid", "n", head.alias("h")).filter(_fit("n", "h.n", percent))
+    pair = F.least("sid", "h.sid").alias("x"), F.greatest("sid", "h.sid").alias("y")
+    met = met.groupBy(*pair, "sid").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("h.n").alias("m"))
+    met = met.filter(f"shared > ceil({percent} * (n + m) / (100 + {percent})) - ceil({percent} * greatest(n, m) / 100)")  # occurrences()
     if tried is not None:
         met = met.join(tried, ["x", "y"], "left_anti")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("s"), "x", "y"))), 1, k)
     return met.groupBy("sid").agg(best.alias("best")).select(F.inline("best")).select("x", "y").distinct()
 
 
+def unsettled(lists: DataFrame) -> DataFrame:
+    """The lists whose sets stand in several components, with the largest component (main) and the length (size) of each.
+    Components only grow together: what is left out here needs not be looked at again."""
+    of_list = Window.partitionBy("w")
+    told = lists.select(
+        "*",
+        F.max(F.struct("cs", "comp")).over(of_list)["comp"].alias("main"),
+        F.min("comp").over(of_list).alias("low"),
+        F.max("comp").over(of_list).alias("high"),
+        F.count("*").over(of_list).alias("size"),
+    )
+    return materialise(told.filter("low < high").drop("low", "high"), "jaccard-mixed")
+
+
 def candidates(lists: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """(x, y): what search() finds in any lists with their components."""
+    return search(unsettled(lists), percent, most)
+
+
+def search(mixed_lists: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """(x, y): sets of different components that meet in so many short lists that they may link, x the smaller id.
 
     Components are ordered by size. Of each list, the entries outside its largest component are queries, and meet those
@@ -235,13 +259,6 @@ def candidates(lists: DataFrame, percent: int, most: int | None = None) -> DataF
     merges its lists, in rows of about LIST entries that were spread by set, and keeps what occurs often enough: of each
     row all, or the `most` that occur most.
     """
-    main = (
-        lists.groupBy("w")
-        .agg(F.max(F.struct("cs", "comp"))["comp"].alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-        .filter("low < high")
-        .select("w", "main", "size")
-    )
-    mixed_lists = materialise(lists.join(main, "w").select("w", "sid", "n", "comp", "cs", "main", "size"), "jaccard-mixed")
     spread = -(-(mixed_lists.agg(F.max("size")).first()[0] or 1) // LIST)
     rows = (
         mixed_lists.groupBy("w", F.pmod(F.xxhash64("sid"), F.lit(spread)).alias("share"))
@@ -258,16 +275,19 @@ def candidates(lists: DataFrame, percent: int, most: int | None = None) -> DataF
         .agg(F.collect_list("e.sid").alias("ids"), F.collect_list("e.n").alias("sizes"))
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for x, n, ids, sizes in zip(batch["x"], batch["xn"], batch["ids"], batch["sizes"], strict=True):
-                size = dict(zip(np.concatenate(ids).tolist(), np.concatenate(sizes).tolist(), strict=True))
-                met = [(-c, y) for y, c in merged(list(ids)) if c >= occurrences(n, size[y], percent)]
-                found += [(x, y) for _, y in (met if most is None else heapq.nsmallest(most, met))]
-            yield pd.DataFrame(found, columns=["x", "y"], dtype="int64")
-
-    met = held.select("x", "xn", "ids", "sizes").mapInPandas(run, "x long, y long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(at, QUERIES).to_pandas()
+                found = []
+                for x, n, ids, sizes in zip(batch["x"], batch["xn"], batch["ids"], batch["sizes"], strict=True):
+                    size = dict(zip(np.concatenate(ids).tolist(), np.concatenate(sizes).tolist(), strict=True))
+                    met = [(-c, y) for y, c in merged(list(ids)) if c >= occurrences(n, size[y], percent)]
+                    found += [(x, y) for _, y in (met if most is None else heapq.nsmallest(most, met))]
+                pairs = np.array(found, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+
+    met = held.select("x", "xn", "ids", "sizes").mapInArrow(run, "x long, y long")
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -293,8 +313,8 @@ def near_duplicates(
     sets = materialise(
         rows.filter("n > 0")
         .groupBy("digest")
-        .agg(F.min(F.struct("rid", "key", "th")).alias("one"), F.min("doc_id").alias("least"))
-        .select("digest", F.col("one.rid").alias("sid"), F.col("one.key").alias("key"), F.col("one.th").alias("th"), "least"),
+        .agg(F.min(F.struct("rid", "key", "th", "n")).alias("one"), F.min("doc_id").alias("least"))
+        .select("digest", F.col("one.rid").alias("sid"), F.col("one.key").alias("key"), F.col("one.th").alias("th"), F.col("one.n").alias("n"), "least"),
         "jaccard-sets",
     )
     lists = postings(rows, sets)
@@ -309,7 +329,8 @@ def near_duplicates(
         roots = components(links, "x", "y")
     # The likeliest first: what they join need not be compared. The last turn leaves none out.
     for most in (4, 64, None):
-        rest = materialise(candidates(_owned(lists, roots), percent, most).join(tried, ["x", "y"], "left_anti"), "jaccard-rest")
+        lists = unsettled(_owned(lists, roots))
+        rest = materialise(search(lists, percent, most).join(tried, ["x", "y"], "left_anti"), "jaccard-rest")
         if not rest.isEmpty():
             tried = tried.union(rest)
             good = verified(docs, rest, sets, size, percent)

@@ -69,15 +69,15 @@ def cut(texts: list[bytes], table: bytes) -> Words:
     )
 
 
-def chunks(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of a text column, some CHUNK bytes at a time; null texts are empty. Few rows of a batch are
+def chunks(column: pa.Array, rows: int = 256, most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of a text column, some `most` bytes at a time; null texts are empty. Few rows of a batch are
     copied at once."""
     first, held, texts = 0, 0, []
     for at in range(0, len(column), rows):
         for t in column.slice(at, rows).cast(pa.large_binary()).to_pylist():
             texts.append(t or b"")
             held += len(texts[-1])
-            if held >= CHUNK:
+            if held >= most:
                 yield first, texts
                 first, held, texts = first + len(texts), 0, []
     if texts:

@@ -168,3 +168,41 @@ def test_candidates_against_counting(spark):
     of = {sid: {w for w, s, _ in entries if s == sid} for sid in range(40)}
     want = {(x, y) for x, y in combinations(range(40), 2) if comp[x] != comp[y] and len(of[x] & of[y]) >= 2}
     assert want and {tuple(r) for r in jaccard.candidates(jaccard._owned(lists, roots), 85).collect()} == want
+
+
+def counted(spark, df):
+    """df, and how many of its rows have been read since."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_lists_are_dealt_once(spark):
+    rng = random.Random(9)
+    rows = [(sid, 12, rng.sample(range(300), 4)) for sid in range(200)]
+    df, seen = counted(spark, spark.createDataFrame(rows, "rid long, n long, lead array<long>"))
+    got = jaccard.postings(df, spark.range(0, 200, 2).selectExpr("id as sid", "12L as n"))  # odd ones are copies
+    assert seen.value == 200
+    of = {w: [sid for sid, _, lead in rows if w in lead] for w in range(300)}
+    assert {(r.w, r.sid, r.n) for r in got.collect()} == {(w, s, 12) for w, ss in of.items() if len(ss) > 1 for s in ss if s % 2 == 0}
+    lists, seen = counted(spark, got)
+    jaccard.stars(jaccard._owned(lists, None), None, 85, k=2).collect()
+    assert seen.value == got.count()
+
+
+def test_stars_test_what_meets_often_enough(spark):
+    # 1 and 2 meet in two lists, as sets of 12 must to link; 3 and 4 in one.
+    lists = spark.createDataFrame([(10, 1, 12), (10, 2, 12), (11, 1, 12), (11, 2, 12), (12, 3, 12), (12, 4, 12)], "w long, sid long, n long")
+    assert {tuple(r) for r in jaccard.stars(jaccard._owned(lists, None), None, 85, k=2).collect()} == {(1, 2)}
+
+
+def test_a_turn_starts_from_what_the_last_one_left(spark):
+    lists = spark.createDataFrame([(10, 1, 12), (10, 2, 12), (11, 2, 12), (11, 3, 12)], "w long, sid long, n long")
+    left = jaccard.unsettled(jaccard._owned(lists, spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")))
+    assert {(r.w, r.sid, r.comp, r.main, r.size) for r in left.collect()} == {(11, 2, 1, 1, 2), (11, 3, 3, 1, 2)}
+    assert jaccard.unsettled(jaccard._owned(left, spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, root long"))).isEmpty()
