@@ -48,3 +48,36 @@ def test_hits_carry_no_parameters_to_be_parsed(spark, monkeypatch):
     spans.findings(rows, ruleset.house(spark))
     hits = {(r.rule, r.scope, r.most) for r in seen["draft-hits"].collect()}
     assert "params" not in seen["draft-hits"].columns and {("DE-FREE", "sentence", None), ("TOV-EXCLAIM", None, 1)} <= hits
+
+
+def test_what_is_written_of_a_draft_grows_with_its_text(spark, monkeypatch):
+    from millrace.operators import ruleset
+
+    seen, write = {}, spans.materialise
+    monkeypatch.setattr(spans, "materialise", lambda df, name="table": seen.setdefault(name, write(df, name)))
+    text = "It is the best, act now and win. " * 300  # terms everywhere
+    rows = spark.createDataFrame([(k, "linkedin", "US", text) for k in range(4)], "draft_id long, channel string, market string, text string")
+    found = spans.findings(rows, ruleset.house(spark))
+    size = lambda name: sum(len(r.j) for r in seen[name].selectExpr("to_json(struct(*)) j").collect())
+    assert size("draft-scan") < 4 * 4 * len(text)  # texts once, not again at every place
+    assert not any(c in f.name for f in seen["draft-fields"].schema for c in ("text", "lines"))
+    assert {"draft-sentences"}.isdisjoint(seen)
+    assert {(r.rule, r["count"]) for r in found.filter("draft_id = 0").collect()} >= {("TOV-PUSHY", 300)}
+
+
+def test_numbers_find_their_sentence_without_meeting_all_others(spark):
+    outer = spark.range(5000).selectExpr("id % 2 draft_id", "cast(id as int) sentence_no", "id * 10 start", "id * 10 + 8 stop", "'s' sentence")
+    inner = spark.range(5000).selectExpr("id % 2 draft_id", "id * 10 + id % 9 start", "id * 10 + id % 9 + 2 stop")
+    got = {whole: {(r.draft_id, r.start, r.sentence_no) for r in spans._in(inner, outer, whole).collect()} for whole in (True, False)}
+    rows = [(k % 2, k * 10 + k % 9, k) for k in range(5000)]
+    assert got[False] == {r for r in rows if r[2] % 9 < 8} and got[True] == {r for r in rows if r[2] % 9 <= 6}
+    plan = spans._in(inner, outer, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_drafts_are_not_gone_through_once_a_part_of_the_rules(spark):
+    from millrace.operators import ruleset
+
+    rows = spark.createDataFrame([(1, "linkedin", "DE", "Kostenlos!! Free.")], "draft_id long, channel string, market string, text string")
+    plan = spans.findings(rows, ruleset.house(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
