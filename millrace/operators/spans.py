@@ -8,8 +8,10 @@ that step. Places are UTF-16 units from 0, as in a browser's strings.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,14 @@ BLANK = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\
 BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"  # BLANK's
 SENTENCE = rf"(?:[^\n.!?]++|[.!?](?!{BLANK}))*+(?:\n|[.!?]|\z)"  # up to a line break, or .!? before white space
 UNIT = r"(?:[\w#]++[^\w#]?+|[^\w#])"  # terms begin where one of these does, nowhere else
-BREAK = rf"(?<=\n)|(?<=[.!?])(?={BLANK})"
-BLOCK = 256  # pieces whose places are summed at a time
+BREAK = rf"(?<=\n)|(?={BLANK})(?<=[.!?])"
+BLOCK = 64  # pieces whose places are summed at a time
 EDGE = r"(?:(?=[A-Za-z0-9_])(?<![A-Za-z0-9_])|(?![A-Za-z0-9_])(?<=[A-Za-z0-9_]))"  # ahead first: looking back costs more
 CLAUSE_ENDS = r"(,|;|:| and | but | - | – | — )"
 NUMBER = r"([€£$]" + BLANK + r"?)?([0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]+(?:[.,][0-9]+)?)(" + BLANK + r"?%|" + BLANK + r"?[xX](?![a-zA-Z])|[kKmM](?![a-zA-Z]))?(\+)?"
-YOU = r"(?i) (?:you|your|yours|you're|you’re|you'll|you’ll)(?= |$)"  # of words after a blank each
-WE = r"(?i) (?:we|our|ours|us|we're|we’re|we'll|we’ll)(?= |$)"
+YOU = {"you", "your", "yours", "you're", "you’re", "you'll", "you’ll"}
+WE = {"we", "our", "ours", "us", "we're", "we’re", "we'll", "we’ll"}
+WORDS_FIRST = r"(\(\?i\))?\\b(\(\?:((?:[A-Za-z]{2,}\??\|)*[A-Za-z]{2,}\??)\).*)"  # a pattern that begins with one of some words
 SPAN = "struct<start:long,stop:long>"
 
 
@@ -63,6 +66,41 @@ def _before(sizes: str) -> Column:
     return F.aggregate(blocks, none, lambda a, b: F.struct((a["at"] + total(b)).alias("at"), F.array_append(a["out"], within(b, a["at"])).alias("out")), lambda a: F.flatten(a["out"]))
 
 
+@lru_cache(maxsize=2**17)
+def _word(word: str) -> int:
+    """A word's syllables as copygate.syllables has them, plus 2**32 where it is ours and 2**64 where it is the reader's."""
+    low = word.lower()
+    letters = re.sub("[^a-z]", "", low)
+    bare = re.sub("^y", "", re.sub("(?:[^laeiouy]es|ed|[^laeiouy]e)$", "", letters))
+    count = 0 if not letters else 1 if len(letters) <= 3 else max(1, len(re.findall("[aeiouy]{1,2}", bare)))
+    return count + ((low in WE) << 32) + ((low in YOU) << 64)
+
+
+def _speech(text: Column) -> Column:
+    """words, syllables, we, you of a text. Words recur, so that each is looked at about once a task."""
+
+    @F.pandas_udf("words long, syllables int, we int, you int")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        word = re.compile(c.WORD)
+        for batch in texts:
+            found = [word.findall(t) for t in batch]
+            sums = [sum(map(_word, w)) for w in found]
+            yield pd.DataFrame({"words": [len(w) for w in found], "syllables": [x & 0xFFFFFFFF for x in sums], "we": [x >> 32 & 0xFFFFFFFF for x in sums], "you": [x >> 64 for x in sums]})
+
+    return count(text)
+
+
+def pattern_regex(pattern: str) -> str:
+    """\\b between ASCII letters, digits, _ and others; where words follow it at the beginning, their first letters are
+    looked for first."""
+    front = re.fullmatch(WORDS_FIRST, pattern, re.S)
+    if front:
+        letters = {w[0] for w in front[3].split("|")}
+        letters |= {x for w in letters for x in (w.lower(), w.upper())} if front[1] else set()
+        pattern = f"{front[1] or ''}(?=[{''.join(sorted(letters))}])(?<![A-Za-z0-9_]){front[2]}"
+    return pattern.replace(r"\b", EDGE)
+
+
 def term_regex(term: str) -> str:
     """* stands for a word's rest, s? and a last ? for what may be missing."""
     word = re.escape(term.lower()).replace(r"\*", r"[\w-]*").replace(r"s\?", "s?")
@@ -98,21 +136,39 @@ def _policy(rules: Ruleset) -> tuple[DataFrame, list[tuple[str, str]], list[str]
         elif r["type"] == "caps":
             own.append((kind, "", r["rule_no"], "(?=[A-ZÄÖÜ])" + EDGE + "[A-ZÄÖÜ]{%d,}" % (r["least"] or 3) + EDGE, 1))
         elif r["type"] == "regex" and r["pattern"]:
-            own.append((kind, "", r["rule_no"], r["pattern"].replace(r"\b", EDGE), 1))
+            own.append((kind, "", r["rule_no"], pattern_regex(r["pattern"]), 1))
     off = [(r["rule"], r["unless"]) for r in known if r["unless"] and r["scope"] == "text"]
     read = [r["channels"] for r in known if r["type"] == "field-regex"]
     channels = None if any(x is None for x in read) else sorted({ch for x in read for ch in x})
     return spark.createDataFrame(own, "key string, head string, rule_no int, pattern string, size int"), off, channels
 
 
-def _any_term(patterns: list[tuple[str, str]]) -> str:
+def _any_term(patterns: list[tuple[str, str]], flags: str) -> str:
     """One pattern for all terms (head, pattern), by their first letters, so that a place that begins none fails at once."""
     firsts: dict[str, set[str]] = {}
     for head, w in patterns:
         first = re.match(r"\\?.", w, re.S)[0] if head else ""  # terms without a beginning of their own stand alone
         firsts.setdefault(first, set()).add(w[len(first) :])
     grouped = [f"{a}(?:{'|'.join(sorted(rest, key=lambda w: (-len(w), w)))})" for a, rest in sorted(firsts.items())]
-    return r"(?iu:(?:" + ("|".join(grouped) or r"(?!)") + r")(?!\w))"
+    return rf"(?{flags}:(?:" + ("|".join(grouped) or r"(?!)") + r")(?!\w))"
+
+
+def _pieces(text: str, terms: list) -> Column:
+    """The pieces of a text, cut where sentences end and where some term can begin. Case beyond ASCII is folded only for
+    terms that need it and in texts with letters that fold to ASCII; one pattern does for all terms."""
+    known = [(r["head"], r["pattern"]) for r in terms]
+    exact = F.regexp_extract_all(text, F.lit(f"(?s){UNIT}(?:(?!{_any_term(known, 'iu')}|{BREAK}){UNIT})*+"), F.lit(0))
+    if not terms or any(not r["head"] or r["head"][0] in BLANKS + ".!?" for r in terms):
+        return exact
+    letters = "".join(sorted({re.escape(x) for r in terms for x in (r["head"][0], r["head"][0].upper())}))
+    plain, other = [x for x in known if x[1].isascii()], [x for x in known if not x[1].isascii()]
+    begun = "|".join([_any_term(plain, "i"), *([_any_term(other, "iu")] if other else [])])
+    # What ends a sentence ends a piece as it is met, which spares looking back.
+    inner, end = rf"(?:[^\w#\n.!?]|[.!?](?!{BLANK}))", rf"(?:\n|[.!?](?={BLANK}))"
+    unit = rf"(?:[\w#]++{inner}?+|{inner})"
+    quick = rf"{unit}(?:(?!(?=[{letters}])(?:{begun})){unit})*+{end}?+|{end}"
+    folded = (F.octet_length(text) > F.length(text)) & F.col(text).rlike("[ſıİ\u212a]")
+    return F.when(folded, exact).otherwise(F.regexp_extract_all(text, F.lit(quick), F.lit(0)))
 
 
 def masked(drafts: DataFrame) -> DataFrame:
@@ -180,8 +236,7 @@ def scanned(drafts: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFrame]:
         rows.withColumn("gaps", F.when(digits, F.split("masked", NUMBER)).otherwise(none))
         .withColumn("toks", F.when(digits, F.regexp_extract_all("masked", F.lit(NUMBER), F.lit(0))).otherwise(none))
         .withColumn("both", F.arrays_zip("gaps", "toks"))
-        .withColumn("w", F.regexp_extract_all("masked", F.lit(f"({c.WORD})"), 1))
-        .withColumn("said", F.concat(F.lit(" "), F.array_join("w", " ")))
+        .withColumn("speech", _speech(F.col("masked")))
         .select(
             "draft_id", "channel", "market",
             F.transform("lines", line).alias("lines"),
@@ -189,10 +244,7 @@ def scanned(drafts: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFrame]:
             "sentences",
             F.transform("gaps", number).alias("numbers"),
             let_off.alias("let_off"),
-            F.size("w").cast("long").alias("words"),
-            c.syllables(F.col("w")).alias("syllables"),
-            F.regexp_count("said", F.lit(WE)).alias("we"),
-            F.regexp_count("said", F.lit(YOU)).alias("you"),
+            "speech.*",
         )
     )
     return materialise(done, "draft-scan"), matchers
@@ -241,51 +293,52 @@ def hit_spans(scan: DataFrame, matchers: DataFrame, rules: DataFrame) -> DataFra
     """(draft_id, market, rule_no, start, stop, term, s): every hit of every rule in its channel and market, left to right,
     none overlapping another of its rule; of a rule's terms that begin at a place, the longest one. s: the sentence in
     which a term begins; null for rules of a pattern."""
-    scope = rules.select("rule_no", "channels", "markets")
+    asks = F.expr("type in ('superlative', 'competitor') or coalesce(try_variant_get(params, '$.unlessScope', 'string'), '') = 'sentence'")
+    scope = rules.select("rule_no", "channels", "markets", asks.alias("asks"))
     any_of = F.expr("(channels is null or array_contains(channels, channel)) and (markets is null or array_contains(markets, market))")
     known = matchers.collect()  # a policy table
     texts = scan.select("draft_id", "channel", "market", "sentences", F.array_join("sentences.text", "").alias("masked"))
     some = "struct<sentence_no:int,s0:long,s1:long,sentence:string>"
     # Terms: a text is cut where one can begin and where sentences do.
-    any_term = _any_term([(r["head"], r["pattern"]) for r in known if not r["key"].startswith("kind:")])
-    blank = not any(r["head"][:1].isspace() or r["key"] == "" for r in known if not r["key"].startswith("kind:"))
-    cut = f"(?s){UNIT}(?:(?!{any_term}|{BREAK}){UNIT})*+"
+    of_terms = [r for r in known if not r["key"].startswith("kind:")]
+    low32 = F.lit(2**31 - 1).cast("long")  # a piece's length and whether a sentence begins there, in one number to be summed
 
-    def breaks(x: Column, i: Column) -> Column:
+    def sized(x: Column, i: Column) -> Column:
         end = F.right(F.get("pieces", i - 1), F.lit(1))
-        return F.when((i > 0) & ((end == "\n") | (end.isin(".", "!", "?") & (_lead(F.left(x, F.lit(1))) > 0))), 1).otherwise(0)
+        return units(x) * 2**31 + F.when((i > 0) & ((end == "\n") | (end.isin(".", "!", "?") & (_lead(F.left(x, F.lit(1))) > 0))), 1).otherwise(0)
 
     def place(z: Column, i: Column) -> Column:
         ctx = F.left(F.array_join(F.slice("pieces", i + 1, 16), ""), F.lit(REACH))
-        no = (z["so_far"] + z["breaks"]).cast("int")
+        no = (z["so_far"].bitwiseAND(low32) + z["sizes"].bitwiseAND(low32)).cast("int")
         at = F.get("sentences", no)
-        return F.struct(z["at"].alias("start"), ctx.alias("ctx"), F.struct(no.alias("sentence_no"), at["start"].alias("s0"), at["stop"].alias("s1"), at["text"].alias("sentence")).cast(some).alias("s"))
-
-    pieces = texts.withColumn("pieces", F.regexp_extract_all("masked", F.lit(cut), F.lit(0)))
-    pieces = pieces.withColumn("sizes", F.transform("pieces", units)).withColumn("breaks", F.transform("pieces", breaks))
-    pieces = pieces.withColumn("at", _before("sizes")).withColumn("so_far", _before("breaks"))
-    begun = F.transform(F.arrays_zip("at", "breaks", "so_far"), place)
-    if blank:  # no term begins with white space
-        begun = F.filter(begun, lambda p: _lead(F.left(p["ctx"], F.lit(1))) == 0)
+        begun = F.struct(F.shiftright(z["so_far"], 31).alias("start"), ctx.alias("ctx"), F.struct(no.alias("sentence_no"), at["start"].alias("s0"), at["stop"].alias("s1"), at["text"].alias("sentence")).cast(some).alias("s"))
+        if any(not r["head"] or r["head"][0] in BLANKS for r in of_terms):
+            return begun
+        return F.when(_lead(F.left(z["pieces"], F.lit(1))) == 0, begun)  # no term begins with white space
+
+    pieces = texts.withColumn("pieces", _pieces("masked", of_terms)).withColumn("sizes", F.transform("pieces", sized)).withColumn("so_far", _before("sizes"))
+    begun = F.array_compact(F.transform(F.arrays_zip("pieces", "sizes", "so_far"), place))
     places = pieces.select("draft_id", "channel", "market", F.explode(begun).alias("p")).select("draft_id", "channel", "market", "p.*")
     low = F.lower(F.translate(F.left("ctx", F.lit(2)), "ıſİ", "isi"))
-    places = places.withColumn("key", F.explode(F.array_distinct(F.array(F.lit(""), F.left(low, F.lit(1)), low))))
+    keys = [F.left(low, F.lit(n)) for n in sorted({len(r["key"]) for r in of_terms})] or [F.lit("")]
+    places = places.withColumn("key", F.explode(F.array_distinct(F.array(*keys))))
     terms = matchers.filter("key not like 'kind:%'").join(scope, "rule_no")
     found = places.join(F.broadcast(terms), "key").filter(any_of)  # a policy table
     found = found.filter(F.lower(F.translate(F.left("ctx", F.length("head")), "ıſİ", "isi")) == F.col("head"))
     found = found.withColumn("term", F.expr(r"regexp_extract(ctx, concat('(?s)^(?iu:(', pattern, r')(?!\w))'), 1)")).filter("term <> ''")
-    best = found.groupBy("draft_id", "market", "rule_no", "start").agg(F.max_by("term", F.struct("size", F.length("term"))).alias("term"), F.first("s").alias("s"))
-    best = best.withColumn("stop", F.col("start") + units(F.col("term")))
-    hit = F.struct("start", "stop", "term", F.struct(*[F.col(f"s.{x}") for x in ("sentence_no", "s0", "s1")], _strip(F.col("s.sentence")).alias("sentence")).alias("s"))
-    none = F.array().cast(f"array<struct<start:long,stop:long,term:string,s:{some}>>")
+    # Left to right, the longest term first: what begins within the last one kept is dropped.
+    s = F.struct("s.sentence_no", "s.s0", "s.s1", F.when(F.col("asks"), _strip(F.col("s.sentence"))).alias("sentence")).cast(some).alias("s")
+    hit = F.struct("start", (-F.col("size")).alias("size"), (-F.length("term")).alias("len"), "term", (F.col("start") + units(F.col("term"))).alias("stop"), s)
+    hits = found.select("draft_id", "market", "rule_no", hit.alias("hit"))
+    none = F.array().cast(f"array<struct<start:long,size:int,len:int,term:string,stop:long,s:{some}>>")
     kept = F.aggregate(
-        F.array_sort(F.collect_list(hit)), none, lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.try_element_at(acc, F.lit(-1))["stop"]), F.array_append(acc, x)).otherwise(acc)
+        F.array_sort(F.collect_list("hit")), none, lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.try_element_at(acc, F.lit(-1))["stop"]), F.array_append(acc, x)).otherwise(acc)
     )
-    out = best.groupBy("draft_id", "market", "rule_no").agg(kept.alias("hits")).select("draft_id", "market", "rule_no", F.inline("hits"))
+    out = hits.groupBy("draft_id", "market", "rule_no").agg(kept.alias("hits")).select("draft_id", "market", "rule_no", F.inline("hits")).select("draft_id", "market", "rule_no", "start", "stop", "term", "s")
     # Patterns: what stands before each match, and the match.
     for r in known:
         if r["key"].startswith("kind:"):
-            gap = f"(?s)(.*?)({r['pattern']}|\\z)"
+            gap = f"(?s)(.*?)({r['pattern']}|\\z)(?!\\G)"  # never nothing at all
             ruled = texts.join(F.broadcast(scope.filter(F.col("rule_no") == r["rule_no"])), any_of).filter(F.col("masked").rlike(r["pattern"]))
             ruled = ruled.withColumn("pieces", F.regexp_extract_all("masked", F.lit(gap), F.lit(0))).withColumn("toks", F.regexp_extract_all("masked", F.lit(gap), F.lit(2)))
             ruled = ruled.withColumn("sizes", F.transform("pieces", units)).withColumn("at", _before("sizes"))
@@ -365,9 +418,7 @@ def findings_of(scan: DataFrame, matchers: DataFrame, ruleset: Ruleset) -> DataF
     text = lambda name: F.expr(f"try_variant_get(params, '$.{name}', 'string')")
     of_hits = rules.select("rule_no", "rule", "type", text("unless").alias("unless"), text("unlessScope").alias("scope"), F.get_json_object(F.to_json("params"), "$.max").cast("int").alias("most"))
     hits = hit_spans(scan, matchers, rules).join(F.broadcast(of_hits), "rule_no")  # a policy table
-    asks = F.expr("type in ('superlative', 'competitor') or scope = 'sentence'")
-    hits = hits.withColumn("s", F.col("s").withField("sentence", F.when(asks, F.col("s.sentence")))).select("*", "s.*").drop("s")
-    hits = materialise(hits, "draft-hits")
+    hits = materialise(hits.select("*", "s.*").drop("s"), "draft-hits")
     fields = materialise(field_spans(scan), "draft-fields")
     param = lambda name, kind="int": F.expr(f"try_variant_get(params, '$.{name}', '{kind}')")
     span = lambda a, b: F.array(F.struct(F.col(a).cast("long").alias("start"), F.col(b).cast("long").alias("stop")))

@@ -81,3 +81,39 @@ def test_drafts_are_not_gone_through_once_a_part_of_the_rules(spark):
     rows = spark.createDataFrame([(1, "linkedin", "DE", "Kostenlos!! Free.")], "draft_id long, channel string, market string, text string")
     plan = spans.findings(rows, ruleset.house(spark))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def hits_of(spark, text, terms, pattern=None):
+    from millrace.operators import ruleset
+
+    rules = [(1, "OWN", "block", 7, "phrase", None, None, "{}", "", "")]
+    if pattern:
+        rules.append((2, "PATTERN", "info", None, "regex", None, None, '{"pattern": "%s"}' % pattern, "", ""))
+    own = ruleset.Ruleset.of(spark.createDataFrame(rules, ruleset.RULE_SCHEMA), spark.createDataFrame([("OWN", t, None) for t in terms], ruleset.TERM_SCHEMA), ruleset.house(spark).register)
+    scan, matchers = spans.scanned(spark.createDataFrame([(1, "meta", "UK", text)], "draft_id long, channel string, market string, text string"), own)
+    got = spans.hit_spans(scan, matchers, own.rules).select("rule_no", "start", "stop", "term", "s.s0", "s.s1").collect()
+    units = text.encode("utf-16-le")
+    assert all(units[2 * r.start : 2 * r.stop].decode("utf-16-le") == r.term and (r.s0 is None or r.s0 <= r.start < r.s1) for r in got)
+    return sorted((r.rule_no, r.term) for r in got)
+
+
+def test_terms_of_any_beginning_are_found(spark):
+    text = "x marks Usable \U0001f600 things.\n.com x2 a.com zz. \u017fcam, aab! No. 1 is #x"
+    assert hits_of(spark, text, ("x", "*able", ".com", "scam", "aa*", "no. 1"), "z*") == sorted([(1, "x"), (1, "Usable"), (1, ".com"), (1, "\u017fcam"), (1, "aab"), (1, "No. 1"), (2, "zz")])
+    assert hits_of(spark, text, ("x", "scam", "aa*", "no. 1", "aab")) == sorted([(1, "x"), (1, "\u017fcam"), (1, "aab"), (1, "No. 1")])
+    assert hits_of(spark, text.replace("\u017f", "s"), ("x", "scam", "aa*", "no. 1", "üb*")) == sorted([(1, "x"), (1, "scam"), (1, "aab"), (1, "No. 1")])
+
+
+def test_speech_counts_as_the_words_do(spark):
+    made = ["".join(x) for x in __import__("itertools").product("abedsy", repeat=4)]
+    odd = "yces Hmmm They're café we-all 2024 x9 été Straße ÀÖÿ rhythm a'b'c'e É-e We our US you’ll 'your' we’re ours: us"
+    rows = [(i, " ".join(made[i : i + 99])) for i in range(0, len(made), 99)] + [(-1, odd), (-2, ""), (-3, "—")]
+    df = spark.createDataFrame(rows, "k int, t string").withColumn("w", F.regexp_extract_all("t", F.lit(f"({c.WORD})"), 1))
+    got = df.select("k", spans._speech(F.col("t")).alias("s"), F.size("w").alias("n"), c.syllables(F.col("w")).alias("syl")).collect()
+    assert all((r.s.words, r.s.syllables) == (r.n, r.syl) for r in got)
+    assert {r.k: (r.s.we, r.s.you) for r in got if r.k < 0} == {-1: (6, 1), -2: (0, 0), -3: (0, 0)}  # your' is another word
+
+
+def test_words_after_an_edge_are_looked_for_by_their_first_letters():
+    assert spans.pattern_regex(c.PASSIVE).startswith("(?i)(?=[ABGIWabgiw])(?<![A-Za-z0-9_])(?:is|")
+    assert spans.pattern_regex(r"\bx?y\b") == spans.EDGE + "x?y" + spans.EDGE
