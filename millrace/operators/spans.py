@@ -335,15 +335,19 @@ def hit_spans(scan: DataFrame, matchers: DataFrame, rules: DataFrame) -> DataFra
         F.array_sort(F.collect_list("hit")), none, lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.try_element_at(acc, F.lit(-1))["stop"]), F.array_append(acc, x)).otherwise(acc)
     )
     out = hits.groupBy("draft_id", "market", "rule_no").agg(kept.alias("hits")).select("draft_id", "market", "rule_no", F.inline("hits")).select("draft_id", "market", "rule_no", "start", "stop", "term", "s")
-    # Patterns: what stands before each match, and the match.
+    # Patterns: what stands before each match with the match, and the match; all rules of that kind in one pass.
+    searched = []
     for r in known:
         if r["key"].startswith("kind:"):
-            gap = f"(?s)(.*?)({r['pattern']}|\\z)(?!\\G)"  # never nothing at all
-            ruled = texts.join(F.broadcast(scope.filter(F.col("rule_no") == r["rule_no"])), any_of).filter(F.col("masked").rlike(r["pattern"]))
-            ruled = ruled.withColumn("pieces", F.regexp_extract_all("masked", F.lit(gap), F.lit(0))).withColumn("toks", F.regexp_extract_all("masked", F.lit(gap), F.lit(2)))
-            ruled = ruled.withColumn("sizes", F.transform("pieces", units)).withColumn("at", _before("sizes"))
-            ruled = ruled.select("draft_id", "market", "rule_no", F.inline(F.arrays_zip("at", "sizes", "toks"))).filter("toks <> ''").withColumn("stop", F.col("at") + F.col("sizes"))
-            out = out.unionByName(ruled.select("draft_id", "market", "rule_no", (F.col("stop") - units(F.col("toks"))).alias("start"), "stop", F.col("toks").alias("term"), F.lit(None).cast(some).alias("s")))
+            gap = F.lit(f"(?s)(.*?)({r['pattern']}|\\z)(?!\\G)")  # never nothing at all
+            matched = F.struct(F.lit(r["rule_no"]).alias("rule_no"), F.regexp_extract_all("masked", gap, F.lit(0)).alias("pieces"), F.regexp_extract_all("masked", gap, F.lit(2)).alias("toks"))
+            searched.append(F.when(F.col("masked").rlike(r["pattern"]), matched))
+    if searched:
+        ruled = texts.select("draft_id", "channel", "market", F.inline(F.array_compact(F.array(*searched))))
+        ruled = ruled.join(F.broadcast(scope), "rule_no").filter(any_of)  # a policy table
+        ruled = ruled.withColumn("sizes", F.transform("pieces", units)).withColumn("at", _before("sizes"))
+        ruled = ruled.select("draft_id", "market", "rule_no", F.inline(F.arrays_zip("at", "sizes", "toks"))).filter("toks <> ''").withColumn("stop", F.col("at") + F.col("sizes"))
+        out = out.unionByName(ruled.select("draft_id", "market", "rule_no", (F.col("stop") - units(F.col("toks"))).alias("start"), "stop", F.col("toks").alias("term"), F.lit(None).cast(some).alias("s")))
     return out
 
 
